@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import mixing, nearest, packing, runs, split, topn
+from reelspark.llm import language, mixing, nearest, packing, pages, residue, runs, split, topn
 
 SEED = 42
 
@@ -75,7 +75,41 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_report(spark, sf_dir).where("not reachable").select("source_name")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nearest, p3_found, p3_pieces, p4_found, p4_ranked, p5_found, p5_runs, p7_found, p7_packed, p7_report, p8_found, p8_mix, p8_report)}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_markup(_t(spark, sf_dir, "blog_pages"))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.clean_pages(_t(spark, sf_dir, "blog_pages"))
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_segments(_t(spark, sf_dir, "paragraphs"), _t(spark, sf_dir, "lang_labels"), item="para_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_cases(_segmented(spark, sf_dir), "para_id")
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every paragraph with its language and confidence."""
+    return _segmented(spark, sf_dir).select("para_id", "label", F.inline("segments"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_spans(_t(spark, sf_dir, "documents")).where(F.size("spans") > 0).select("doc_id")
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_spans(_t(spark, sf_dir, "documents")).select("doc_id", F.inline("spans"))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that remain when those with residue are excluded."""
+    return residue.residue_spans(_t(spark, sf_dir, "documents")).where(F.size("spans") == 0).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p3_found, p3_pieces, p4_found, p4_ranked, p5_found, p5_runs, p6_found, p6_segments, p7_found, p7_packed, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_spans, p9_kept)}
 
 _MOMENTS = """
 with f as (select distinct frame_id, video_id, cast(round(timestamp_s * 1000) as bigint) * 2 as t from frames),

@@ -1,0 +1,410 @@
+"""Phrases that the residue models are fitted on. Fixed values, by class; one example per line."""
+
+FILLER = """
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Nullam quis risus eget urna mollis ornare vel eu leo. Viverra porta velit quisque sed tempor fermentum aliquam.
+Viverra fermentum quisque porta nullam amet ipsum velit. Tempora labore magna aliquo sedit nisi consequi.
+Quisque viverra porta fermentum lorem nullam aliquo utem. Dorum sedit consequi tempora magna labore.
+Fermen utem dorum nullam amet porta lorem viverra quisque. Aliquo velit sedit labore tempora ipsum magna.
+asdf asdf asdf asdf asdf
+asdfasdf asdf jkl qwerty qwerty qwerty
+test test test test test test
+blah blah blah blah blah
+xxxx xxxx xxxx xxxx
+foo bar baz foo bar baz
+bla bla bla bla
+(empty section)
+(no text)
+Description pending.
+Text pending.
+No content yet.
+No description yet.
+To be written.
+To be added.
+To be announced.
+Text to follow.
+Details to follow.
+Content coming soon.
+Text coming soon.
+Coming soon.
+Caption 1 goes here.
+Heading two goes here.
+Heading B goes here.
+Paragraph B goes here.
+Section one goes here.
+Your text goes here.
+The title goes here.
+Add your intro here.
+Add a caption here.
+Add a quote here.
+Put a quote here.
+Put the description here.
+Insert the summary here.
+Insert your text here.
+Insert text here.
+Type a quote here.
+Type the description here.
+Enter your text here.
+Write your introduction here.
+Your title here.
+Replace this paragraph with your own.
+Replace this text.
+Sample text until the real one arrives.
+Placeholder content until the real one arrives.
+Mock text until the real one arrives.
+Dummy text until the real one arrives.
+Placeholder copy - do not publish.
+Mock text - do not publish.
+Sample content - do not publish.
+This is dummy copy for the layout.
+This is placeholder text for the layout.
+This is sample text.
+Mock copy for the layout.
+Dummy text for the layout.
+This paragraph is only a placeholder.
+Este es un texto de relleno.
+Este párrafo es de relleno.
+Texto de relleno para el diseño.
+Aquí va el texto.
+Aquí va el título.
+Cambie este párrafo por el suyo.
+Escriba aquí el texto.
+Su texto aquí.
+Contenido próximamente.
+Este é um texto de preenchimento.
+Texto de preenchimento para o layout.
+Seu texto aqui.
+Aqui vai o texto.
+Troque este parágrafo pelo seu.
+Escreva o texto aqui.
+Conteúdo em breve.
+Ceci est un texte de remplissage.
+Ceci est un faux texte pour la mise en page.
+Texte de remplissage pour la maquette.
+Votre texte ici.
+Ici viendra le texte.
+Le texte viendra ici.
+Remplacez ce paragraphe.
+Remplacez ce paragraphe par le vôtre.
+Contenu à venir.
+Dies ist ein Blindtext für das Layout.
+Das ist ein Platzhaltertext.
+Hier steht später der Text.
+Hier kommt der Text hin.
+Ihr Text hier.
+Ersetzen Sie diesen Absatz.
+Platzhalter für den Text.
+Inhalt folgt.
+Это текст-заглушка.
+Это пример текста для макета.
+Это рыбный текст для макета.
+Здесь будет текст.
+Здесь будет ваш текст.
+Вставьте сюда свой текст.
+Замените этот абзац своим.
+Скоро здесь появится текст.
+여기에 내용을 입력하세요.
+여기에 텍스트를 입력하세요.
+이 문단은 예시용 더미 텍스트입니다.
+이 문단을 바꿔 주세요.
+예시용 텍스트입니다.
+내용 준비 중입니다.
+ここに本文を入力してください。
+ここにテキストを入力してください。
+ここに文章が入ります。
+これはダミーテキストです。
+この段落はダミーテキストです。
+この段落を書き換えてください。
+サンプルテキストです。
+内容は準備中です。
+"""
+
+NOTICE = """
+Please enable JavaScript to continue.
+Please enable JS to continue.
+Please activate scripting and reload the page.
+Please turn on JavaScript and reload the page.
+Please switch on scripts to view this site.
+JavaScript is disabled.
+JavaScript is disabled in your browser.
+JavaScript is currently switched off.
+JavaScript is currently turned off in your browser.
+JavaScript appears disabled on this device.
+JavaScript seems to be switched off on this device.
+JavaScript must be enabled to view this page.
+JavaScript must not be switched off.
+JS appears disabled.
+JS is currently disabled in your browser.
+JS seems to be switched off.
+JS must not be blocked on this device.
+Scripting is currently blocked in your browser.
+Scripting appears switched off on this device.
+Scripting must not be switched off in your browser.
+Scripts are blocked; allow them and reload to view the captions.
+Client-side scripts are turned off.
+Some parts of this page will not work.
+You need to turn on scripts to see the transcript.
+You need to enable JavaScript to run this app.
+You must activate client-side scripts.
+You must switch on JS.
+Make sure to activate client-side scripts and reload the page.
+Your browser does not run the scripts required for this page.
+Your browser does not support JavaScript.
+To use this site, activate JS and cookies, then refresh.
+Enable JavaScript and cookies to continue.
+This app cannot run without JS.
+This app requires JS.
+This app relies on JS.
+This app needs scripts enabled.
+This page needs JavaScript.
+This page relies on JavaScript.
+This page requires scripting.
+This page does not work without scripting.
+This page does not work without JavaScript.
+The player needs scripting.
+The player requires scripting.
+The player does not work without scripting.
+This player needs JavaScript, which is switched off in your browser.
+Our transcript viewer needs JS.
+Our transcript viewer relies on client-side scripts.
+This site cannot run without client-side scripts.
+Active JavaScript para continuar.
+Este reproductor necesita JavaScript.
+Debe habilitar JavaScript para ver esta página.
+JavaScript está desactivado.
+Ative o JavaScript para continuar.
+Este player precisa de JavaScript.
+É preciso ativar o JavaScript para ver esta página.
+O JavaScript está desativado.
+Veuillez activer JavaScript pour continuer.
+Ce lecteur a besoin de JavaScript.
+JavaScript est désactivé.
+Vous devez activer JavaScript pour voir cette page.
+Bitte aktivieren Sie JavaScript, um fortzufahren.
+Für diesen Player muss JavaScript eingeschaltet sein.
+JavaScript ist deaktiviert.
+Diese Seite benötigt JavaScript.
+Включите JavaScript, чтобы продолжить.
+Для этого плеера нужны скрипты.
+JavaScript отключён.
+Для просмотра страницы нужен JavaScript.
+계속하려면 JavaScript를 켜 주세요.
+이 플레이어를 보려면 스크립트를 허용해야 합니다.
+JavaScript가 꺼져 있습니다.
+続けるには JavaScript を有効にしてください。
+このプレーヤーには JavaScript が必要です。
+このページを表示するにはスクリプトを許可してください。
+JavaScript が無効になっています。
+404 Page not found
+404 Not Found
+Error 404: Page not found
+HTTP/1.1 404 Not Found
+404 – Page not found
+PAGE NOT FOUND
+The page you asked for has moved or never existed.
+The requested URL was not found on this server.
+The page you are looking for does not exist.
+403 Forbidden
+403 Access denied
+HTTP/1.1 403 Access denied
+ACCESS DENIED
+Access denied.
+You do not have permission to view this video.
+You are not allowed to view this page.
+401 Sign in required
+Error 401: Sign in required
+Sign in required.
+Your session has expired, please log in again.
+410 Video unavailable
+Video unavailable.
+This video was removed by the uploader.
+This video is private.
+429 Too many requests
+Too many requests.
+TOO MANY REQUESTS
+Please slow down and try again later.
+500 Internal server error
+HTTP/1.1 500 Internal server error
+Internal server error.
+INTERNAL SERVER ERROR
+Something went wrong on our side.
+Something went wrong. Please try again later.
+502 Bad gateway
+Error 502: Bad gateway
+Bad gateway.
+The upstream server sent an invalid response.
+503 Service unavailable
+Service unavailable.
+We are down for maintenance.
+504 Gateway timeout
+HTTP/1.1 504 Gateway timeout
+Gateway timeout.
+GATEWAY TIMEOUT
+The caption server did not answer in time.
+Sorry, that page could not be loaded.
+Sorry, this video is gone.
+Oops! this video is gone.
+Oops! the page you want cannot be found.
+Whoops, the file you want cannot be found.
+Hmm, the file you want is gone.
+Hmm, the transcript could not be loaded.
+Hmm, the transcript is not available in your region.
+Caption download was refused after 18 s.
+Connection was refused after 33 s.
+The request timed out after 30 s.
+Connection timed out.
+Contact the administrator.
+Retry later.
+Try again later.
+Your IP has been blocked. Ray 656f61932ee10c
+This client has been suspended. Ray 1275b551e2e3b0
+This account has been limited. Ray 34c0491c4556c3
+Fatal: upstream closed the stream (code 6817)
+Fatal: quota exceeded (code 9856)
+Fatal: invalid token (code 926)
+Fatal: database is locked (code 6511)
+ERR_NAME_NOT_RESOLVED
+net::ERR_NAME_NOT_RESOLVED
+ERR_CERT_INVALID
+ERR_TIMED_OUT
+net::ERR_CONNECTION_REFUSED
+X-Request: a3a61a794a4f
+<title>Not Found</title> nginx/3.9
+<title>Error</title> proxy/3.8
+<title>Forbidden</title> nginx/2.22
+{"error": {"code": 404, "message": "Page not found"}}
+{"error": {"code": 500, "message": "Internal server error"}}
+404 Página no encontrada
+PÁGINA NO ENCONTRADA
+La página solicitada no existe.
+403 Acceso denegado
+No tiene permiso para ver este vídeo.
+500 Error interno del servidor
+Error interno del servidor.
+Algo salió mal.
+Inténtelo de nuevo más tarde.
+503 Servicio no disponible
+Vídeo no disponible.
+404 Página não encontrada
+PÁGINA NÃO ENCONTRADA
+A página pedida não existe.
+403 Acesso negado
+Você não pode ver este vídeo.
+500 Erro interno do servidor
+Tente de novo mais tarde.
+503 Serviço indisponível
+404 Page introuvable
+PAGE INTROUVABLE
+La page demandée n'existe pas.
+403 Accès refusé
+ACCÈS REFUSÉ
+Vous n'avez pas le droit de voir cette vidéo.
+500 Erreur interne du serveur
+Veuillez réessayer plus tard.
+503 Service indisponible
+404 Seite nicht gefunden
+SEITE NICHT GEFUNDEN
+Die angeforderte Seite gibt es nicht.
+403 Zugriff verweigert
+ZUGRIFF VERWEIGERT
+Sie dürfen dieses Video nicht ansehen.
+500 Interner Serverfehler
+Bitte versuchen Sie es später erneut.
+503 Dienst nicht verfügbar
+404 Страница не найдена
+СТРАНИЦА НЕ НАЙДЕНА
+Запрошенная страница не существует.
+Такой страницы нет.
+403 Доступ запрещён
+ДОСТУП ЗАПРЕЩЁН
+У вас нет прав на просмотр этого видео.
+500 Внутренняя ошибка сервера
+Повторите попытку позже.
+503 Сервис недоступен
+404 페이지를 찾을 수 없습니다
+페이지를 찾을 수 없습니다.
+요청하신 페이지가 없습니다.
+403 접근이 거부되었습니다
+이 동영상을 볼 권한이 없습니다.
+500 서버 오류가 발생했습니다
+503 서비스를 사용할 수 없습니다
+잠시 후 다시 시도해 주세요.
+404 ページが見つかりません
+ページが見つかりません。
+お探しのページは存在しません。
+403 アクセスが拒否されました
+この動画を見る権限がありません。
+500 サーバーエラー
+503 サービスを利用できません
+しばらくしてからもう一度お試しください。
+"""
+
+PLACEHOLDER = """
+Thanks to {{ speaker }} for the slides.
+Welcome to {{host_name}}, everyone.
+Dear {{episode}}, here is your transcript.
+Recorded on {{pageTitle}} at the hall.
+It was published by {date} last week.
+This part covers {meta_lang} and more.
+Thanks to {3} for the slides.
+This part covers {0} and more.
+In this talk ${meta_author} shows it.
+Dear %(link)s, here is your transcript.
+This part covers #{speaker} and more.
+Follow {% video_title %} for the next one.
+Follow <%= date %> for the next one.
+In this talk << caption >> shows it.
+Recorded on << talkSummary >> at the hall.
+Recorded on <CAPTION> at the hall.
+Recorded by <HOST_NAME> here.
+Thanks to [[EPISODE]] for the slides.
+It was published by [INSERT AUTHOR HERE] last week.
+[INSERT NAME HERE]
+In this talk [your n frames] shows it.
+Published by [your name] here.
+This part covers TBD: link and more.
+In this talk TBD: host name shows it.
+Thanks to __SPEAKER__ for the images.
+Today @@host_name@@ presents it.
+Today $$LINK$$ presents it.
+Follow %%AUTHOR%% for the next one.
+Recorded on %LANG% at the hall.
+In this talk %VIDEO_TITLE% shows it.
+"""
+
+#: Sentences about errors, scripts, filler and templates, as prose has them.
+MENTION = """
+Internal server errors fell by 72 percent after the cache was moved.
+Last month we counted every 404 in the log and found that most came from one old link.
+Visitors who had JavaScript turned off saw an empty player, so we fixed that in release 82.
+She says access denied was her favourite error message back then.
+The old page said that people should enable JavaScript and they thought the site was broken.
+Designers like lorem ipsum because nobody stops to read it, they told us.
+He explains why a 502 shows up when the proxy starts before the worker.
+When the gateway is down our script retries 20 times before it gives up.
+My TODO list has 91 entries and the first is to label the cables.
+In this chapter we learn what the server does when a page is not found.
+The build script writes an error to the log when a placeholder is left in the page.
+We removed the placeholder text from the template before the release.
+Support mails often repeat this and nobody knew why.
+The old player greeted people with that for a whole week.
+Viewers kept writing to us about it until the cache was moved.
+Last year we got rid of it, which is why we changed the text.
+Los errores 404 bajaron un 92 por ciento en un mes.
+Antes decía que había que activar JavaScript y la gente se asustaba.
+Os erros 404 caíram 45 por cento em um mês.
+La moitié des erreurs 404 vient de vieux liens.
+Sans JavaScript, on ne voyait qu'un lecteur vide, et c'est corrigé.
+Die meisten 404 im Protokoll kamen von alten Links.
+Blindtext liest niemand, sagt sie im Gespräch.
+За месяц число ошибок 404 упало на 12 процентов.
+지난달 기록에서 404 오류를 90번 세어 보았습니다.
+先月の記録では404エラーが78回ありました。
+"""
+
+
+def lines(block: str) -> list[str]:
+    return [x for x in block.strip().split("\n") if x]
