@@ -23,6 +23,8 @@ BUCKETS = 1 << 18
 ORDERS = (3, 5)
 WINDOW = 24
 COVERAGE = 0.5
+CLIP = 4.0
+PROSE_IN_RESIDUE = 0.15
 PROSE_PRIOR = 0.02  # share of the prose model given to sentences that talk about errors, scripts and templates
 
 FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", regex.DOTALL)
@@ -80,11 +82,15 @@ def count(texts: list[str], view) -> np.ndarray:
     return out
 
 
-def log_ratio(residue: np.ndarray, prose: np.ndarray, alpha: float = 0.5) -> np.ndarray:
-    """Per bucket the log likelihood ratio of residue against prose, kept within -4..6."""
-    r = (residue + alpha * 1e-2) / (residue.sum() + alpha * 1e-2 * BUCKETS)
-    p = (prose + alpha * 1e-2) / (prose.sum() + alpha * 1e-2 * BUCKETS)
-    return np.clip(np.log(r) - np.log(p), -4, 6).astype(np.float32)
+def log_ratio(residue: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """Per bucket the log likelihood ratio of residue against prose, at most ``CLIP``.
+
+    Residue is modelled as seed phrases mixed with ``PROSE_IN_RESIDUE`` of prose, so an n-gram no seed has speaks
+    against residue, however rare it is in prose.
+    """
+    p = (prose + 0.02) / (prose.sum() + 0.02 * BUCKETS)
+    r = (1 - PROSE_IN_RESIDUE) * residue / max(1, residue.sum()) + PROSE_IN_RESIDUE * p
+    return np.minimum(np.log(r) - np.log(p), CLIP).astype(np.float32)
 
 
 def blank_asides(text: str) -> str:
@@ -137,7 +143,7 @@ def covered(ratios: np.ndarray, threshold: float) -> float:
 
 
 class Detector:
-    def __init__(self, prose: np.ndarray, prose_shapes: np.ndarray, threshold: float = 0.9, shape_threshold: float = 0.5) -> None:
+    def __init__(self, prose: np.ndarray, prose_shapes: np.ndarray, threshold: float = 0.8, shape_threshold: float = 0.3) -> None:
         mention = count(seeds.lines(seeds.MENTION), plain)
         prose = prose + mention * (PROSE_PRIOR * max(1, prose.sum()) / mention.sum())
         self.tables = {kind: log_ratio(count(seeds.lines(block), plain), prose) for kind, block in (("filler", seeds.FILLER), ("notice", seeds.NOTICE))}
@@ -156,12 +162,13 @@ class Detector:
                 continue
             if len(s.strip()) < len(text[a:b].strip()) * 0.6:
                 continue  # most of the sentence is a quotation or code
-            p = codes(plain(s.strip()))
+            p = codes(plain(regex.sub(r"\s+", " ", s.strip())))
             for kind, table in self.tables.items():
                 r = _ratio_at(p, table)
                 share = covered(r, self.threshold)
-                if share >= COVERAGE and len(r) and r.mean() > self.threshold * 0.6:
-                    out.append((a, b, kind, round(share, 3)))
+                mean = float(r.mean()) if len(r) else -1.0
+                if (share >= COVERAGE and mean > self.threshold / 4) or mean > self.threshold * 0.7:
+                    out.append((a, b, kind, round(max(share, COVERAGE), 3)))
                     break
         return out
 

@@ -19,6 +19,12 @@ bla bla bla bla
 (empty section)
 (no text)
 Description pending.
+[draft - fill in later]
+[draft - fill in later] To be written.
+[draft - text missing]
+Figure 4: Sample text.
+Figure 5: Your description goes here.
+Caption one goes here.
 Text pending.
 No content yet.
 No description yet.
@@ -63,6 +69,10 @@ This is dummy copy for the layout.
 This is placeholder text for the layout.
 This is sample text.
 Mock copy for the layout.
+Filler copy to be replaced.
+Filler content for the layout.
+Placeholder paragraph to be replaced.
+Mock paragraph until the real one arrives.
 Dummy text for the layout.
 This paragraph is only a placeholder.
 Este es un texto de relleno.
@@ -128,6 +138,9 @@ Please enable JS to continue.
 Please activate scripting and reload the page.
 Please turn on JavaScript and reload the page.
 Please switch on scripts to view this site.
+Kindly allow scripting in your browser settings.
+Kindly turn on JS to play this video.
+Make sure to allow JS to play this video.
 JavaScript is disabled.
 JavaScript is disabled in your browser.
 JavaScript is currently switched off.
@@ -254,6 +267,19 @@ Hmm, the transcript could not be loaded.
 Hmm, the transcript is not available in your region.
 Caption download was refused after 18 s.
 Connection was refused after 33 s.
+Connection was aborted after 5 s.
+Upload was aborted after 6 s.
+Upload failed after 7 s.
+Upload timed out after 56 s.
+Download failed after 12 s.
+Caption download failed after 37 s.
+Caption download timed out after 40 s.
+Request was aborted after 9 s.
+Request failed after 44 s.
+ERR_CONNECTION_RESET
+ERR_EMPTY_RESPONSE
+<title>Just a moment...</title> proxy/2.5
+<title>Bad Gateway</title> gateway/3.3
 The request timed out after 30 s.
 Connection timed out.
 Contact the administrator.
