@@ -33,8 +33,8 @@ STRETCH_WORDS = 4
 STRETCH_CHARS = 8  # of scripts without spaces
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
-#: Links, mail addresses, code spans, paths and names joined by signs: no text in any language.
-NO_TEXT = regex.compile(r"`[^`]*`|\b\w+://\S+|\bwww\.\S+|\S+@\S+\.\S+|(?<!\S)(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+/=_.&?:#%~-]{12,}|(?<!\S)\S*[A-Za-z0-9][_/\\]\S*[A-Za-z0-9]\S*")
+#: Links, mail addresses, code spans, paths, names joined by signs and stuttered syllables: no text in any language.
+NO_TEXT = regex.compile(r"`[^`]*`|(?<!\S)(\S{1,4}?)\1{4,}\S*|\b\w+://\S+|\bwww\.\S+|\S+@\S+\.\S+|(?<!\S)(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+/=_.&?:#%~-]{12,}|(?<!\S)\S*[A-Za-z0-9][_/\\]\S*[A-Za-z0-9]\S*")
 SENTENCE = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』）\"”»)]*| (?:[/|–—]|-{1,2}) ")
 DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 
@@ -76,7 +76,8 @@ class Scorer:
         return np.maximum(p - p.max(), -clip)
 
     def of(self, word: str) -> np.ndarray:
-        got = self.word.get(word)
+        # A run of a script without spaces is no word: it is always read by its n-grams.
+        got = None if DENSE.search(word) else self.word.get(word)
         if got is None:
             got = self.seen.get(word)
             if got is None:
@@ -95,7 +96,6 @@ class Scorer:
                     break
                 g = g[:-1]
         total -= total.max()
-        # A run of a script without spaces holds many words.
         clip = WORD_CLIP * max(1, len(word) / 3) if DENSE.search(word) else UNSEEN_CLIP if word.isascii() else WORD_CLIP
         return np.maximum(total, -clip)
 
@@ -177,7 +177,7 @@ def stretches(scorer: Scorer, text: str) -> list[tuple[int, int, int, float]]:
             some = scores[i:j].sum(axis=0)
             rest = np.delete(some, lang)
             margin = float(some[lang] - rest.max()) if rest.size else 9.0
-            size = j - i + sum(len(DENSE.findall(spots[x][2])) // 4 for x in range(i, j))
+            size = j - i + sum(len(DENSE.findall(spots[x][2])) // 3 for x in range(i, j))
             out.append([spots[i][0], spots[j - 1][1], lang, margin, size])
     if not out:
         return []
