@@ -38,7 +38,6 @@ _WIKI = [
     r"\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]+)?\](?!\()",
     r"(?m)^\s*\{\|",
     r"(?m)^\s*\|\}",
-    r"(?m)^\s*[*#:;]{2,}\s*\S",
     r"</?(?:ref|nowiki|gallery)\b[^>]*>",
     r"__(?:NO)?TOC__",
 ]
@@ -53,7 +52,6 @@ _LATEX = [
     r"\\(?:item|alpha|beta|gamma|sum|frac|int|leq|geq|cdot|times|infty|ldots|par|noindent)\b",
 ]
 MARKDOWN, WIKI, LATEX = ([regex.compile(p, regex.DOTALL if "begin" in p or r"\\\[" in p else 0) for p in block] for block in (_MARKDOWN, _WIKI, _LATEX))
-_WIKI_LIST = regex.compile(r"(?m)^\s*[*#:;]{2,}\s*\S")
 
 
 def has_html(text: str) -> bool:
