@@ -1,6 +1,40 @@
-"""All core queries by name, with the SQL that states the same result."""
+"""All core queries by name, with the SQL that states the same result where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: The white space class of the library, in RE2 syntax.
+RE2_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def squeezed(column: str) -> str:
+    return f"trim(regexp_replace({column}, '{RE2_SPACE}+', ' ', 'g'))"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def distinct_rows(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table in which rows may be delivered again, each record once."""
+    return table(spark, sf_dir, name).select(*columns).distinct()
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from reelspark.plans import media, pages, texts  # noqa: E402,F401
