@@ -11,7 +11,7 @@ characters for each language); labels may be wrong: sentences are relabelled by
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,31 +59,22 @@ def grams(word: str) -> list[str]:
 class Scorer:
     """Scores of words as vectors over the languages, relative to their best language (0 for it, negative for others)."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[int]], chars: dict[str, list[int]]) -> None:
+    def __init__(self, langs: list[str], words: tuple[dict[str, int], np.ndarray], chars: tuple[dict[str, int], np.ndarray]) -> None:
         self.langs = langs
         self.k = len(langs)
-        n = np.maximum(1.0, np.sum(list(words.values()), axis=0)) if words else np.ones(self.k)
-        self.word = {w: self._relative(np.array(c, float), n, 0.05, WORD_CLIP) for w, c in words.items() if sum(c) > 1}
-        totals: dict[int, np.ndarray] = defaultdict(lambda: np.ones(self.k))
-        for g, c in chars.items():
-            totals[len(g)] = totals[len(g)] + np.array(c, float)
-        self.gram = {g: self._relative(np.array(c, float), totals[len(g)], 0.5, 3.0) for g, c in chars.items() if sum(c) > 1}
+        self.word, self.word_scores = words
+        self.gram, self.gram_scores = chars
         self.seen: dict[str, np.ndarray] = {}
 
-    @staticmethod
-    def _relative(count: np.ndarray, total: np.ndarray, alpha: float, clip: float) -> np.ndarray:
-        p = np.log((count + alpha) / (total + alpha * 1000))
-        return np.maximum(p - p.max(), -clip)
-
     def of(self, word: str) -> np.ndarray:
-        # A run of a script without spaces is no word: it is always read by its n-grams.
-        got = None if DENSE.search(word) else self.word.get(word)
+        row = self.word.get(word)
+        if row is not None:
+            return self.word_scores[row]
+        got = self.seen.get(word)
         if got is None:
-            got = self.seen.get(word)
-            if got is None:
-                got = self._unseen(word)
-                if len(self.seen) < 100_000 and len(word) <= 40:
-                    self.seen[word] = got
+            got = self._unseen(word)
+            if len(self.seen) < 100_000 and len(word) <= 40:
+                self.seen[word] = got
         return got
 
     def _unseen(self, word: str) -> np.ndarray:
@@ -92,7 +83,7 @@ class Scorer:
             while g:
                 hit = self.gram.get(g)
                 if hit is not None:
-                    total += hit
+                    total += self.gram_scores[hit]
                     break
                 g = g[:-1]
         total -= total.max()
@@ -100,37 +91,63 @@ class Scorer:
         return np.maximum(total, -clip)
 
 
-def fit(samples: list[tuple[str, str]], langs: list[str], rounds: int = 3) -> tuple[dict[str, list[int]], dict[str, list[int]]]:
-    """Counts per language of words and of character n-grams, from (text, language) pairs with some wrong ones."""
+def _relative(counts: np.ndarray, totals: np.ndarray, alpha: float, clip: float) -> np.ndarray:
+    p = np.log((counts + alpha) / (totals + alpha * 1000))
+    return np.maximum(p - p.max(axis=1, keepdims=True), -clip)
+
+
+def score_tables(words: dict[str, list[int]], k: int) -> tuple[tuple[dict[str, int], np.ndarray], tuple[dict[str, int], np.ndarray]]:
+    """Index and scores of the known words, and of the character n-grams of all words."""
+    counts: dict[str, np.ndarray] = {}
+    for w, c in words.items():
+        c = np.array(c, float)
+        for g in grams(w):
+            for order in range(1, len(g) + 1):
+                got = counts.get(g[:order])
+                counts[g[:order]] = c if got is None else got + c
+    # A run of a script without spaces is no word: it is always read by its n-grams.
+    known = [w for w, c in words.items() if sum(c) > 1 and not DENSE.search(w)]
+    table = np.array([words[w] for w in known], float).reshape(-1, k)
+    n = np.maximum(1.0, np.sum(list(words.values()), axis=0)) if words else np.ones(k)
+    common = [g for g, c in counts.items() if c.sum() > 1]
+    by_gram = np.array([counts[g] for g in common], float).reshape(-1, k)
+    length = np.array([len(g) for g in common], int)
+    totals = np.ones((MAX_ORDER + 1, k))
+    np.add.at(totals, length, by_gram)
+    return (
+        ({w: i for i, w in enumerate(known)}, _relative(table, n, 0.05, WORD_CLIP) if known else table),
+        ({g: i for i, g in enumerate(common)}, _relative(by_gram, totals[length], 0.5, 3.0) if common else by_gram),
+    )
+
+
+def fit(samples: list[tuple[str, str]], langs: list[str], rounds: int = 3):
+    """The score tables from (text, language) pairs, some of which are wrong."""
     k = len(langs)
     at = {lang: i for i, lang in enumerate(langs)}
-    units: list[tuple[Counter, int]] = []
+    units: list[tuple[list[str], int]] = []
     for text, lang in samples:
         clean = NO_TEXT.sub(" ", text)
         for a, b in sentences(clean):
             found = [w.lower() for w in WORD.findall(clean[a:b])]
             if found:
-                units.append((Counter(found), at[lang]))
-    words: dict[str, list[int]] = {}
-    chars: dict[str, list[int]] = {}
+                units.append((found, at[lang]))
+    tables = None
     for turn in range(rounds):
         if turn:
-            scorer = Scorer(langs, words, chars)
+            scorer = Scorer(langs, *tables)
             again = []
             for found, lang in units:
-                total = sum((scorer.of(w) * n for w, n in found.items()), np.zeros(k))
+                total = _weigh(scorer, found).sum(axis=0)
                 best = int(total.argmax())
                 # Doubtful sentences keep their label.
                 again.append((found, best if total[best] - total[lang] > 3 else lang))
             units = again
-        words, chars = defaultdict(lambda: [0] * k), defaultdict(lambda: [0] * k)
+        words: dict[str, list[int]] = defaultdict(lambda: [0] * k)
         for found, lang in units:
-            for w, n in found.items():
-                words[w][lang] += n
-                for g in grams(w):
-                    for order in range(1, len(g) + 1):
-                        chars[g[:order]][lang] += n
-    return dict(words), {g: c for g, c in chars.items() if sum(c) > 1}
+            for w in found:
+                words[w][lang] += 1
+        tables = score_tables(words, k)
+    return tables
 
 
 def _weigh(scorer: Scorer, found: list[str]) -> np.ndarray:

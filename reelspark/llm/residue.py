@@ -43,10 +43,58 @@ FORMS = regex.compile(
 )
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point below 65,536: lower case with digits as 0 and white space as a space; and its shape."""
+    low, shape = np.arange(1 << 16, dtype=np.uint64), np.arange(1 << 16, dtype=np.uint64)
+    for i in range(1 << 16):
+        c = chr(i)
+        if c.isdigit():
+            low[i] = shape[i] = ord("0")
+        elif c.isspace():
+            low[i] = shape[i] = ord(" ")
+        elif c.isalpha():
+            small = c.lower()
+            low[i] = ord(small) if len(small) == 1 else i
+            shape[i] = ord("A") if c.isupper() else ord("a")
+    return low, shape
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
 
+class Views:
+    """A text as two sequences of code points, padded by spaces, each with the place of every point in the text.
+
+    ``plain``: lower case, digits as 0, runs of white space as one. ``shape``: letters as a or A, digits as 0, all else
+    as it is, runs of more than two alike cut to two.
+    """
+
+    def __init__(self) -> None:
+        self.low, self.form = _tables()
+
+    @staticmethod
+    def _map(points: np.ndarray, table: np.ndarray) -> np.ndarray:
+        out = np.full(len(points) + 2, ord(" "), np.uint64)
+        out[1:-1] = np.where(points < (1 << 16), table[np.minimum(points, (1 << 16) - 1).astype(np.int64)], points)
+        return out
+
+    def plain(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = self._map(points, self.low)
+        keep = np.ones(len(out), bool)
+        keep[1:] = ~((out[1:] == 32) & (out[:-1] == 32))
+        at = np.flatnonzero(keep)
+        return out[at], at - 1
+
+    def shape(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = self._map(points, self.form)
+        keep = np.ones(len(out), bool)
+        alike = (out[2:] == out[1:-1]) & (out[2:] == out[:-2])
+        keep[2:] = ~(alike & np.isin(out[2:], (ord("a"), ord("A"), ord("0"), ord(" "))))
+        at = np.flatnonzero(keep)
+        return out[at], at - 1
+
+
 def hashed(points: np.ndarray, order: int) -> np.ndarray:
     """The bucket of the n-gram that starts at each place."""
     n = len(points) - order + 1
@@ -60,25 +108,12 @@ def hashed(points: np.ndarray, order: int) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
 
-def plain(text: str) -> str:
-    """Lower case, digits as 0, padded."""
-    return " " + regex.sub(r"\d", "0", text.lower()) + " "
-
-
-def shapes(text: str) -> str:
-    """Letters as a or A, digits as 0, all else as it is, runs shortened to two: what a placeholder looks like."""
-    text = regex.sub(r"\d", "0", text)
-    text = regex.sub(r"\p{Lu}", "A", text)
-    text = regex.sub(r"\p{L}", lambda m: m.group() if m.group() == "A" else "a", text)
-    return " " + regex.sub(r"(aa|AA|00)[aA0]*?\1*", r"\1", regex.sub(r"([aA0])\1{2,}", r"\1\1", text)) + " "
-
-
 def count(texts: list[str], view) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int64)
     for t in texts:
-        p = codes(view(t))
+        p, _ = view(codes(t))
         for order in ORDERS:
-            np.add.at(out, hashed(p, order), 1)
+            out += np.bincount(hashed(p, order), minlength=BUCKETS)
     return out
 
 
@@ -119,13 +154,10 @@ def units(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
-def _ratio_at(points: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _ratio_at(hashes: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     """The mean ratio of the n-grams that start at each place."""
-    n = max(0, len(points) - max(ORDERS) + 1)
-    total = np.zeros(n, np.float32)
-    for order in ORDERS:
-        total += table[hashed(points, order)[:n]]
-    return total / len(ORDERS)
+    n = len(hashes[-1])
+    return sum(table[h[:n]] for h in hashes) / len(hashes)
 
 
 def covered(ratios: np.ndarray, threshold: float) -> float:
@@ -135,58 +167,71 @@ def covered(ratios: np.ndarray, threshold: float) -> float:
         return 0.0
     w = min(WINDOW, n)
     sums = np.concatenate([[0.0], np.cumsum(ratios, dtype=np.float64)])
-    hot = (sums[w:] - sums[:-w]) / w > threshold
-    mark = np.zeros(n + 1)
-    np.add.at(mark, np.flatnonzero(hot), 1)
-    np.add.at(mark, np.flatnonzero(hot) + w, -1)
-    return float((np.cumsum(mark[:-1]) > 0).mean())
+    hot = np.flatnonzero((sums[w:] - sums[:-w]) / w > threshold)
+    mark = np.bincount(hot, minlength=n + 1) - np.bincount(hot + w, minlength=n + 1)
+    return float((np.cumsum(mark[:n]) > 0).mean())
 
 
 class Detector:
     def __init__(self, prose: np.ndarray, prose_shapes: np.ndarray, threshold: float = 0.8, shape_threshold: float = 0.3) -> None:
-        mention = count(seeds.lines(seeds.MENTION), plain)
+        self.views = Views()
+        mention = count(seeds.lines(seeds.MENTION), self.views.plain)
         prose = prose + mention * (PROSE_PRIOR * max(1, prose.sum()) / mention.sum())
-        self.tables = {kind: log_ratio(count(seeds.lines(block), plain), prose) for kind, block in (("filler", seeds.FILLER), ("notice", seeds.NOTICE))}
+        self.tables = {kind: log_ratio(count(seeds.lines(block), self.views.plain), prose) for kind, block in (("filler", seeds.FILLER), ("notice", seeds.NOTICE))}
         # A placeholder is a stretch of a sentence; of its example only the odd n-grams speak for it.
-        self.shape = log_ratio(count([m.group() for x in seeds.lines(seeds.PLACEHOLDER) for m in FORMS.finditer(x)], shapes), prose_shapes)
+        self.shape = log_ratio(count([m.group() for x in seeds.lines(seeds.PLACEHOLDER) for m in FORMS.finditer(x)], self.views.shape), prose_shapes)
         self.threshold, self.shape_threshold = threshold, shape_threshold
 
     def spans(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, kind, coverage) of the sentences that hold residue."""
-        out = []
         clean = blank_asides(text)
-        for a, b in units(clean):
-            s = clean[a:b]
-            if self._placeholder(s):
-                out.append((a, b, "placeholder", 1.0))
-                continue
-            if len(s.strip()) < len(text[a:b].strip()) * 0.6:
-                continue  # most of the sentence is a quotation or code
-            p = codes(plain(regex.sub(r"\s+", " ", s.strip())))
-            for kind, table in self.tables.items():
-                r = _ratio_at(p, table)
-                share = covered(r, self.threshold)
-                mean = float(r.mean()) if len(r) else -1.0
-                if (share >= COVERAGE and mean > self.threshold / 4) or mean > self.threshold * 0.7:
-                    out.append((a, b, kind, round(max(share, COVERAGE), 3)))
-                    break
-        return out
-
-    def _placeholder(self, s: str) -> bool:
-        p = codes(shapes(s))
-        n = max(0, len(p) - 2)
-        r = self.shape[hashed(p, 3)[:n]]
-        # A placeholder is short: four n-grams of its shape in a row are enough to look closer.
-        w = min(4, n)
+        places = units(clean)
+        if not places:
+            return []
+        points = codes(clean)
+        starts, ends = (np.array(x) for x in zip(*places, strict=True))
+        found: dict[int, tuple[str, float]] = {}
+        for i in self._odd_shapes(points, starts, ends):
+            if FORMS.search(clean[places[i][0] : places[i][1]]):
+                found[i] = ("placeholder", 1.0)
+        p, at = self.views.plain(points)
+        hashes = [hashed(p, order) for order in ORDERS]
+        n = len(hashes[-1])
+        # The n-grams of a sentence start on the space before it and end on the one behind it.
+        first = np.maximum(np.searchsorted(at, starts) - 1, 0)
+        last = np.minimum(np.maximum(np.searchsorted(at, ends) + 2 - max(ORDERS), first), n)
+        for kind, table in self.tables.items():
+            ratios = _ratio_at(hashes, table)
+            sums = np.concatenate([[0.0], np.cumsum(ratios, dtype=np.float64)])
+            means = (sums[last] - sums[np.minimum(first, n)]) / np.maximum(last - first, 1)
+            for i in np.flatnonzero(means > self.threshold / 4):
+                a, b = places[i]
+                if i in found or len(clean[a:b].strip()) < len(text[a:b].strip()) * 0.6:
+                    continue  # marked already, or most of the sentence is a quotation or code
+                share = covered(ratios[first[i] : last[i]], self.threshold)
+                if share >= COVERAGE or means[i] > self.threshold * 0.7:
+                    found[i] = (kind, round(max(share, COVERAGE), 3))
+        return [(*places[i], *found[i]) for i in sorted(found)]
+
+    def _odd_shapes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+        """The sentences with four n-grams in a row that have the shape of a placeholder."""
+        p, at = self.views.shape(points)
+        r = self.shape[hashed(p, 3)]
+        w = min(4, len(r))
         if w == 0:
-            return False
+            return []
         sums = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
-        return bool(((sums[w:] - sums[:-w]) / w).max() > self.shape_threshold and FORMS.search(s))
+        hot = np.flatnonzero((sums[w:] - sums[:-w]) / w > self.shape_threshold)
+        # A hot stretch may begin before its sentence or end in the next one.
+        sides = np.concatenate([at[hot], at[np.minimum(hot + w + 1, len(at) - 1)]])
+        near = np.searchsorted(starts, sides, side="right") - 1
+        return sorted({int(i) for i in near if i >= 0})
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of a partition, as the buckets that are not empty."""
     totals = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
+    views = Views()
     waiting: list[list[np.ndarray]] = [[], []]
 
     def flush(least: int) -> None:
@@ -198,8 +243,9 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for t in batch.column("text").to_pylist():
             if t and t.strip():
-                for parts, view in zip(waiting, (plain, shapes), strict=True):
-                    p = codes(view(t))
+                points = codes(t)
+                for parts, view in zip(waiting, (views.plain, views.shape), strict=True):
+                    p, _ = view(points)
                     parts += [hashed(p, order) for order in ORDERS]
                 if len(waiting[0]) >= 400 or len(t) > 100_000:
                     flush(1_000_000)
