@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.text import _c
 from reelspark.functions.udf import arrow_udf
+from reelspark.session import spread
 from reelspark.sources.htmltree import Element, parse
 
 # Elements whose own text is translatable, those that are skipped, and a label that stays as it is.
@@ -47,7 +48,7 @@ def _nodes(html):
 
 def text_nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, id, kind, text: translatable nodes in document order, ids from 0. Null and empty pages have none."""
-    return pages.select(key, _nodes(html).alias("nodes")).select(key, F.inline("nodes"))
+    return spread(pages.select(key, F.col(html).alias("_html"))).select(key, _nodes("_html").alias("nodes")).select(key, F.inline("nodes"))
 
 
 @arrow_udf("string")
@@ -169,7 +170,7 @@ def _figures(html):
 
 def page_figures(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, video_id, timestamp_s, path: the figures of a page that have an image and a time."""
-    return pages.select(key, _figures(html).alias("f")).select(key, F.col("f.video_id").alias("video_id"), F.inline("f.figures"))
+    return spread(pages.select(key, F.col(html).alias("_html"))).select(key, _figures("_html").alias("f")).select(key, F.col("f.video_id").alias("video_id"), F.inline("f.figures"))
 
 
 def mirror(pages: DataFrame, path: str = "path", html: str = "html") -> DataFrame:
@@ -181,6 +182,6 @@ def mirror(pages: DataFrame, path: str = "path", html: str = "html") -> DataFram
 
     shown = F.forall(F.split(path, "/"), lambda p: ~hidden_name(p))
     md = html_to_markdown(html)
-    return pages.where(F.col(path).isNotNull() & shown).select(
+    return spread(pages.where(F.col(path).isNotNull() & shown).select(path, html)).select(
         F.regexp_replace(path, r"\.html?$", ".md").alias("out_path"), md.alias("markdown"), F.when(F.col(html).isNull(), F.lit("no HTML")).alias("error")
     )
