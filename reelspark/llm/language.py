@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.text import collapse_ws
+from reelspark.session import spread
 
 SAMPLE_PER_LANGUAGE = 2000
 SAMPLE_CHARS = 1500
@@ -237,7 +238,7 @@ def labelled(items: DataFrame, labels: DataFrame, item: str, text: str, lang: st
     """id, text with white space collapsed, and the language its label names (null: missing or not listed)."""
     # The labels of the languages are a fixed list; Spark broadcasts it as long as it is small.
     known = labels.select(F.lower(F.trim("label")).alias("known"), F.col("lang").alias("label")).where("known is not null").dropDuplicates(["known"])
-    rows = items.select(F.col(item).alias("id"), collapse_ws(text).alias("text"), F.lower(F.trim(collapse_ws(lang))).alias("given"))
+    rows = spread(items.select(F.col(item).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))).select("id", collapse_ws("text").alias("text"), F.lower(F.trim(collapse_ws("lang"))).alias("given"))
     return rows.join(known, F.col("given") == F.col("known"), "left").select("id", "text", "label")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import residue_seeds as seeds
+from reelspark.session import spread
 
 BUCKETS = 1 << 18
 ORDERS = (3, 5)
@@ -287,6 +288,6 @@ def residue_spans(documents: DataFrame, *, item: str = "doc_id", text: str = "te
     ``kind`` is placeholder, filler or notice. Null, blank and clean texts get an empty array; so does residue that is
     quoted or shown as code. Equal texts get equal spans. Texts are read whole; other columns aren't read.
     """
-    rows = documents.select(F.col(item).alias("id"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(item).alias("id"), F.col(text).alias("text")))
     model = documents.sparkSession.sparkContext.broadcast(prose_counts(rows))
     return rows.mapInArrow(_detect(model), f"id {rows.schema['id'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", item)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.text import collapse_ws
+from reelspark.session import spread
 
 SENTENCE_END = regex.compile(r"[.!?](?= )|[。！？]")
 PIECES = "array<struct<piece:int,start:int,overlap:int,text:string,cut:string>>"
@@ -132,7 +133,7 @@ def split_oversized(items: DataFrame, *, item: str, text: str | Column, limit: i
     if limit < 1 or not 0 <= overlap < limit:
         raise ValueError("need limit >= 1 and 0 <= overlap < limit")
     text = F.col(text) if isinstance(text, str) else text
-    rows = items.select(F.col(item).alias("id"), collapse_ws(text).alias("text"))
+    rows = spread(items.select(F.col(item).alias("id"), text.alias("text"))).select("id", collapse_ws("text").alias("text"))
     fits = F.col("text").isNull() | (F.char_length("text") <= limit)
     small = rows.where(fits).select(
         F.col("id").alias(item), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("overlap"), "text", F.lit(None).cast("string").alias("cut")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.page_html import BLOCKS, UNREAD, events
+from reelspark.session import materialize, spread
 
 MIN_PAGES = 8
 MIN_SHARE = 0.02
@@ -234,10 +235,8 @@ def extract_slots(pages: DataFrame, *, item: str = "page_id", html: str = "html"
     than ``MIN_PAGES`` pages has no template: all its text is in slots. Templates are broadcast while they have at most
     ``BROADCAST_TOKENS`` tokens together, else joined by host.
     """
-    rows = pages.select(F.col(item).alias("id"), (F.split("path", "/")[0] if host is None else host).alias("host"), F.col(html).alias("html"))
+    rows = spread(pages.select(F.col(item).alias("id"), (F.split("path", "/")[0] if host is None else host).alias("host"), F.col(html).alias("html")))
     templates = deduce_templates(rows)
-    from reelspark.session import materialize
-
     templates = materialize(templates, "templates")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, slots {SLOTS}"
     if (templates.agg(F.sum("n_tokens")).first()[0] or 0) <= BROADCAST_TOKENS:
