@@ -57,16 +57,18 @@ def boundaries(text: str, limit: int) -> tuple[list[int], list[int], int]:
     return places, strengths, level
 
 
-def balanced_cuts(length: int, places: list[int], strengths: list[int], limit: int, overlap: int) -> list[int]:
-    """Cut places so that no piece exceeds ``limit``, near equal-length targets; overlap may shrink where it must."""
+def balanced_cuts(length: int, places: list[int], ends: list[int], strengths: list[int], limit: int, overlap: int) -> list[int]:
+    """Cut places so that no piece exceeds ``limit``, near equal-length targets; overlap may shrink where it must.
+
+    ``ends`` says where a piece that is cut at a place ends: the space before the place isn't part of it.
+    """
     room = max(1, limit - overlap)
     k = 1 + -(-(length - limit) // room)
     for pieces in range(k, k + 6):
         cuts, at = [], 0
         for i in range(1, pieces):
             target = i * length // pieces
-            # A space behind the piece isn't part of it, so a piece of exactly the limit still fits.
-            furthest = bisect_right(places, at + (limit if at == 0 else limit)) - 1
+            furthest = bisect_right(ends, at + limit) - 1
             lowest = bisect_right(places, at)
             if lowest > furthest:
                 cuts, at = [], -1
@@ -77,14 +79,16 @@ def balanced_cuts(length: int, places: list[int], strengths: list[int], limit: i
             if lo > hi:
                 best = furthest if target > places[furthest] else lowest
             else:
-                best = max(range(lo, hi + 1), key=lambda j: (strengths[j], (places[j] - at) <= (room if at else limit), -abs(places[j] - target), -j))
+                best = max(range(lo, hi + 1), key=lambda j: (strengths[j], (ends[j] - at) <= (room if at else limit), -abs(places[j] - target), -j))
             at = places[best]
             cuts.append(at)
         if at >= 0 and length - at <= limit:
             return cuts
     cuts, at = [], 0  # uneven boundaries: fill each piece as far as it goes
     while length - at > limit:
-        j = bisect_right(places, at + limit) - 1
+        j = bisect_right(ends, at + limit) - 1
+        if places[j] <= at:
+            raise AssertionError("atoms exceed the limit")
         at = places[j]
         cuts.append(at)
     return cuts
@@ -95,7 +99,8 @@ def split_text(text: str, limit: int, overlap: int) -> list[dict]:
     if len(text) <= limit:
         return [{"piece": 0, "start": 0, "overlap": 0, "text": text, "cut": None}]
     places, strengths, level = boundaries(text, limit)
-    edges = [0, *balanced_cuts(len(text), places, strengths, limit, overlap), len(text)]
+    ends = [p - (text[p - 1] == " ") for p in places]
+    edges = [0, *balanced_cuts(len(text), places, ends, strengths, limit, overlap), len(text)]
     out = []
     for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         body = text[a:b].rstrip(" ")

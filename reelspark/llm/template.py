@@ -119,14 +119,16 @@ def valid_classes(tokens: list[str], classes: dict[str, tuple[int, int]], sizes:
                     bad.add(c)  # begins again before it has ended
                 elif sizes[c] > 1:
                     stack.append([c, 0])
-            elif stack and stack[-1] == [c, k - 1]:
-                if k == sizes[c] - 1:
+            elif [c, k - 1] in stack:
+                # Classes still open inside give way if they are smaller, else this one does.
+                while stack[-1][0] != c and sizes[stack[-1][0]] <= sizes[c]:
+                    bad.add(stack.pop()[0])
+                if stack[-1][0] != c:
+                    bad.add(c)
+                elif k == sizes[c] - 1:
                     stack.pop()
                 else:
                     stack[-1][1] = k
-            elif any(s[0] == c and s[1] == k - 1 for s in stack):
-                # Another class is still open inside: the one with less of the page gives way.
-                bad.add(min((stack[-1][0], c), key=lambda x: sizes[x]))
             else:
                 bad.add(c)
         bad |= {s[0] for s in stack}
