@@ -40,6 +40,11 @@ SENTENCE = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」
 DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
+def squeeze(text: str) -> str:
+    """Each run of white space as one space, the ends trimmed."""
+    return " ".join(text.split())
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     out, at = [], 0
     for m in SENTENCE.finditer(text):
@@ -227,7 +232,7 @@ def _segmenter(model):
         scorer = Scorer(langs, words, chars)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [[(a, b, langs[k], c) for a, b, k, c in stretches(scorer, t)] if t else [] for t in texts]
+            found = [[(a, b, langs[k], c) for a, b, k, c in stretches(scorer, squeeze(t))] if t else [] for t in texts]
             rows = [[dict(zip(("start", "stop", "lang", "confidence"), s, strict=True)) for s in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, ARROW_SEGMENTS)], names=["id", "label", "segments"])
 
@@ -235,10 +240,10 @@ def _segmenter(model):
 
 
 def labelled(items: DataFrame, labels: DataFrame, item: str, text: str, lang: str) -> DataFrame:
-    """id, text with white space collapsed, and the language its label names (null: missing or not listed)."""
+    """id, text, and the language its label names (null: missing or not listed)."""
     # The labels of the languages are a fixed list; Spark broadcasts it as long as it is small.
     known = labels.select(F.lower(F.trim("label")).alias("known"), F.col("lang").alias("label")).where("known is not null").dropDuplicates(["known"])
-    rows = spread(items.select(F.col(item).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))).select("id", collapse_ws("text").alias("text"), F.lower(F.trim(collapse_ws("lang"))).alias("given"))
+    rows = spread(items.select(F.col(item).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))).select("id", "text", F.lower(collapse_ws("lang")).alias("given"))
     return rows.join(known, F.col("given") == F.col("known"), "left").select("id", "text", "label")
 
 
@@ -251,7 +256,7 @@ def sample_labelled(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, ch
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(per_language / n))])
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) / 1_000_003.0
     picked = fit_for.where(draw < share[F.col("label")]).select("text", "label").limit(int(1.5 * per_language * len(counts)))
-    return sorted((r[0], r[1]) for r in picked.collect())
+    return sorted((squeeze(r[0]), r[1]) for r in picked.collect())
 
 
 def language_segments(items: DataFrame, labels: DataFrame, *, item: str, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
