@@ -84,6 +84,30 @@ def translate(documents: DataFrame, target: str, model: Translator, *, key: str
     return copied.unionByName(rows.where("not skipped").select(key, "_t").mapInPandas(run, f"{key} {kind}, translated string, skipped boolean"))
 
 
+def translate_nodes(nodes: DataFrame, key: str, target: str, model: Callable[[list[str], str], list[str]], size: int = 120) -> DataFrame:
+    """key, translations (map of id to text): a page's nodes in batches of ``size``, in order; ids count from 0.
+
+    A batch whose answer has another length, or that fails after its attempts, leaves its nodes out, so they stay as they are.
+    """
+    batches = nodes.groupBy(key, F.expr(f"id div {size}").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("nodes"))
+    kind = nodes.schema[key].dataType.simpleString()
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            out = []
+            for k, batch in zip(pdf[key], pdf["nodes"], strict=True):
+                try:
+                    got = with_retries(model, [n["text"] for n in batch], target, sleep=lambda _: None)
+                except Exception:
+                    got = []
+                out += [(k, n["id"], t) for n, t in zip(batch, got, strict=False)] if len(got) == len(batch) else []
+            yield pd.DataFrame(out, columns=[key, "id", "text"])
+
+    done = batches.select(key, "nodes").mapInPandas(run, f"{key} {kind}, id int, text string")
+    # A page is one document, so its nodes meet in one row.
+    return done.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("id", "text"))).alias("translations"))
+
+
 def transcribe(chunks: DataFrame, model: Transcriber) -> DataFrame:
     """video_id, chunk, text of audio chunks (``audio`` binary); a chunk k starts at k minutes."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions import text as tx
-from reelspark.operators import html_pages, paths, render, tables
+from reelspark.operators import html_pages, models, paths, render, tables
 from reelspark.plans.registry import query, table
 
 
@@ -29,8 +29,8 @@ def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with every text node replaced by a stand-in's translation."""
     pages = table(spark, sf_dir, "blog_pages").select("page_id", "html")
-    nodes = html_pages.text_nodes(pages, "page_id").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.upper("text")))).alias("t"))
-    return pages.join(nodes, "page_id", "left").select("page_id", html_pages.write_back("html", F.coalesce("t", F.expr("map()").cast("map<int,string>"))).alias("html"))
+    done = models.translate_nodes(html_pages.text_nodes(pages, "page_id"), "page_id", "xx", lambda texts, target: [t.upper() for t in texts])
+    return pages.join(done, "page_id", "left").select("page_id", html_pages.write_back("html", "translations").alias("html"))
 
 
 @query(r"""

@@ -405,3 +405,14 @@ def image_stats(occurrences: DataFrame) -> DataFrame:
     """path, image_count (images in the book), occurrence_count, in_figure, with_caption (images with any caption)."""
     images = occurrences.groupBy("path", "source_image").agg(F.count("*").alias("n"), F.bool_or("present").alias("present"), F.count_if("in_figure").alias("fig"), F.bool_or(F.col("caption") != "").alias("cap"))
     return images.groupBy("path").agg(F.count_if("present").alias("image_count"), F.sum("n").alias("occurrence_count"), F.sum("fig").alias("in_figure"), F.count_if("cap").alias("with_caption"))
+
+
+def book_payloads(books: DataFrame) -> DataFrame:
+    """path, payload: a book's title, contents and images as one JSON text, which is one value of the output."""
+    seen = image_occurrences(books)
+    shown = image_index(seen).where("present").select("path", F.struct("first_seq", "source_image", "width", "height", "occurrences").alias("image"))
+    images = shown.groupBy("path").agg(F.array_sort(F.collect_list("image")).alias("images"))
+    stats = image_stats(seen)
+    head = packages(books).where("error is null").select("path", F.col("title").alias("book"), F.transform("toc", lambda t: F.struct(t["depth"].alias("depth"), t["label"].alias("label"))).alias("toc"))
+    rows = head.join(stats, "path", "left").join(images, "path", "left").na.fill(0, ["image_count", "occurrence_count"])
+    return rows.select("path", F.to_json(F.struct("book", "toc", "image_count", "occurrence_count", F.coalesce("images", F.array().cast(images.schema["images"].dataType)).alias("images"))).alias("payload"))

@@ -175,6 +175,9 @@ def test_models(spark):
     assert [(r.phash, r.confidence) for r in models.remember(cache, fresh, "phash", "at").collect()] == [("h", 0.5)]
     hits, misses = joins.cache_split(fresh, cache, "phash")
     assert (hits.count(), misses.count()) == (1, 1)
+    nodes = spark.createDataFrame([(1, i, "p", f"t{i}") for i in range(5)] + [(2, 0, "p", "bad")], "page_id int, id int, kind string, text string")
+    answers = models.translate_nodes(nodes, "page_id", "de", lambda texts, target: [] if "bad" in texts else [x + target for x in texts], size=2)
+    assert [(r.page_id, r.translations[4]) for r in answers.collect()] == [(1, "t4de")]
     audio = spark.createDataFrame([("v", 0, bytearray(b"ab"))], "video_id string, chunk int, audio binary")
     assert models.transcribe(audio, lambda b: b.decode()).first().text == "ab"
 

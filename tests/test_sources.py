@@ -82,6 +82,8 @@ def test_epub_images(spark):
     assert (gone.present, gone.breadcrumb, gone.context_after) == (False, ["Ch 1", "Topic A"], "Text inside.")
     assert tuple(epub.image_stats(seen).first()) == ("a", 1, 2, 1, 1)
     assert epub.image_index(seen).count() == 2
+    payload = json.loads(epub.book_payloads(spark.createDataFrame([("a", bytearray(book())), ("x", bytearray(b""))], "path string, content binary")).first().payload)
+    assert (payload["book"], payload["image_count"], payload["occurrence_count"], [i["source_image"] for i in payload["images"]]) == ("Book", 1, 2, ["OPS/img/a.png"])
 
 
 def test_epub_parts():
