@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from reelspark.session import materialize
 
 ROWS_BEFORE_PRUNING = 200_000
 
@@ -63,9 +66,8 @@ def top_n_per_group(items: DataFrame, *, group: str, item: str, score: Column, t
     empty = rows.where("false").select(F.col("grp").alias(group), F.col("item").alias(item), F.lit(1).alias("rank"))
     if n < 1:
         return empty
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    best = rows.mapInArrow(_local_best(n, ["k0", "k1", "k2"], to_arrow_schema(out)), out).repartition("grp")
+    # Written once, as bounds and candidates both come from it: one scan of the items.
+    best = materialize(rows.mapInArrow(_local_best(n, ["k0", "k1", "k2"], to_arrow_schema(out)), out), "best")
     key = F.struct("k0", "k1", "k2", "item")
     bounds = best.where("is_bound").groupBy(F.col("grp").alias("b_grp")).agg(F.min(key).alias("bound"))
     survivors = best.join(bounds, F.col("grp") == F.col("b_grp"), "left").where(F.col("bound").isNull() | (key <= F.col("bound")))
