@@ -27,6 +27,7 @@ _MARKDOWN = [
     r"(?<![\w_])(_{1,3})(?=[^\s_])[^\n]*?[^\s_]\1(?![\w_])",
     r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}])(\*{2,3}|~~|__)(?=[^\s*~_])[^*~_\n]+\1",
     r"(?<![\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\w*])(\*{1,3})(?=[^\s*])[^*\n]*[^\s*]\1(?=[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}])",
+    r"(?<![\w_])__(?=[^\s_])[^\n_]*[^\s_]__(?=[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}])",
     r"(?<!~)~~(?=\S)[^~\n]+(?<=\S)~~(?!~)",
     r"(?<!`)(`+)(?=[^\s`])[^`\n]*[^\s`]?\1(?!`)",
 ]
@@ -54,6 +55,10 @@ _LATEX = [
 MARKDOWN, WIKI, LATEX = ([regex.compile(p, regex.DOTALL if "begin" in p or r"\\\[" in p else 0) for p in block] for block in (_MARKDOWN, _WIKI, _LATEX))
 
 
+_ENVIRONMENT = regex.compile(r"\\begin\{(\w+\*?)\}.*?\\end\{\1\}", regex.DOTALL)
+_COMMAND = regex.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}")
+
+
 def has_html(text: str) -> bool:
     if "<" in text and (_TAG.search(text) or _COMMENT.search(text)):
         return True
@@ -74,8 +79,8 @@ def languages(text: str) -> set[str]:
     bare = text
     if any(p.search(text) for p in LATEX):
         found.add("latex")
-        for p in (r"\\begin\{(\w+\*?)\}.*?\\end\{\1\}", r"\\\[.+?\\\]", r"\\\(.+?\\\)", r"\$\$.+?\$\$", r"\$[^$\n]+\$", r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}"):
-            bare = regex.sub(p, " ", bare, flags=regex.DOTALL)
+        for p in (_ENVIRONMENT, *LATEX[2:7], _COMMAND):
+            bare = p.sub(" ", bare)
     if any(p.search(bare) for p in WIKI):
         found.add("wiki")
         for p in (r"\{\{[^{}]*\}\}", r"(?m)^\s*\{\|.*?^\s*\|\}", r"\[\[[^\[\]\n]+\]\]"):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.markup import languages, to_plain
-from reelspark.llm.template import extract_slots
+from reelspark.llm.template import ASIDE, extract_slots
 
 HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
 
@@ -18,7 +18,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, places, kinds = [], [], []
         for key, slots in zip(batch.column("id").to_pylist(), batch.column("slots").to_pylist(), strict=True):
-            seen = {(s["place"], m) for s in slots if s["place"] and not s["code"] for m in languages(s["text"])}
+            seen = {(s["place"], m) for s in slots if s["place"] and not s["code"] for m in languages(s["text"].replace(ASIDE, " "))}
             for place, markup in sorted(seen):
                 ids.append(key)
                 places.append(place)
@@ -35,6 +35,8 @@ def clean_blocks(slots: list[dict], place: str) -> str:
             out.append("```\n" + s["text"].strip("\n") + "\n```")
             continue
         text = to_plain(s["text"])
+        for aside in s["asides"]:
+            text = text.replace(ASIDE, aside, 1)
         if text:
             lead = HEADINGS.get(s["tag"], "-" if s["tag"] == "li" else "")
             out.append(f"{lead} {text}" if lead and not text.startswith(("#", "-")) else text)

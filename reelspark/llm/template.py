@@ -29,8 +29,12 @@ HELD_TOKENS = 300_000
 
 STATS = "host string, token string, f1 long, f2 long, pages long, place double"
 STATS_ARROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("f1", pa.int64()), ("f2", pa.int64()), ("pages", pa.int64()), ("place", pa.float64())])
-SLOTS = "array<struct<slot:string,place:string,tag:string,code:boolean,text:string>>"
-SLOTS_ARROW = pa.list_(pa.struct([("slot", pa.string()), ("place", pa.string()), ("tag", pa.string()), ("code", pa.bool_()), ("text", pa.string())]))
+#: ``asides`` are the inline code and formulas of a text, where it has the sign ASIDE.
+SLOTS = "array<struct<slot:string,place:string,tag:string,code:boolean,text:string,asides:array<string>>>"
+SLOTS_ARROW = pa.list_(pa.struct([("slot", pa.string()), ("place", pa.string()), ("tag", pa.string()), ("code", pa.bool_()), ("text", pa.string()), ("asides", pa.list_(pa.string()))]))
+ASIDE = "\x01"
+TEXT, CODE, FORMULA = 0, 1, 2
+MATH_SIGNS = {"msup": "^", "msub": "_", "mfrac": "/"}
 
 
 def page_tokens(page: list[tuple[str, str, str]]) -> Iterator[str]:
@@ -147,7 +151,8 @@ def fill_slots(html: str, classes: dict[str, tuple[int, int]], sizes: list[int],
     valid = valid_classes(list(page_tokens(page)), classes, sizes)
     stack: list[tuple[int, int]] = []
     out: list[dict] = []
-    parts: list[tuple[str, bool]] = []
+    parts: list[tuple[str, int]] = []
+    math: list[list] = []  # open elements of a formula, with the children they have had
     where: list = [None, "", ""]
 
     def classes_of(path: str) -> list[list[str]]:
@@ -160,9 +165,9 @@ def fill_slots(html: str, classes: dict[str, tuple[int, int]], sizes: list[int],
         return "caption" if any(part in x[1:] for x in levels[depth:]) else "body"
 
     def flush() -> None:
-        for text, code in _united(parts):
-            if text.strip():
-                out.append({"slot": where[2], "place": where[0], "tag": where[1], "code": code, "text": text})
+        text, code, asides = _united(parts)
+        if text.strip():
+            out.append({"slot": where[2], "place": where[0], "tag": where[1], "code": code, "text": text, "asides": asides})
         parts.clear()
 
     for kind, path, text in page:
@@ -181,8 +186,22 @@ def fill_slots(html: str, classes: dict[str, tuple[int, int]], sizes: list[int],
                 at = classes.get(f"w{path} {word}")
                 if at and at[0] in valid:
                     text = " ".join(x for x in text.split(" ") if x.strip() != word)
-            parts.append((text, bool(unread)))
+            if math and parts and parts[-1][1] == FORMULA:
+                parts[-1] = (parts[-1][0] + text.strip(), FORMULA)
+            else:
+                parts.append((text.replace(ASIDE, " "), CODE if unread else TEXT))
             continue
+        if text == "math" or math:
+            if kind == "close":
+                math.pop()
+            else:
+                if not math:
+                    parts.append(("", FORMULA))
+                elif math[-1][1] and math[-1][0] in MATH_SIGNS and parts and parts[-1][1] == FORMULA:
+                    parts[-1] = (parts[-1][0] + MATH_SIGNS[math[-1][0]], FORMULA)
+                if math:
+                    math[-1][1] += 1
+                math.append([text, 0])
         at = classes.get(("o" if kind == "open" else "c") + path)
         if at and at[0] in valid and sizes[at[0]] > 1:
             c, k = at
@@ -196,16 +215,17 @@ def fill_slots(html: str, classes: dict[str, tuple[int, int]], sizes: list[int],
             flush()
             where = [None, "", ""]
         elif text == "br" and kind == "open":
-            parts.append(("\n", False))
+            parts.append(("\n", TEXT))
     flush()
     return out
 
 
-def _united(parts: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
-    """A block as one text with inline code as spaces; a block of code alone as code."""
-    if parts and all(code or not text.strip() for text, code in parts):
-        return [("".join(text for text, _ in parts), True)]
-    return [("".join(f" {'' if code else text} " if code else text for text, code in parts), False)]
+def _united(parts: list[tuple[str, int]]) -> tuple[str, bool, list[str]]:
+    """A block as one text, its inline code and formulas set aside; a block of code alone as code."""
+    if parts and all(kind == CODE or not text.strip() for text, kind in parts) and any(kind == CODE for _, kind in parts):
+        return "".join(text for text, _ in parts), True, []
+    shown = [(text, kind) for text, kind in parts if kind == TEXT or text.strip()]
+    return "".join(text if kind == TEXT else ASIDE for text, kind in shown), False, [f"`{t.strip()}`" if kind == CODE else f"${t}$" for t, kind in shown if kind != TEXT]
 
 
 def parse_template(text: str | None) -> tuple[dict[str, tuple[int, int]], list[int]]:

@@ -32,6 +32,8 @@ from reelspark.llm import language, markup, pages, residue, template
         ("\\emph{x} $\\alpha_2$ \\(m^6\\) \\[ \\sum_{i=1}^2 a_i \\]", {"latex"}),
         ("\\begin{itemize} \\item a \\end{itemize}", {"latex"}),
         ("**a** and \\ref{b}", {"markdown", "latex"}),
+        ("costs $5, **bold**, $\\alpha_2$", {"markdown", "latex"}),
+        ("__약할__때", {"markdown"}),
     ],
 )
 def test_markup(text, found):
@@ -68,6 +70,13 @@ def test_pages(spark):
     assert pages.page_markup(df.where("false")).count() == 0
 
 
+def test_code_and_formulas_stay():
+    html = '<div class="post-body"><p>a <code>**x**</code> b <math><mi>y</mi><mo>=</mo><msup><mi>z</mi><mn>2</mn></msup></math> **c**</p><pre>k</pre></div>'
+    slots = template.fill_slots(html, {}, [], "post-body", "caption-text")
+    assert pages.clean_blocks(slots, "body") == "a `**x**` b $y=z^2$ c\n\n```\nk\n```"
+    assert [markup.languages(s["text"].replace(template.ASIDE, " ")) for s in slots if not s["code"]] == [{"markdown"}]
+
+
 def test_templates(spark):
     df = spark.createDataFrame(page_rows(), "id long, path string, html string").withColumn("host", F.split("path", "/")[0])
     rows = template.deduce_templates(df, min_pages=8).collect()
