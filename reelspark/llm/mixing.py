@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.session import materialize
+
 KEY_RANGES = 4096
+MAX_TARGETS = 10_000
 
 
 def tokens(text: str = "text") -> Column:
@@ -30,63 +33,77 @@ def source_name(source: str = "source") -> Column:
     return F.lower(F.trim(source))
 
 
-def source_budgets(documents: DataFrame, targets: DataFrame) -> DataFrame:
+def keyed_documents(documents: DataFrame, seed: int) -> DataFrame:
+    """source, doc_id, n_tokens, key of all documents with tokens: the texts are read once, all else works on these numbers."""
+    uniform = (F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(1)) / F.lit(float((1 << 53) + 1))
+    rows = documents.select(source_name().alias("source"), "doc_id", tokens().alias("n_tokens"), (-F.log(uniform) / quality_weight()).alias("key")).where("n_tokens > 0")
+    return materialize(rows, "keyed")
+
+
+def source_budgets(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target: source_name, target_permille, max_repeats, source_tokens, total_tokens, budget, epochs, rest, reachable.
 
     Sources are compared trimmed and in lower case. ``budget`` = share of the tokens of all documents, null sources
     too. ``epochs`` complete passes come first, at most ``max_repeats``; ``rest`` is what a fractional pass may add. A
     target with a null name, or a source without documents, has no tokens and can't reach a share above zero.
     """
-    sums = documents.select(source_name().alias("s"), tokens().alias("n")).groupBy("s").agg(F.sum("n").alias("source_tokens"))
-    # One row per source name: the total is summed over these, not over documents.
-    total = sums.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("t")).first()[0]
+    sums = keyed.groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("source_tokens"))
+    total = keyed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()[0]
     t = targets.select("source_name", "target_permille", "max_repeats")
     own = t.join(sums.where("s is not null"), source_name("source_name") == F.col("s"), "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)).cast("long")).drop("s")
     share = F.coalesce("target_permille", F.lit(0)).cast("decimal(38,0)") * F.lit(total).cast("decimal(20,0)")
     cap = F.coalesce("max_repeats", F.lit(0)).cast("long")
-    budget = F.floor(share / 1000).cast("long")
     epochs = F.when(F.col("source_tokens") > 0, F.least(cap, F.expr("budget div source_tokens"))).otherwise(0).cast("long")
     return (
         own.withColumn("total_tokens", F.lit(total).cast("long"))
-        .withColumn("budget", budget)
+        .withColumn("budget", F.floor(share / 1000).cast("long"))
         .withColumn("epochs", epochs)
         .withColumn("rest", F.when(F.col("epochs") < cap, F.col("budget") - F.col("epochs") * F.col("source_tokens")).otherwise(0).cast("long"))
         .withColumn("reachable", share <= 1000 * cap.cast("decimal(20,0)") * F.col("source_tokens").cast("decimal(20,0)"))
     )
 
 
+def _mix(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
+    spark = keyed.sparkSession
+    # One row per target, so the table of targets bounds it; as a local table Spark knows its size.
+    plan = [tuple(r) for r in budgets.where("source_tokens > 0").select(source_name("source_name"), "epochs", "rest").collect()]
+    if len(plan) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
+    docs = keyed.where("doc_id is not null and source is not null").withColumn("range", F.floor(F.lit(KEY_RANGES) * (1 - F.exp(-F.col("key")))).cast("int"))
+    rests = spark.createDataFrame(plan, "b_source string, epochs long, rest long")
+    sums = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("in_range")).join(rests.where("rest > 0"), F.col("source") == F.col("b_source"))
+    # At most KEY_RANGES rows per source; one of them is where its budget ends.
+    upto = F.sum("in_range").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    over = sums.withColumn("upto", upto).where("upto > rest").groupBy("source").agg(F.min_by(F.struct("range", F.col("upto") - F.col("in_range")), "range").alias("e"))
+    ends = {r[0]: tuple(r[1]) for r in over.collect()}
+    rows = [(s, epochs, rest, *ends.get(s, (-1, 0))) for s, epochs, rest in plan]
+    local = spark.createDataFrame(rows, "b_source string, epochs long, rest long, end_range int, before long")
+    placed = docs.join(local, F.col("source") == F.col("b_source"))
+    # Only in that range do documents need an order.
+    inner = Window.partitionBy("source", "range").orderBy("key", "doc_id")
+    ended = placed.where("range = end_range").withColumn("upto", F.col("before") + F.sum("n_tokens").over(inner))
+    ended = ended.withColumn("extra", (2 * F.col("upto") - F.col("n_tokens") <= 2 * F.col("rest")).cast("int")).drop("upto")
+    out = placed.where("range != end_range").withColumn("extra", (F.col("range") < F.col("end_range")).cast("int")).unionByName(ended)
+    out = out.withColumn("repeats", (F.col("epochs") + F.col("extra")).cast("long")).where("repeats > 0")
+    return out.select(F.col("source").alias("source_name"), "doc_id", "repeats", "n_tokens")
+
+
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """Columns source_name, doc_id, repeats, n_tokens: how often each document enters the mix (1 or more).
 
     Documents without an id or tokens, and those of no target's source, don't enter. The same seed gives the same
     mix: a key depends on the id, the seed and the weight alone, ties go by id. No document exceeds ``max_repeats``.
     """
-    budgets = source_budgets(documents, targets).where("source_tokens > 0").select(source_name("source_name").alias("b_source"), "epochs", "rest")
-    uniform = (F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(1)) / F.lit(float((1 << 53) + 1))
-    docs = documents.select(source_name().alias("source_name"), "doc_id", tokens().alias("n_tokens"), quality_weight().alias("weight"))
-    docs = docs.where("doc_id is not null and n_tokens > 0 and source_name is not null")
-    # Few targets: the table of budgets is as small as the table of targets, and Spark broadcasts it if it is.
-    docs = docs.join(budgets, F.col("source_name") == F.col("b_source")).drop("b_source")
-    keyed = docs.withColumn("key", -F.log(uniform) / F.col("weight")).withColumn("range", F.floor(F.lit(KEY_RANGES) * (1 - F.exp(-F.col("key")))).cast("int"))
-    sums = keyed.where("rest > 0").groupBy(F.col("source_name").alias("r_source"), F.col("range").alias("r_range")).agg(F.sum("n_tokens").alias("in_range"))
-    # At most KEY_RANGES rows per source.
-    ahead = Window.partitionBy("r_source").orderBy("r_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("before", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)))
-    placed = keyed.join(before, (F.col("source_name") == F.col("r_source")) & (F.col("range") == F.col("r_range")), "left")
-    whole = F.col("before") + F.col("in_range") <= F.col("rest")
-    # Only in the one range per source where the budget ends do documents need an order.
-    at_end = (F.col("before") < F.col("rest")) & ~whole
-    inner = Window.partitionBy("source_name", "range").orderBy("key", "doc_id")
-    ended = placed.where(at_end).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inner)).withColumn("extra", (2 * F.col("upto") - F.col("n_tokens") <= 2 * F.col("rest")).cast("int")).drop("upto")
-    others = placed.where(~F.coalesce(at_end, F.lit(False))).withColumn("extra", F.coalesce(whole, F.lit(False)).cast("int"))
-    out = others.unionByName(ended).withColumn("repeats", (F.col("epochs") + F.col("extra")).cast("long"))
-    return out.where("repeats > 0").select("source_name", "doc_id", "repeats", "n_tokens")
+    keyed = keyed_documents(documents, seed)
+    return _mix(keyed, source_budgets(keyed, targets))
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """Per target the tokens it got, its share of the total it was meant from, and its share of the mix, in permille."""
-    got = mix(documents, targets, seed).groupBy(F.col("source_name").alias("s")).agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("g"), F.max("repeats").alias("most_repeats"), F.count("*").alias("documents"))
-    rows = source_budgets(documents, targets).join(got, source_name("source_name") == F.col("s"), "left").withColumn("mixed_tokens", F.coalesce("g", F.lit(0)).cast("long"))
+    keyed = keyed_documents(documents, seed)
+    budgets = source_budgets(keyed, targets)
+    got = _mix(keyed, budgets).groupBy(F.col("source_name").alias("s")).agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("g"), F.max("repeats").alias("most_repeats"), F.count("*").alias("documents"))
+    rows = budgets.join(got, source_name("source_name") == F.col("s"), "left").withColumn("mixed_tokens", F.coalesce("g", F.lit(0)).cast("long"))
     everything = Window.partitionBy(F.lit(1))  # one row per target
     return rows.select(
         "source_name",
