@@ -13,6 +13,8 @@ from bisect import bisect_left, bisect_right, insort
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.session import materialize
+
 TIERS = (512, 1024, 2048, 4096)
 
 
@@ -104,7 +106,8 @@ def pack(documents: DataFrame, capacity: int, *, step_size: int = 8, tiers: tupl
     if capacity < 1:
         raise ValueError("capacity must be positive")
     spark = documents.sparkSession
-    pieces = token_pieces(documents, capacity)
+    # The texts are read once; packing works on these numbers.
+    pieces = materialize(token_pieces(documents, capacity), "pieces")
     buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # At most `capacity` rows, whatever the input.
     counts = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}

@@ -26,6 +26,7 @@ MIN_PAGES = 8
 MIN_SHARE = 0.02
 BROADCAST_TOKENS = 200_000
 HELD_TOKENS = 300_000
+PAGES = ""  # stands for the page itself among its tokens
 
 STATS = "host string, token string, f1 long, f2 long, pages long, place double"
 STATS_ARROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("f1", pa.int64()), ("f2", pa.int64()), ("pages", pa.int64()), ("place", pa.float64())])
@@ -64,6 +65,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, host, html in zip(batch.column("id").to_pylist(), batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if not html:
                 continue
+            pages = held.setdefault((host, PAGES), [0, 0, 0, 0.0])
+            pages[2] += 1
             counts: Counter[str] = Counter()
             first: dict[str, int] = {}
             for i, token in enumerate(page_tokens(events(html))):
@@ -95,8 +98,10 @@ def deduce_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
     """
     stats = pages.where("html is not null and html != ''").mapInArrow(_stats, STATS)
     tokens = stats.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("f1", "f2", "pages", "place")])
-    sizes = pages.where("html is not null and html != ''").groupBy(F.col("host").alias("h")).agg(F.count("*").alias("n"))
-    known = tokens.where(F.col("pages") >= min_pages).join(sizes, F.col("host").eqNullSafe(F.col("h"))).where(F.col("pages") >= min_share * F.col("n"))
+    # Few tokens have the support; written once, so that pages are parsed once.
+    frequent = materialize(tokens.where((F.col("pages") >= min_pages) | (F.col("token") == PAGES)), "tokens")
+    sizes = frequent.where(F.col("token") == PAGES).select(F.col("host").alias("h"), F.col("pages").alias("n"))
+    known = frequent.where((F.col("token") != PAGES) & (F.col("pages") >= min_pages)).join(sizes, F.col("host").eqNullSafe(F.col("h"))).where(F.col("pages") >= min_share * F.col("n"))
     classes = (
         known.groupBy("host", "f1", "f2", "pages")
         .agg(F.array_sort(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("at"), "token"))).alias("tokens"), F.count_if(~F.col("token").startswith("w")).alias("elements"))
