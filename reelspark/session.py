@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,13 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where it is unset (tests, a laptop) a temporary folder of this machine is made and set.
     """
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if given:
         return given.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        made = "file://" + tempfile.mkdtemp(prefix="reelspark-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
+    if sc.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="reelspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+        return f"file://{folder}"
     raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
@@ -55,7 +59,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, if a scan gives fewer.
 
-    For costly work per row on few or small files. Large inputs come in enough partitions and pass without a shuffle.
+    For costly work per row on few or small files. Large inputs come in enough partitions and pass without a shuffle;
+    so does what was shuffled before, which has the partitions of its shuffle.
     """
+    if df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -196,3 +196,13 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame([("u1", "ok", 2)], first.schema).write.mode("append").parquet(source)
     run()
     assert {(r.url, r.status) for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()} == {("u1", "ok"), ("u2", "ok")}
+
+
+def test_spread(spark):
+    from reelspark.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(10, numPartitions=cores + 3)).rdd.getNumPartitions() == cores + 3
+    shuffled = spark.range(10).groupBy("id").count()
+    assert spread(shuffled) is shuffled
