@@ -121,7 +121,7 @@ def _pieces(limit: int, overlap: int):
             texts = batch.column("text").to_pylist()
             ids = batch.column("id")
             for lo in range(0, len(texts), 512):
-                some = [None if t is None else split_text(t, limit, overlap) for t in texts[lo : lo + 512]]
+                some = [None if t is None else split_text(" ".join(t.split()), limit, overlap) for t in texts[lo : lo + 512]]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(some)), pa.array(some, ARROW_PIECES)], names=["id", "pieces"])
 
     return run
@@ -138,10 +138,11 @@ def split_oversized(items: DataFrame, *, item: str, text: str | Column, limit: i
     if limit < 1 or not 0 <= overlap < limit:
         raise ValueError("need limit >= 1 and 0 <= overlap < limit")
     text = F.col(text) if isinstance(text, str) else text
-    rows = spread(items.select(F.col(item).alias("id"), text.alias("text"))).select("id", collapse_ws("text").alias("text"))
+    rows = spread(items.select(F.col(item).alias("id"), text.alias("text")))
+    # Collapsing only shortens a text, so the rest is the few that may need cutting.
     fits = F.col("text").isNull() | (F.char_length("text") <= limit)
     small = rows.where(fits).select(
-        F.col("id").alias(item), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("overlap"), "text", F.lit(None).cast("string").alias("cut")
+        F.col("id").alias(item), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("overlap"), collapse_ws("text").alias("text"), F.lit(None).cast("string").alias("cut")
     )
     large = rows.where(~fits)
     id_type = rows.schema["id"].dataType.simpleString()
