@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from reelspark.llm import residue_seeds as seeds
 from reelspark.session import spread
 
-BUCKETS = 1 << 18
+BITS = 18
+BUCKETS = 1 << BITS
 ORDERS = (3, 5)
+SHAPE_ORDERS = (3,)
 WINDOW = 24
 COVERAGE = 0.5
 CLIP = 4.0
@@ -46,7 +48,7 @@ FORMS = regex.compile(
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point below 65,536: lower case with digits as 0 and white space as a space; and its shape."""
-    low, shape = np.arange(1 << 16, dtype=np.uint64), np.arange(1 << 16, dtype=np.uint64)
+    low, shape = np.arange(1 << 16, dtype=np.uint32), np.arange(1 << 16, dtype=np.uint32)
     for i in range(1 << 16):
         c = chr(i)
         if c.isdigit():
@@ -61,7 +63,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 class Views:
@@ -76,8 +78,11 @@ class Views:
 
     @staticmethod
     def _map(points: np.ndarray, table: np.ndarray) -> np.ndarray:
-        out = np.full(len(points) + 2, ord(" "), np.uint64)
-        out[1:-1] = np.where(points < (1 << 16), table[np.minimum(points, (1 << 16) - 1).astype(np.int64)], points)
+        out = np.full(len(points) + 2, ord(" "), np.uint32)
+        if len(points) and points.max() >= 1 << 16:
+            out[1:-1] = np.where(points < (1 << 16), table[np.minimum(points, (1 << 16) - 1)], points)
+        else:
+            out[1:-1] = table[points]
         return out
 
     def plain(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,25 +101,24 @@ class Views:
         return out[at], at - 1
 
 
-def hashed(points: np.ndarray, order: int) -> np.ndarray:
-    """The bucket of the n-gram that starts at each place."""
-    n = len(points) - order + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    h = np.full(n, order, np.uint64)
-    for k in range(order):
-        h = (h * np.uint64(0x100000001B3)) ^ points[k : k + n]
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(46)).astype(np.int64)
+def hashed(points: np.ndarray, orders: tuple[int, ...] = ORDERS) -> list[np.ndarray]:
+    """For each order the buckets of the n-grams that start at each place."""
+    h = np.zeros(len(points), np.uint32)
+    out = []
+    for k in range(max(orders)):
+        n = max(0, len(points) - k)
+        h = (h[:n] * np.uint32(0x01000193)) ^ points[k:]
+        if k + 1 in orders:
+            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) + np.uint32(k * 0x3C6EF372 & 0xFFFFFFFF)
+            out.append(mixed >> np.uint32(32 - BITS))
+    return out
 
 
-def count(texts: list[str], view) -> np.ndarray:
+def count(texts: list[str], view, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int64)
     for t in texts:
-        p, _ = view(codes(t))
-        for order in ORDERS:
-            out += np.bincount(hashed(p, order), minlength=BUCKETS)
+        for h in hashed(view(codes(t))[0], orders):
+            out += np.bincount(h, minlength=BUCKETS)
     return out
 
 
@@ -180,7 +184,7 @@ class Detector:
         prose = prose + mention * (PROSE_PRIOR * max(1, prose.sum()) / mention.sum())
         self.tables = {kind: log_ratio(count(seeds.lines(block), self.views.plain), prose) for kind, block in (("filler", seeds.FILLER), ("notice", seeds.NOTICE))}
         # A placeholder is a stretch of a sentence; of its example only the odd n-grams speak for it.
-        self.shape = log_ratio(count([m.group() for x in seeds.lines(seeds.PLACEHOLDER) for m in FORMS.finditer(x)], self.views.shape), prose_shapes)
+        self.shape = log_ratio(count([m.group() for x in seeds.lines(seeds.PLACEHOLDER) for m in FORMS.finditer(x)], self.views.shape, SHAPE_ORDERS), prose_shapes)
         self.threshold, self.shape_threshold = threshold, shape_threshold
 
     def spans(self, text: str) -> list[tuple[int, int, str, float]]:
@@ -196,7 +200,7 @@ class Detector:
             if FORMS.search(clean[places[i][0] : places[i][1]]):
                 found[i] = ("placeholder", 1.0)
         p, at = self.views.plain(points)
-        hashes = [hashed(p, order) for order in ORDERS]
+        hashes = hashed(p)
         n = len(hashes[-1])
         # The n-grams of a sentence start on the space before it and end on the one behind it.
         first = np.maximum(np.searchsorted(at, starts) - 1, 0)
@@ -217,7 +221,7 @@ class Detector:
     def _odd_shapes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
         """The sentences with four n-grams in a row that have the shape of a placeholder."""
         p, at = self.views.shape(points)
-        r = self.shape[hashed(p, 3)]
+        r = self.shape[hashed(p, SHAPE_ORDERS)[0]]
         w = min(4, len(r))
         if w == 0:
             return []
@@ -245,9 +249,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for t in batch.column("text").to_pylist():
             if t and t.strip():
                 points = codes(t)
-                for parts, view in zip(waiting, (views.plain, views.shape), strict=True):
-                    p, _ = view(points)
-                    parts += [hashed(p, order) for order in ORDERS]
+                for parts, view, orders in zip(waiting, (views.plain, views.shape), (ORDERS, SHAPE_ORDERS), strict=True):
+                    parts += hashed(view(points)[0], orders)
                 if len(waiting[0]) >= 400 or len(t) > 100_000:
                     flush(1_000_000)
     flush(1)
