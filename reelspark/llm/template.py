@@ -38,9 +38,12 @@ TEXT, CODE, FORMULA = 0, 1, 2
 MATH_SIGNS = {"msup": "^", "msub": "_", "mfrac": "/"}
 
 
-def page_tokens(page: list[tuple[str, str, str]]) -> Iterator[str]:
+def page_tokens(page: list[tuple[str, str, str]], worded: dict[str, set[str]] | None = None) -> Iterator[str]:
+    """The tokens of a page in order; with ``worded``, words only of the paths in it."""
     for kind, path, text in page:
         if kind == "text":
+            if worded is not None and path not in worded:
+                continue
             for word in text.split():
                 if len(word) <= 40:
                     yield f"w{path} {word}"
@@ -110,6 +113,16 @@ def deduce_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
     return classes.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list("tokens.token"))).alias("template"), F.sum(F.size("tokens")).alias("n_tokens"))
 
 
+def template_words(classes: dict[str, tuple[int, int]]) -> dict[str, set[str]]:
+    """The words of a template by path."""
+    out: dict[str, set[str]] = {}
+    for token in classes:
+        if token.startswith("w"):
+            path, _, word = token[1:].partition(" ")
+            out.setdefault(path, set()).add(word)
+    return out
+
+
 def valid_classes(tokens: list[str], classes: dict[str, tuple[int, int]], sizes: list[int]) -> set[int]:
     """The classes whose tokens come in order and nest on this page; ``classes`` gives (class, place in it) of a token."""
     present = {classes[t][0] for t in tokens if t in classes}
@@ -153,21 +166,26 @@ def fill_slots(html: str, classes: dict[str, tuple[int, int]], sizes: list[int],
     them, else "body". Words of the template are left out of the texts.
     """
     page = events(html)
-    valid = valid_classes(list(page_tokens(page)), classes, sizes)
+    worded = template_words(classes)
+    valid = valid_classes([t for t in page_tokens(page, worded) if t in classes], classes, sizes)
     stack: list[tuple[int, int]] = []
     out: list[dict] = []
     parts: list[tuple[str, int]] = []
     math: list[list] = []  # open elements of a formula, with the children they have had
     where: list = [None, "", ""]
-
-    def classes_of(path: str) -> list[list[str]]:
-        return [x.split(".") for x in path.split("/")[1:]]
-
-    def place_of(levels: list[list[str]]) -> str | None:
-        depth = next((i for i, x in enumerate(levels) if inside in x[1:]), None)
-        if depth is None:
-            return None
-        return "caption" if any(part in x[1:] for x in levels[depth:]) else "body"
+    known: dict[str, tuple[str | None, str, bool, bool, bool]] = {}
+
+    def about(path: str) -> tuple[str | None, str, bool, bool, bool]:
+        """Of a path: its place, its block, whether its text is hidden or code, whether its element is of the part's class."""
+        got = known.get(path)
+        if got is None:
+            levels = [x.split(".") for x in path.split("/")[1:]]
+            names = {x[0] for x in levels}
+            depth = next((i for i, x in enumerate(levels) if inside in x[1:]), None)
+            place = None if depth is None else "caption" if any(part in x[1:] for x in levels[depth:]) else "body"
+            block = next((x[0] for x in reversed(levels) if x[0] in BLOCKS), "")
+            got = known[path] = (place, block, bool(names & {"script", "style"}), bool(names & UNREAD), bool(levels) and part in levels[-1][1:])
+        return got
 
     def flush() -> None:
         text, code, asides = _united(parts)
@@ -176,25 +194,21 @@ def fill_slots(html: str, classes: dict[str, tuple[int, int]], sizes: list[int],
         parts.clear()
 
     for kind, path, text in page:
-        levels = classes_of(path)
+        place, block, hidden, code, of_part = about(path)
         if kind == "text":
-            place = place_of(levels)
-            block = next((x[0] for x in reversed(levels) if x[0] in BLOCKS), "")
-            slot = "/".join(f"{c}.{k}" for c, k in stack)
+            slot = "/".join([f"{c}.{k}" for c, k in stack])
             if [place, block] != where[:2]:
                 flush()
                 where = [place, block, slot]
-            unread = [x[0] for x in levels if x[0] in UNREAD]
-            if "script" in unread or "style" in unread:
+            if hidden:
                 continue
-            for word in set(text.split()):
-                at = classes.get(f"w{path} {word}")
-                if at and at[0] in valid:
+            for word in worded.get(path, ()):
+                if word in text and classes[f"w{path} {word}"][0] in valid:
                     text = " ".join(x for x in text.split(" ") if x.strip() != word)
             if math and parts and parts[-1][1] == FORMULA:
                 parts[-1] = (parts[-1][0] + text.strip(), FORMULA)
             else:
-                parts.append((text.replace(ASIDE, " "), CODE if unread else TEXT))
+                parts.append((text.replace(ASIDE, " "), CODE if code else TEXT))
             continue
         if text == "math" or math:
             if kind == "close":
@@ -216,7 +230,7 @@ def fill_slots(html: str, classes: dict[str, tuple[int, int]], sizes: list[int],
                 stack.pop()
                 if k < sizes[c] - 1:
                     stack.append((c, k))
-        if text in BLOCKS or text == "pre" or part in levels[-1][1:]:
+        if text in BLOCKS or text == "pre" or of_part:
             flush()
             where = [None, "", ""]
         elif text == "br" and kind == "open":
