@@ -178,32 +178,39 @@ def _viterbi(scores: np.ndarray, switch: float) -> list[int]:
 def stretches(scorer: Scorer, text: str) -> list[tuple[int, int, int, float]]:
     """(start, end, language, confidence) of the stretches of a text, neighbours of one language united."""
     blank = NO_TEXT.sub(lambda m: " " * (m.end() - m.start()), text)
-    out: list[list] = []  # start, end, lang, margin, words
+    spots: list[tuple[int, int, str]] = []
+    bounds: list[int] = []  # where each sentence with words begins among the words
     for a, b in sentences(blank):
-        spots = [(m.start() + a, m.end() + a, m.group().lower()) for m in WORD.finditer(blank[a:b])]
-        if not spots:
-            continue
-        scores = _weigh(scorer, [w for _, _, w in spots])
-        total = scores.sum(axis=0)
-        lead = int(total.argmax())
-        parts = [(0, len(spots), lead)]
-        if len(spots) > STRETCH_WORDS:
-            gain = scores - scores[:, [lead]]
-            sums = np.vstack([np.zeros(scorer.k), gain.cumsum(axis=0)])
+        found = [(m.start() + a, m.end() + a, m.group().lower()) for m in WORD.finditer(blank[a:b])]
+        if found:
+            bounds.append(len(spots))
+            spots += found
+    if not spots:
+        return []
+    # All sentences at once: their totals, and how much the words that are for another language could gain at most.
+    scores = _weigh(scorer, [w for _, _, w in spots])
+    totals = np.add.reduceat(scores, bounds, axis=0)
+    leads = totals.argmax(axis=1)
+    counts = np.diff([*bounds, len(spots)])
+    gain = scores - scores[np.arange(len(spots)), np.repeat(leads, counts)][:, None]
+    possible = np.add.reduceat(np.maximum(gain, 0), bounds, axis=0).max(axis=1)
+    dense = [len(DENSE.findall(w)) for _, _, w in spots] if DENSE.search(blank) else [0] * len(spots)
+    out: list[list] = []  # start, end, lang, margin, words
+    for first, n, lead, most in zip(bounds, counts.tolist(), leads.tolist(), possible.tolist(), strict=True):
+        parts = [(first, first + n, lead)]
+        if n > STRETCH_WORDS and most > STRETCH_GAIN:
+            sums = np.vstack([np.zeros(scorer.k), gain[first : first + n].cumsum(axis=0)])
             if (sums - np.minimum.accumulate(sums, axis=0)).max() > STRETCH_GAIN:
-                path = _viterbi(scores, SWITCH)
-                cuts = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
-                parts = [(i, j, path[i]) for i, j in zip(cuts, cuts[1:], strict=False)]
-                long_ = [p for p in parts if p[1] - p[0] >= STRETCH_WORDS or sum(len(DENSE.findall(spots[i][2])) for i in range(p[0], p[1])) >= STRETCH_CHARS]
-                parts = long_ or [(0, len(spots), lead)]
+                path = _viterbi(scores[first : first + n], SWITCH)
+                cuts = [0, *[i for i in range(1, n) if path[i] != path[i - 1]], n]
+                found = [(first + i, first + j, path[i]) for i, j in zip(cuts, cuts[1:], strict=False)]
+                parts = [p for p in found if p[1] - p[0] >= STRETCH_WORDS or sum(dense[p[0] : p[1]]) >= STRETCH_CHARS] or parts
         for i, j, lang in parts:
             some = scores[i:j].sum(axis=0)
-            rest = np.delete(some, lang)
-            margin = float(some[lang] - rest.max()) if rest.size else 9.0
-            size = j - i + sum(len(DENSE.findall(spots[x][2])) // 3 for x in range(i, j))
-            out.append([spots[i][0], spots[j - 1][1], lang, margin, size])
-    if not out:
-        return []
+            best = some[lang]
+            some[lang] = -math.inf
+            margin = float(best - some.max()) if scorer.k > 1 else 9.0
+            out.append([spots[i][0], spots[j - 1][1], lang, margin, j - i + sum(x // 3 for x in dense[i:j])])
     # Sentences too short or too undecided to stand on their own go with the language of the text.
     weight = np.zeros(scorer.k)
     for _, _, lang, margin, _ in out:
