@@ -1,10 +1,11 @@
 """Find template residue, filler, error pages and script notices that stand in for content.
 
 Character n-gram models of filler, of error and script notices, and of placeholders (over the shapes of characters)
-are fitted on seed phrases; the model of natural prose is fitted on all documents, by counts of hashed n-grams. The log
-likelihood ratio of every n-gram is looked up, summed over sentences and over sliding windows inside them, and a
-sentence of which enough is covered by windows in favour of residue is marked. Quotations and code are blanked first,
-and a marked placeholder must have one of the known forms.
+are fitted on seed phrases; the model of natural prose is fitted on the distinct sentences of all documents, by the
+number of them beyond the first that hold a hashed n-gram: a notice that fills many rows weighs no more than one that
+stands once, and no sentence speaks for itself. The log likelihood ratio of every n-gram is looked up, summed over
+sentences and over sliding windows inside them, and a sentence of which enough is covered by windows in favour of residue
+is marked. Quotations and code are blanked first, and a marked placeholder must have one of the known forms.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ WINDOW = 24
 COVERAGE = 0.5
 CLIP = 4.0
 PROSE_IN_RESIDUE = 0.15
-PROSE_PRIOR = 0.02  # share of the prose model given to sentences that talk about errors, scripts and templates
+PROSE_PRIOR = 0.02  # share of the prose model given to sentences that talk about errors, scripts and templates; each counts once at least
 
 FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", regex.DOTALL)
 INDENTED = regex.compile(r"(?m)^(?: {4}|\t).*$")
@@ -37,6 +38,7 @@ QUOTE = regex.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}[”“]|„[^“
 PAYLOAD = regex.compile(r"(?m)^\s*\{\s*\"(?:error|errors|status|message|code)\".*\}\s*$", regex.IGNORECASE)
 UNIT = regex.compile(r"[^\n]+")
 END = regex.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+SENTENCE_BREAK = r"(?U)\n+|(?<=[.!?…])\s+|(?<=[。！？])"  # the same for the JVM
 
 NAME = r"[A-Za-z][A-Za-z0-9]*(?:[_ .-][A-Za-z0-9]+){0,3}"
 FORMS = regex.compile(
@@ -181,7 +183,7 @@ class Detector:
     def __init__(self, prose: np.ndarray, prose_shapes: np.ndarray, threshold: float = 0.8, shape_threshold: float = 0.3) -> None:
         self.views = Views()
         mention = count(seeds.lines(seeds.MENTION), self.views.plain)
-        prose = prose + mention * (PROSE_PRIOR * max(1, prose.sum()) / mention.sum())
+        prose = prose + mention * max(1.0, PROSE_PRIOR * prose.sum() / mention.sum())
         self.tables = {kind: log_ratio(count(seeds.lines(block), self.views.plain), prose) for kind, block in (("filler", seeds.FILLER), ("notice", seeds.NOTICE))}
         # A placeholder is a stretch of a sentence; of its example only the odd n-grams speak for it.
         self.shape = log_ratio(count([m.group() for x in seeds.lines(seeds.PLACEHOLDER) for m in FORMS.finditer(x)], self.views.shape, SHAPE_ORDERS), prose_shapes)
@@ -234,39 +236,57 @@ class Detector:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a partition, as the buckets that are not empty."""
+    """For each bucket the texts of a partition that hold it, as the buckets that are not empty."""
     totals = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
     views = Views()
-    waiting: list[list[np.ndarray]] = [[], []]
-
-    def flush(least: int) -> None:
-        for which, parts in enumerate(waiting):
-            if parts and sum(map(len, parts)) >= least:
-                totals[which] += np.bincount(np.concatenate(parts), minlength=BUCKETS)
-                parts.clear()
 
+    def flush(texts: list[str]) -> None:
+        # Many short texts at once, each between spaces as in a view of its own; an n-gram over a border doesn't count.
+        points = codes(" \0 ".join(texts))
+        for total, view, orders in zip(totals, (views.plain, views.shape), (ORDERS, SHAPE_ORDERS), strict=True):
+            p = view(points)[0]
+            borders = np.concatenate([[0], np.cumsum(p == 0)])
+            for k, h in zip(orders, hashed(p, orders), strict=True):
+                whole = borders[k:] == borders[:-k]
+                once = np.sort((borders[:-k][whole] << BITS) | h[whole])
+                first = np.ones(len(once), bool)
+                first[1:] = once[1:] != once[:-1]
+                total += np.bincount(once[first] & (BUCKETS - 1), minlength=BUCKETS)
+
+    waiting: list[str] = []
+    size = 0
     for batch in batches:
         for t in batch.column("text").to_pylist():
-            if t and t.strip():
-                points = codes(t)
-                for parts, view, orders in zip(waiting, (views.plain, views.shape), (ORDERS, SHAPE_ORDERS), strict=True):
-                    parts += hashed(view(points)[0], orders)
-                if len(waiting[0]) >= 400 or len(t) > 100_000:
-                    flush(1_000_000)
-    flush(1)
+            waiting.append(t)
+            size += len(t) + 3
+            if size >= 500_000:
+                flush(waiting)
+                waiting, size = [], 0
+    if waiting:
+        flush(waiting)
     for which, total in enumerate(totals):
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), which, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["view", "bucket", "n"])
 
 
+def distinct_sentences(documents: DataFrame) -> DataFrame:
+    """Column text: every sentence of the documents once, with digits as 0 and runs of white space as one space.
+
+    Neither changes the n-grams of the views. Sentences meet by their own text, after each partition has dropped its
+    repeats, so a sentence that stands in every row is no hot key.
+    """
+    sentences = documents.select(F.explode(F.split("text", SENTENCE_BREAK)).alias("text"))
+    return sentences.select(F.trim(F.regexp_replace(F.regexp_replace("text", r"\p{Nd}", "0"), r"(?U)\s+", " ")).alias("text")).where("text != ''").distinct()
+
+
 def prose_counts(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the hashed n-grams of all documents: two tables of ``BUCKETS`` numbers, whatever the input."""
-    rows = documents.select("text").where("text is not null")
+    """For each bucket of n-grams the distinct sentences that hold it, less one: two tables of ``BUCKETS`` numbers, whatever the input."""
+    rows = distinct_sentences(documents)
     sums = rows.mapInArrow(_count_batches, "view int, bucket int, n long").groupBy("view", "bucket").agg(F.sum("n").alias("n")).toArrow()
     out = (np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64))
     view, bucket, n = (sums.column(c).to_numpy() for c in ("view", "bucket", "n"))
     for which in (0, 1):
-        out[which][bucket[view == which]] = n[view == which]
+        out[which][bucket[view == which]] = n[view == which] - 1
     return out
 
 

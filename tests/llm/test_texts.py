@@ -175,3 +175,24 @@ def test_residue(spark):
     assert (kinds[1], kinds[2], kinds[3]) == ("notice", "filler", "placeholder")
     assert got.count() == 200 + len(cases) + len(clean)
     assert residue.residue_spans(df.where("false")).count() == 0
+
+
+def test_residue_in_a_third_of_the_rows(spark):
+    """A notice that fills many rows doesn't become prose."""
+    notices = ["Ce lecteur a besoin de JavaScript.", "The requested page could not be found.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Thanks to {{ speaker }} for the slides."]
+    for notice in notices:
+        prose = [(i, f"{PROSE[i % 5]} {PROSE[(i + 1) % 5]} Take {i} of the talk on {'soil wind rain snow heat'.split()[i % 5]} was long.") for i in range(200)]
+        rows = [(1000 + i, notice if i % 2 else f"{PROSE[i % 5]}\n{notice}") for i in range(100)]
+        found = residue.residue_spans(spark.createDataFrame(prose + rows, "doc_id long, text string")).where("size(spans) > 0")
+        assert {r.doc_id for r in found.collect()} == set(range(1000, 1100)), notice
+
+
+def test_counts_of_sentences(spark):
+    """Each n-gram once in a sentence, each sentence once, and none for itself."""
+    texts = ["Please wait wait.  We are  closed 12 days!\nPlease wait wait.", "Please wait. 한국어입니다。😀 b", "Closed {{ x }}\nWe are closed 34 days!", None, " \n ", "a"]
+    got = residue.prose_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    once = ["Please wait wait.", "We are closed 00 days!", "Please wait.", "한국어입니다。", "😀 b", "Closed {{ x }}", "a"]
+    views = residue.Views()
+    for counts, view, orders in zip(got, (views.plain, views.shape), (residue.ORDERS, residue.SHAPE_ORDERS), strict=True):
+        holding = sum((residue.count([t], view, [k]) > 0).astype(int) for t in once for k in orders)
+        assert (counts == (holding - 1).clip(0)).all() and counts.sum() > 0
