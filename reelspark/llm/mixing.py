@@ -41,24 +41,26 @@ def keyed_documents(documents: DataFrame, seed: int) -> DataFrame:
 
 
 def source_budgets(keyed: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: source_name, target_permille, max_repeats, source_tokens, total_tokens, budget, epochs, rest, reachable.
+    """One row per target: source_name, target_permille, max_repeats, source_tokens, drawn_tokens, total_tokens, budget, epochs, rest, reachable.
 
     Sources are compared trimmed and in lower case. ``budget`` = share of the tokens of all documents, null sources
-    too. ``epochs`` complete passes come first, at most ``max_repeats``; ``rest`` is what a fractional pass may add. A
+    too. ``drawn_tokens`` are those of documents with an id, the only ones that can be drawn: ``epochs`` complete passes
+    over them come first, at most ``max_repeats``; ``rest``, less than one pass, is what a fractional pass may add. A
     target with a null name, or a source without documents, has no tokens and can't reach a share above zero.
     """
-    sums = keyed.groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("source_tokens"))
+    sums = keyed.groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("source_tokens"), F.sum(F.when(F.col("doc_id").isNotNull(), F.col("n_tokens"))).alias("drawn_tokens"))
     total = keyed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()[0]
     t = targets.select("source_name", "target_permille", "max_repeats")
-    own = t.join(sums.where("s is not null"), source_name("source_name") == F.col("s"), "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)).cast("long")).drop("s")
+    own = t.join(sums.where("s is not null"), source_name("source_name") == F.col("s"), "left").drop("s")
+    own = own.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("source_tokens", "drawn_tokens")})
     share = F.coalesce("target_permille", F.lit(0)).cast("decimal(38,0)") * F.lit(total).cast("decimal(20,0)")
     cap = F.coalesce("max_repeats", F.lit(0)).cast("long")
-    epochs = F.when(F.col("source_tokens") > 0, F.least(cap, F.expr("budget div source_tokens"))).otherwise(0).cast("long")
+    epochs = F.when(F.col("drawn_tokens") > 0, F.least(cap, F.expr("budget div drawn_tokens"))).otherwise(0).cast("long")
     return (
         own.withColumn("total_tokens", F.lit(total).cast("long"))
         .withColumn("budget", F.floor(share / 1000).cast("long"))
         .withColumn("epochs", epochs)
-        .withColumn("rest", F.when(F.col("epochs") < cap, F.col("budget") - F.col("epochs") * F.col("source_tokens")).otherwise(0).cast("long"))
+        .withColumn("rest", F.when(F.col("epochs") < cap, F.col("budget") - F.col("epochs") * F.col("drawn_tokens")).otherwise(0).cast("long"))
         .withColumn("reachable", share <= 1000 * cap.cast("decimal(20,0)") * F.col("source_tokens").cast("decimal(20,0)"))
     )
 
@@ -66,7 +68,7 @@ def source_budgets(keyed: DataFrame, targets: DataFrame) -> DataFrame:
 def _mix(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     # One row per target, so the table of targets bounds it; as a local table Spark knows its size.
-    plan = [tuple(r) for r in budgets.where("source_tokens > 0").select(source_name("source_name"), "epochs", "rest").collect()]
+    plan = [tuple(r) for r in budgets.where("drawn_tokens > 0").select(source_name("source_name"), "epochs", "rest").collect()]
     if len(plan) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
     docs = keyed.where("doc_id is not null and source is not null").withColumn("range", F.floor(F.lit(KEY_RANGES) * (1 - F.exp(-F.col("key")))).cast("int"))
@@ -76,7 +78,8 @@ def _mix(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
     upto = F.sum("in_range").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
     over = sums.withColumn("upto", upto).where("upto > rest").groupBy("source").agg(F.min_by(F.struct("range", F.col("upto") - F.col("in_range")), "range").alias("e"))
     ends = {r[0]: tuple(r[1]) for r in over.collect()}
-    rows = [(s, epochs, rest, *ends.get(s, (-1, 0))) for s, epochs, rest in plan]
+    # Without a rest nothing more is drawn; a rest that no range passes takes all.
+    rows = [(s, epochs, rest, *ends.get(s, (KEY_RANGES + 1 if rest > 0 else -1, 0))) for s, epochs, rest in plan]
     local = spark.createDataFrame(rows, "b_source string, epochs long, rest long, end_range int, before long")
     placed = docs.join(local, F.col("source") == F.col("b_source"))
     # Only in that range do documents need an order.

@@ -194,3 +194,18 @@ def test_complete_epochs_come_first(spark):
     targets = spark.createDataFrame([("s", 750, 5)], "source_name string, target_permille int, max_repeats int")
     rows = mixing.mix(docs, targets).collect()  # 150 of 200 tokens: one epoch and half of another
     assert sorted(r.repeats for r in rows) == [1] * 5 + [2] * 5
+
+
+def test_documents_without_an_id_are_not_drawn(spark):
+    docs = spark.createDataFrame([(i, "a" * 10, "s") for i in range(10)] + [(None, "b" * 100, "s")], "doc_id long, text string, source string")
+    for most, repeats in ((1, [1] * 10), (2, [1] * 5 + [2] * 5)):  # 150 of 200 tokens; 100 have an id
+        targets = spark.createDataFrame([("s", 750, most)], "source_name string, target_permille int, max_repeats int")
+        assert sorted(r.repeats for r in mixing.mix(docs, targets).collect()) == repeats
+        report = mixing.mix_report(docs, targets).first()
+        assert report.source_tokens == 200 and report.reachable and report.mixed_tokens == 10 * sum(repeats)
+
+
+def test_a_rest_that_no_range_passes_takes_all(spark):
+    keyed = mixing.keyed_documents(spark.createDataFrame([(i, "a" * 10, "s") for i in range(10)], "doc_id long, text string, source string"), 1)
+    budgets = spark.createDataFrame([("s", 100, 1, 100)], "source_name string, drawn_tokens long, epochs long, rest long").withColumn("source_tokens", F.col("drawn_tokens"))
+    assert [r.repeats for r in mixing._mix(keyed, budgets).collect()] == [2] * 10
