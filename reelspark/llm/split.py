@@ -3,7 +3,8 @@
 A text is first read as atoms that may be cut apart: sentences; in a sentence above the limit its words; in a word
 above the limit its characters. So cuts fall between sentences wherever the limit allows. The smallest possible number
 of pieces sets equal-length targets, each target snaps to the strongest boundary near it, and pieces are added while
-any limit fails.
+any limit fails: one by one at first, then in doubling steps up to the number of atoms. Where no number tried keeps the
+limits, each piece is filled as far as it goes.
 """
 
 from __future__ import annotations
@@ -63,8 +64,19 @@ def balanced_cuts(length: int, places: list[int], ends: list[int], strengths: li
     ``ends`` says where a piece that is cut at a place ends: the space before the place isn't part of it.
     """
     room = max(1, limit - overlap)
-    k = 1 + -(-(length - limit) // room)
-    for pieces in range(k, k + 6):
+    filled, at = [], 0  # each piece as far as it goes: no cuts can be fewer
+    while length - at > limit:
+        j = bisect_right(ends, at + limit) - 1
+        if places[j] <= at:
+            raise AssertionError("atoms exceed the limit")
+        at = places[j]
+        filled.append(at)
+    least = max(1 + -(-(length - limit) // room), len(filled) + 1)
+    tries, step = list(range(least, least + 6)), 2
+    while tries[-1] + step <= len(places) + 1:
+        tries.append(tries[-1] + step)
+        step *= 2
+    for pieces in tries:
         cuts, at = [], 0
         for i in range(1, pieces):
             target = i * length // pieces
@@ -84,14 +96,7 @@ def balanced_cuts(length: int, places: list[int], ends: list[int], strengths: li
             cuts.append(at)
         if at >= 0 and length - at <= limit:
             return cuts
-    cuts, at = [], 0  # uneven boundaries: fill each piece as far as it goes
-    while length - at > limit:
-        j = bisect_right(ends, at + limit) - 1
-        if places[j] <= at:
-            raise AssertionError("atoms exceed the limit")
-        at = places[j]
-        cuts.append(at)
-    return cuts
+    return filled  # uneven boundaries
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[dict]:

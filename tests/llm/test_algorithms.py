@@ -209,3 +209,12 @@ def test_a_rest_that_no_range_passes_takes_all(spark):
     keyed = mixing.keyed_documents(spark.createDataFrame([(i, "a" * 10, "s") for i in range(10)], "doc_id long, text string, source string"), 1)
     budgets = spark.createDataFrame([("s", 100, 1, 100)], "source_name string, drawn_tokens long, epochs long, rest long").withColumn("source_tokens", F.col("drawn_tokens"))
     assert [r.repeats for r in mixing._mix(keyed, budgets).collect()] == [2] * 10
+
+
+def test_pieces_are_added_before_filling():
+    """Long sentences that pack badly need 46 pieces where 33 would hold the characters."""
+    text = " ".join(["b" * 49 + "."] * 80 + ["a" * 399 + "."] * 40)
+    pieces = split.split_text(text, 700, 80)
+    bodies = [len(p["text"]) - p["overlap"] for p in pieces]
+    assert max(bodies) < 500 and min(bodies) > 300 and all(len(p["text"]) <= 700 for p in pieces)
+    assert all(p["overlap"] > 0 for p in pieces[1:])
