@@ -70,14 +70,20 @@ def srt_files(cues: DataFrame, key: str = "video_id", order: str = "seq") -> Dat
     return blocks.select(key, F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("srt"))
 
 
+def _number(idx: Column, behind: str) -> Column:
+    """The place in the playlist, padded to two digits or as many as needed, and what stands behind it; nothing where it's null."""
+    digits = idx.cast("string")
+    return F.coalesce(F.concat(F.lpad(digits, F.greatest(F.lit(2), F.char_length(digits)), F.lit("0")), F.lit(behind)), F.lit(""))
+
+
 def transcript_md(idx: Column, title: Column, url: Column, paragraphs: Column) -> Column:
-    head = F.concat(F.lit("# "), F.lpad(idx.cast("string"), 2, "0"), F.lit(". "), title)
+    head = F.concat(F.lit("# "), _number(idx, ". "), title)
     link = F.concat(F.lit("[YouTube]("), url, F.lit(")"))
     return F.concat(F.rtrim(F.concat_ws("\n\n", F.concat(head, F.lit("\n\n"), link), F.array_join(paragraphs, "\n\n"))), F.lit("\n"))
 
 
 def transcript_name(idx: Column, title: Column) -> Column:
-    return F.concat(F.lpad(idx.cast("string"), 2, "0"), F.lit(" - "), safe_name(title))
+    return F.concat(_number(idx, " - "), safe_name(title))
 
 
 def page_numbers(rows: DataFrame, parent: str, order: list[str]) -> DataFrame:

@@ -177,8 +177,8 @@ select v.video_id, lpad(idx::varchar, 2, '0') || ' - ' || regexp_replace(regexp_
   rtrim('# ' || lpad(idx::varchar, 2, '0') || '. ' || coalesce(title, '') || chr(10) || chr(10) || '[YouTube](' || url || ')' || chr(10) || chr(10) || string_agg(p.text, chr(10) || chr(10) order by p_idx)) || chr(10) as markdown
 from videos v join paragraphs p on v.video_id = p.video_id where idx < 100 and p.text is not null group by v.video_id, idx, title, url""")
 def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown file per video of the playlist's first 99: a file is one value, so its paragraphs meet in one row."""
-    videos = table(spark, sf_dir, "videos").where("idx < 100").select("video_id", "idx", F.coalesce("title", F.lit("")).alias("title"), "url")
+    """One Markdown file per video: a file is one value, so its paragraphs meet in one row."""
+    videos = table(spark, sf_dir, "videos").select("video_id", "idx", F.coalesce("title", F.lit("")).alias("title"), "url")
     texts = table(spark, sf_dir, "paragraphs").where("text is not null").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("p_idx", "para_id", "text"))).alias("p"))
     rows = videos.join(texts, "video_id")
     return rows.select("video_id", transcript_name(F.col("idx"), F.col("title")).alias("name"), transcript_md(F.col("idx"), F.col("title"), F.col("url"), F.transform("p", lambda x: x["text"])).alias("markdown"))

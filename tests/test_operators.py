@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelspark.operators import dedup, html_pages, joins, models, paths, render, segments, tables
 from reelspark.operators.ordered import numbered, ordered
+from reelspark.plans import texts
 
 
 def test_ordered_over_many_partitions(spark):
@@ -206,3 +207,12 @@ def test_spread(spark):
     assert spread(spark.range(10, numPartitions=cores + 3)).rdd.getNumPartitions() == cores + 3
     shuffled = spark.range(10).groupBy("id").count()
     assert spread(shuffled) is shuffled
+
+
+def test_transcript_files(spark, tmp_path):
+    videos = [(f"v{i}", i, f"T{i}", "u") for i in (7, 42, 99, 100, 123, 1234)] + [("vx", None, "T", "u")]
+    spark.createDataFrame(videos, "video_id string, idx int, title string, url string").write.parquet(f"{tmp_path}/videos.parquet")
+    spark.createDataFrame([(f"p{v[0]}", v[0], 0, "text") for v in videos], "para_id string, video_id string, p_idx int, text string").write.parquet(f"{tmp_path}/paragraphs.parquet")
+    rows = {r.video_id: (r["name"], r.markdown.split("\n")[0]) for r in texts.transcript_files(spark, str(tmp_path)).collect()}
+    numbers = {7: "07", 42: "42", 99: "99", 100: "100", 123: "123", 1234: "1234"}
+    assert rows == {f"v{i}": (f"{n} - T{i}", f"# {n}. T{i}") for i, n in numbers.items()} | {"vx": ("T", "# T")}
