@@ -32,11 +32,14 @@ SWITCH = 9.0  # cost of changing the language inside a sentence
 STRETCH_GAIN = 13.0
 STRETCH_WORDS = 4
 STRETCH_CHARS = 8  # of scripts without spaces
+SHORT_MARGIN = 2.5  # of each word of a sentence of two words; a single word needs another script and WORD_CLIP
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 #: Links, mail addresses, code spans, paths, names joined by signs and stuttered syllables: no text in any language.
 NO_TEXT = regex.compile(r"`[^`]*`|(?<!\S)(\S{1,4}?)\1{4,}\S*|\b\w+://\S+|\bwww\.\S+|\S+@\S+\.\S+|(?<!\S)(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+/=_.&?:#%~-]{12,}|(?<!\S)\S*[A-Za-z0-9][_/\\]\S*[A-Za-z0-9]\S*")
 SENTENCE = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』）\"”»)]*| (?:[/|–—]|-{1,2}) ")
+ENDED = regex.compile(r"[.!?…。！？][\"'”’»」』)\]]*\s*$")
+LATIN = regex.compile(r"\p{Latin}")
 DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
@@ -180,10 +183,14 @@ def stretches(scorer: Scorer, text: str) -> list[tuple[int, int, int, float]]:
     blank = NO_TEXT.sub(lambda m: " " * (m.end() - m.start()), text)
     spots: list[tuple[int, int, str]] = []
     bounds: list[int] = []  # where each sentence with words begins among the words
+    whole: list[bool] = []  # which of them stand between sentence ends, not between dashes or strokes
+    closed = True
     for a, b in sentences(blank):
+        before, closed = closed, ENDED.search(blank[a:b]) is not None
         found = [(m.start() + a, m.end() + a, m.group().lower()) for m in WORD.finditer(blank[a:b])]
         if found:
             bounds.append(len(spots))
+            whole.append(before and closed)
             spots += found
     if not spots:
         return []
@@ -196,7 +203,8 @@ def stretches(scorer: Scorer, text: str) -> list[tuple[int, int, int, float]]:
     possible = np.add.reduceat(np.maximum(gain, 0), bounds, axis=0).max(axis=1)
     dense = [len(DENSE.findall(w)) for _, _, w in spots] if DENSE.search(blank) else [0] * len(spots)
     out: list[list] = []  # start, end, lang, margin, words
-    for first, n, lead, most in zip(bounds, counts.tolist(), leads.tolist(), possible.tolist(), strict=True):
+    alone: list[bool] = []  # which may stand in another language than the text
+    for first, n, lead, most, complete in zip(bounds, counts.tolist(), leads.tolist(), possible.tolist(), whole, strict=True):
         parts = [(first, first + n, lead)]
         if n > STRETCH_WORDS and most > STRETCH_GAIN:
             sums = np.vstack([np.zeros(scorer.k), gain[first : first + n].cumsum(axis=0)])
@@ -211,14 +219,21 @@ def stretches(scorer: Scorer, text: str) -> list[tuple[int, int, int, float]]:
             some[lang] = -math.inf
             margin = float(best - some.max()) if scorer.k > 1 else 9.0
             out.append([spots[i][0], spots[j - 1][1], lang, margin, j - i + sum(x // 3 for x in dense[i:j])])
-    # Sentences too short or too undecided to stand on their own go with the language of the text.
+            size = out[-1][4]
+            if size >= 3:
+                alone.append(margin >= 5.0)
+            elif complete and not any(LATIN.search(w) for _, _, w in spots[i:j]):
+                alone.append(margin >= WORD_CLIP)
+            else:
+                alone.append(complete and size == 2 and margin >= SHORT_MARGIN * size)
+    # Sentences too undecided for their length to stand on their own go with the language of the text.
     weight = np.zeros(scorer.k)
     for _, _, lang, margin, _ in out:
         weight[lang] += max(margin, 0.01)
     main = int(weight.argmax())
     united: list[list] = []
-    for s in out:
-        if s[2] != main and (s[3] < 5.0 or s[4] < 3):
+    for s, certain in zip(out, alone, strict=True):
+        if s[2] != main and not certain:
             s[2], s[3] = main, 0.1
         if united and united[-1][2] == s[2]:
             united[-1][1] = s[1]

@@ -196,3 +196,19 @@ def test_counts_of_sentences(spark):
     for counts, view, orders in zip(got, (views.plain, views.shape), (residue.ORDERS, residue.SHAPE_ORDERS), strict=True):
         holding = sum((residue.count([t], view, [k]) > 0).astype(int) for t in once for k in orders)
         assert (counts == (holding - 1).clip(0)).all() and counts.sum() > 0
+
+
+def test_short_whole_sentences():
+    groups = SENTENCES | {"ko": ["아침의 강은 아주 차갑습니다.", "우리는 친구들과 오래된 방앗간에 갑니다.", "정말 감사합니다."], "de": [*SENTENCES["de"], "Vielen Dank."]}
+    langs = sorted(groups)
+    scorer = language.Scorer(langs, *language.fit([(s, lang) for lang, group in groups.items() for s in group for _ in range(5)], langs))
+    en = SENTENCES["en"][1]
+    for text, found in [
+        (f"{en} Vielen Dank.", {"en", "de"}),
+        (f"{en} 감사합니다. {en}", {"en", "ko"}),
+        (f"{en} 정말 감사합니다!", {"en", "ko"}),
+        (f"We walk to the mill – 감사합니다 – with our friends. {en}", {"en"}),
+        (f"{en} Freunden. {en}", {"en"}),
+        (f"{en} Xy Qz. {en}", {"en"}),
+    ]:
+        assert {langs[k] for _, _, k, _ in language.stretches(scorer, text)} == found, text
