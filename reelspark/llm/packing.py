@@ -1,9 +1,9 @@
 """Pack items of varying length into containers of fixed capacity.
 
 Lengths are whole numbers up to the capacity, so the histogram of lengths says everything that packing needs, and its
-size depends on the capacity alone. Best-fit decreasing runs on it, tier by tier of context size: the long tier opens
-containers, shorter tiers fill their gaps before they open windows of their own. The plan gives, for each length,
-ranges of items and the ranges of containers they go to; items get their place by their rank among equal lengths.
+size depends on the capacity alone. Best-fit decreasing runs on it. Tiers of context size only label the items: all
+containers have one capacity, and going through tiers from long to short is the decreasing order. The plan gives, for
+each length, ranges of items and the ranges of containers they go to; items get their place by their rank among equal lengths.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ TIERS = (512, 1024, 2048, 4096)
 def plan_packing(counts: dict[int, int], capacity: int, tiers: tuple[int, ...] = TIERS) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
     """From items per length: (length, first rank, items, first container, items per container), and containers by (first, number, room left).
 
-    Tiers go from long to short; within a tier lengths go down, and each length goes to the containers with the least
-    room that still take it.
+    Tiers go from long to short and within a tier lengths go down, so the plan is the same for any ``tiers``: best-fit
+    decreasing, each length in the containers with the least room that still take it.
     """
     edges = sorted({t for t in tiers if t < capacity} | {capacity})
     steps: list[tuple[int, int, int, int, int]] = []
