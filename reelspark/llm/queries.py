@@ -105,8 +105,8 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that remain when those with residue are excluded."""
-    return residue.residue_spans(_t(spark, sf_dir, "documents")).where(F.size("spans") == 0).select("doc_id")
+    """The documents that remain when those that windows of residue cover in part are excluded."""
+    return residue.exclude_residue(residue.residue_spans(_t(spark, sf_dir, "documents"))).select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p3_found, p3_pieces, p4_found, p4_ranked, p5_found, p5_runs, p6_found, p6_segments, p7_found, p7_packed, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_spans, p9_kept)}

@@ -1,7 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.llm import language, markup, pages, residue, template
+import random
+import re
+
+from reelspark.llm import language, markup, pages, residue, residue_seeds, template
 
 
 @pytest.mark.parametrize(
@@ -188,14 +191,61 @@ def test_residue_in_a_third_of_the_rows(spark):
 
 
 def test_counts_of_sentences(spark):
-    """Each n-gram once in a sentence, each sentence once, and none for itself."""
+    """Each n-gram once in a sentence, each sentence once."""
     texts = ["Please wait wait.  We are  closed 12 days!\nPlease wait wait.", "Please wait. 한국어입니다。😀 b", "Closed {{ x }}\nWe are closed 34 days!", None, " \n ", "a"]
-    got = residue.prose_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    prose, shapes, learned = residue.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
     once = ["Please wait wait.", "We are closed 00 days!", "Please wait.", "한국어입니다。", "😀 b", "Closed {{ x }}", "a"]
     views = residue.Views()
-    for counts, view, orders in zip(got, (views.plain, views.shape), (residue.ORDERS, residue.SHAPE_ORDERS), strict=True):
+    for counts, view, orders in ((prose, views.plain, residue.ORDERS), (shapes, views.shape, residue.SHAPE_ORDERS)):
         holding = sum((residue.count([t], view, [k]) > 0).astype(int) for t in once for k in orders)
-        assert (counts == (holding - 1).clip(0)).all() and counts.sum() > 0
+        assert (counts == holding).all() and counts.sum() > 0
+    assert len(learned) == 2
+
+
+def test_seeds_are_not_from_the_test_tables():
+    """No example that the models start from stands in the tables they are tried on."""
+    import glob
+
+    import duckdb
+
+    files = [f"/root/testdata/{sf}/documents.parquet" for sf in ("sf0.01", "sf0.1")]
+    files = [f for f in files if glob.glob(f)]
+    texts = "\n".join(t.lower() for f in files for (t,) in duckdb.sql(f"select distinct text from '{f}' where text is not null").fetchall())
+    for block in (residue_seeds.FILLER, residue_seeds.NOTICE, residue_seeds.WORDED, residue_seeds.MENTION, residue_seeds.PROSE):
+        for line in residue_seeds.lines(block):
+            for sentence in re.split(r"(?<=[.!?…])\s+|(?<=[。！？])", line):
+                assert not sentence.strip() or sentence.lower() not in texts, sentence
+
+
+def test_learning_from_the_corpus(spark):
+    """Residue that shares its words with other residue of the corpus is found though the examples don't know it."""
+    words = "doremus quelovi vipsana nectura magna viverra porta lorem fermentum tempor quisque nullam".split()
+    draw = random.Random(3)
+    filler = [(i, " ".join(draw.choices(words, k=9)).capitalize() + ".") for i in range(60)]
+    said = "the river bridge market garden winter letter brother sister walked looked found older warm cold under over behind town people yesterday morning carried wrote heavy light".split()
+    prose = [(1000 + i, " ".join(draw.choices(said, k=12)).capitalize() + ".") for i in range(3000)]
+    df = spark.createDataFrame(filler + prose, "doc_id long, text string")
+    counts = residue.fit(df)
+    before, after = residue.Models(*counts[:2]), residue.Models(*counts)
+    texts = [t for _, t in filler]
+    found = [sum(bool(s) for s in m.spans(texts)) for m in (before, after)]
+    assert found[1] > found[0] and found[1] > 50
+    assert not any(after.spans([t for _, t in prose]))
+
+
+def test_long_quotations_and_coverage(spark):
+    """A quotation of any length is no residue; coverage is the share really covered; exclusion goes by it."""
+    models = residue.Models(*residue.fit(spark.createDataFrame([(" ".join(PROSE),)], "text string")))
+    notice = "You must enable JavaScript in your browser to open this website. "
+    assert models.spans([f'He read out: "{notice * 20}" and laughed.'])[0] == []
+    spans = models.spans([f"{PROSE[0]} {notice}"])[0]
+    assert [k for *_, k, _ in spans] == ["notice"] and all(0 < c <= 1 for *_, c in spans)
+    df = spark.createDataFrame([(1, notice), (2, f"{PROSE[0]} " * 9 + notice), (3, PROSE[0]), (4, None)], "doc_id long, text string")
+    got = residue.residue_spans(df)
+    cover = {r.doc_id: r.coverage for r in got.collect()}
+    assert cover[1] > 0.8 > 0.2 > cover[2] > 0 == cover[3] == cover[4]
+    assert {r.doc_id for r in residue.exclude_residue(got).collect()} == {3, 4}
+    assert {r.doc_id for r in residue.exclude_residue(got, 0.5).collect()} == {2, 3, 4}
 
 
 def test_short_whole_sentences():
