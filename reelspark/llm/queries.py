@@ -55,7 +55,7 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_packed(spark, sf_dir).where("was_split and piece = 0").select("doc_id")
+    return packing.split_documents(p7_packed(spark, sf_dir))
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,41 +139,77 @@ def test_split_cases(spark):
     assert split.split_oversized(df.where("false"), item="para_id", text="text", limit=700, overlap=80).count() == 0
 
 
-@settings(deadline=None, max_examples=60)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
-def test_packing_plan(counts):
-    steps, boxes = packing.plan_packing(counts, 64, (8, 16, 32, 64))
-    placed, load = {}, {}
-    for size, rank, items, first, each in steps:
+@settings(deadline=None, max_examples=80)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20), st.sampled_from([(8, 16, 32, 64), (16,), (), (24, 100)]))
+def test_packing_plan(counts, tiers):
+    plan = packing.plan_packing(counts, 64, tiers)
+    held, loads = {}, {}
+    for run in plan:
+        assert run.size in packing.tier_edges(64, tiers) and run.count > 0
+        assert run.room == run.size - sum(n * each for n, each in run.contents) >= 0
+        for n, each in run.contents:
+            assert n <= run.size
+            held[n] = held.get(n, 0) + each * run.count
+    assert held == counts
+    placed, boxes = {}, {}
+    for size, rank, items, each, first, window_size, fill, per, first_window, first_box, _ in packing.placements(plan, 64, 4):
         assert placed.get(size, 0) == rank
         placed[size] = rank + items
         for j in range(items):
-            load[first + j // each] = load.get(first + j // each, 0) + size
-    assert placed == counts and all(v <= 64 for v in load.values())
-    assert {b + i: 64 - room for b, n, room in boxes for i in range(n)} == load
-    total = sum(s * n for s, n in counts.items())
-    assert len(load) <= max(1, 2 * math.ceil(total / 64)) or not counts
+            window = first + j // each
+            loads[window] = loads.get(window, 0) + size
+            box = first_box + (window - first_window) // per
+            boxes[box] = boxes.get(box, 0) + size
+        assert fill <= window_size
+    assert placed == counts and all(v <= 64 for v in boxes.values()) and sum(boxes.values()) == sum(n * c for n, c in counts.items())
+    assert len(boxes) <= max(1, 2 * math.ceil(sum(boxes.values()) / 64)) or not counts
+    # Windows of a short tier are as full as asked for and make whole containers.
+    for size in {r.size for r in plan} - {64}:
+        assert sum(r.count for r in plan if r.size == size) % (64 // size) == 0
+        assert all(r.room <= (1 - packing.LEAST_FILL) * size for r in plan if r.size == size)
+
+
+def test_tiers_change_the_plan():
+    """Tiers build windows of their own length, and gaps of long windows are filled from shorter tiers."""
+    counts = {40: 10, 24: 3, 16: 50, 8: 41, 5: 7}
+    tiered, plain = packing.plan_packing(counts, 64, (16, 32, 64)), packing.plan_packing(counts, 64, ())
+    assert tiered != plain and {r.size for r in tiered} == {64, 16} and {r.size for r in plain} == {64}
+    assert any(dict(r.contents).get(40) and len(r.contents) > 1 for r in tiered)
+    assert sum(r.count for r in tiered if r.size == 16) % 4 == 0
 
 
 def test_pack(spark):
     random.seed(5)
-    texts = ["x" * random.choice([1, 7, 7, 7, 40, 63, 64, 65, 200]) for _ in range(400)] + [None, "", "é" * 40]
+    texts = ["x" * random.choice([1, 7, 7, 7, 16, 16, 40, 63, 64, 65, 200]) for _ in range(400)] + [None, "", "é" * 40]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("size", F.lit(1)).withColumn("rank", F.lit(2))
-    rows = packing.pack(docs, 64, step_size=4, tiers=(16, 64)).collect()
-    tokens = {}
+    packed = packing.pack(docs, 64, step_size=4, tiers=(16, 64))
+    rows = packed.collect()
+    tokens, windows, boxes, groups = {}, {}, {}, {}
     for r in rows:
         tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
-        assert r.was_split == (len(texts[r.doc_id].encode()) > 64)
+        windows.setdefault(r.window, []).append(r)
+        boxes.setdefault(r.container, []).append(r)
+        groups.setdefault(r.step_group, set()).add(r.container)
+        assert r.n_tokens <= r.tier <= r.window_size or r.window_size == 64
     assert tokens == {i: len(t.encode()) for i, t in enumerate(texts) if t}
-    load = {}
-    for r in rows:
-        load.setdefault(r.container, []).append(r)
-    assert all(sum(r.n_tokens for r in x) == x[0].fill <= 64 for x in load.values())
-    report = packing.packing_report(packing.pack(docs, 64, step_size=4, tiers=(16, 64)), 64).first()
-    assert report.containers == len(load) and report.share_used > 0.95 and report.heaviest_group <= 4 * 64
+    assert all(sum(r.n_tokens for r in x) == x[0].window_fill <= x[0].window_size for x in windows.values())
+    assert all(sum(r.n_tokens for r in x) <= 64 and len({r.window_size for r in x}) == 1 for x in boxes.values())
+    assert all(len(x) <= 4 for x in groups.values()) and {16, 64} == {r.window_size for r in rows}
+    assert {r.doc_id for r in packing.split_documents(packed).collect()} == {i for i, t in enumerate(texts) if t and len(t.encode()) > 64}
+    report = {r.window_size: r for r in packing.packing_report(packed, 64).collect()}
+    assert sum(r.containers for r in report.values()) == len(boxes) and report[64].share_used > 0.95 and report[16].share_used > 0.98
+    assert all(r.heaviest_group <= 4 * 64 for r in report.values())
     assert packing.pack(docs.where("false"), 64).count() == 0
 
 
+def test_ranks_of_a_hot_length(spark, monkeypatch):
+    """One length that holds most rows is ranked in several tasks, without gaps."""
+    monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 50)
+    docs = spark.range(1000).selectExpr("id as doc_id", "case when id % 10 = 0 then 'abc' else 'abcdefgh' end as text")
+    rows = packing.pack(docs, 16).collect()
+    assert len(rows) == 1000 and len({r.window for r in rows}) >= 450 and all(r.window_fill <= 16 for r in rows)
+
+
 def test_mix(spark):
     docs = [(i, random.choice(["word ", "1234 "]) * random.randint(1, 40), " Blog" if i % 2 else "BLOG ") for i in range(300)]
     docs += [(1000 + i, "rare text", "small") for i in range(5)] + [(2000, "no source", None), (2001, None, "small"), (2002, "", "blog"), (None, "x", "blog")]
