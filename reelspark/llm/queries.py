@@ -49,6 +49,11 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_runs(_t(spark, sf_dir, "cues"))
 
 
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cue in its run, where stretches that drift away from their centre are cut."""
+    return runs.collapse_runs(_t(spark, sf_dir, "cues"), centre_weight=0.5, min_events=1)
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = packing.container_limit(_t(spark, sf_dir, "size_limits"))
     return packing.pack(_t(spark, sf_dir, "documents"), capacity)
@@ -109,7 +114,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.exclude_residue(residue.residue_spans(_t(spark, sf_dir, "documents"))).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p3_found, p3_pieces, p4_found, p4_ranked, p5_found, p5_runs, p6_found, p6_segments, p7_found, p7_packed, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_spans, p9_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p3_found, p3_pieces, p4_found, p4_ranked, p5_found, p5_runs, p5_segments, p6_found, p6_segments, p7_found, p7_packed, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_spans, p9_kept)}
 
 _MOMENTS = """
 with f as (select distinct frame_id, video_id, cast(round(timestamp_s * 1000) as bigint) * 2 as t from frames),

@@ -105,6 +105,56 @@ def test_runs_are_brute_force(spark):
     assert runs.collapse_runs(df.where("false")).count() == 0
 
 
+def cheapest(events, steps, weight):
+    """All segmentations of a stretch: the least cost, by trying every cut."""
+    best = [0.0]
+    for j in range(1, len(events) + 1):
+        costs = []
+        for i in range(j):
+            run = events[i:j]
+            centre = min(sum(runs.dissimilarity(c, x) for x in run) for c in run)
+            costs.append(best[i] + runs.BOUNDARY_PENALTY + sum(steps[i + 1 : j]) + weight * centre)
+        best.append(min(costs))
+    return best[-1]
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=14), st.sampled_from([0.0, 0.3, 1.0, 4.0]))
+def test_segmentation_is_optimal(turns, weight):
+    """The pruned program finds the cost that trying every cut finds."""
+    words, events = ["w0", "w1", "w2", "w3", "w4"], []
+    for k, turn in enumerate(turns):
+        if turn:
+            words = [*words]
+            words[(turn + k) % 5] = f"x{k % 3}"
+        events.append(tuple(words))
+    steps = [0.0, *(runs.step_cost(a, b) for a, b in zip(events, events[1:], strict=False))]
+    seg = runs.Segmenter(weight)
+    for event, step in zip(events, steps, strict=True):
+        seg.add(event, 1, step)
+    assert abs(seg.best - cheapest(events, steps, weight)) < 1e-9
+    assert [i for i, _ in seg.runs()][1:] == [j for _, j in seg.runs()][:-1]
+
+
+def test_drift_is_cut_where_it_is_cheapest(spark):
+    """Ten equal cues, a drift of one word at a time, ten equal cues: neighbours alone give one run, centres cut it."""
+    first, last = "a b c d e f".split(), "p q r s t u".split()
+    texts = [first] * 10 + [last[:k] + first[k:] for k in range(1, 6)] + [last] * 10
+    rows = [(f"c{i:03d}", "v", float(i), i + 0.5, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "cue_id string, video_id string, start_s double, end_s double, text string").repartition(5)
+    whole = runs.collapse_runs(df).collect()
+    assert [(r.first_cue_id, r.last_cue_id, r.n_cues) for r in whole] == [("c000", "c024", 25)]
+    parts = sorted(runs.collapse_runs(df, centre_weight=1.0, min_events=1).collect())
+    steps = [0.0, *(runs.step_cost(tuple(a), tuple(b)) for a, b in zip(texts, texts[1:], strict=False))]
+    seg = runs.Segmenter(1.0)
+    widest = 0
+    for t, step in zip(texts, steps, strict=True):
+        seg.add(tuple(t), 1, step)
+        widest = max(widest, len(seg.open))
+    assert abs(seg.best - cheapest([tuple(t) for t in texts], steps, 1.0)) < 1e-9 and widest > 1
+    assert [r.n_cues for r in parts] == [j - i for i, j in seg.runs()] and len(parts) > 1
+
+
 def test_one_run_over_all_partitions(spark):
     df = spark.range(5000).select(F.col("id").alias("cue_id"), F.lit("h").alias("video_id"), (F.col("id") / 10).alias("start_s"), F.lit(None).cast("double").alias("end_s"), F.lit("same").alias("text"))
     assert [tuple(r)[1:4] for r in runs.collapse_runs(df.repartition(7)).collect()] == [(0, 4999, 5000)]
