@@ -1,90 +1,107 @@
-"""A tolerant HTML reader: open, close and text events with their element paths."""
+"""A tolerant HTML reader: open, close and text events with their element paths, from one pass of a tokenizer."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from html import unescape
 
-# HTML elements without content, those whose content is no text here, and those that end a paragraph.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("pre code script style".split())
+import regex
+
+# HTML elements without content, those whose content is no text here, those that end a paragraph.
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+UNREAD = frozenset(("pre", "code", "script", "style"))
+RAW = frozenset(("script", "style"))
+EMPTY_SHAPES = frozenset(("path", "circle", "rect", "mspace", "none"))
 ENDS_P = frozenset(
-    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+    ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6")
+    + ("header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul")
 )
-BLOCKS = ENDS_P | frozenset("li tr td th dt dd body html head title".split())
+BLOCKS = ENDS_P | frozenset(("li", "tr", "td", "th", "dt", "dd", "body", "html", "head", "title"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = frozenset("ul ol dl table article section div body html blockquote figure".split())
-
-
-class Reader(HTMLParser):
-    """Collects (kind, name, classes, depth, text): kinds are open, close and text; every open element gets a close."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.events: list[tuple[str, str, str]] = []  # kind, path, text or name
-        self.paths = [""]
-        self.pending: list[str] = []
-
-    def _flush(self) -> None:
-        if self.pending:
-            self.events.append(("text", self.paths[-1], "".join(self.pending)))
-            self.pending = []
-
-    def _push(self, tag: str, classes: tuple[str, ...]) -> None:
-        self._flush()
-        self.stack.append((tag, classes))
-        self.paths.append(f"{self.paths[-1]}/{'.'.join((tag, *classes))}")
-        self.events.append(("open", self.paths[-1], tag))
+SCOPES = frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "body", "html", "blockquote", "figure"))
+ROW_SCOPES = SCOPES - {"tr"}
+
+#: Comments and declarations; an end tag; a start tag with its attributes and whether it closes itself.
+TOKEN = regex.compile(
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|/(?P<end>[A-Za-z][^\s/>]*)[^>]*>|/[^A-Za-z>][^>]*>|/>"
+    r"|(?P<start>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>)",
+    regex.DOTALL,
+)
+ATTRIBUTE = regex.compile(r"([^\s\"'/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+RAW_END = {tag: regex.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", regex.IGNORECASE) for tag in RAW}
 
-    def _pop(self) -> None:
-        self._flush()
-        tag, _ = self.stack.pop()
-        self.events.append(("close", self.paths.pop(), tag))
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        given = next((v for k, v in attrs if k == "class" and v), "")
-        classes = tuple(sorted(set(given.split())))
-        if tag in ENDS_P:
-            self._close_in(("p",), SCOPES)
-        if tag in CLOSES:
-            self._close_in(CLOSES[tag], SCOPES - {"tr"} if tag != "tr" else SCOPES)
-        self._push(tag, classes)
-        if tag in VOID:
-            self._pop()
+def _classes(attrs: str) -> tuple[str, ...]:
+    if "class" not in attrs.lower():
+        return ()
+    given = next((g[1] or g[2] or g[3] for g in (m.groups() for m in ATTRIBUTE.finditer(attrs)) if g[0].lower() == "class" and any(g[1:])), "")
+    return tuple(sorted(set(unescape(given).split())))
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("path", "circle", "rect", "mspace", "none"):
-            self._pop()
 
-    def _close_in(self, names: tuple[str, ...], scopes: frozenset[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i][0]
-            if tag in names:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if tag in scopes:
+def events(html: str) -> list[tuple[str, str, str]]:
+    """(kind, path, text or name) in page order; kinds are open, close and text, and every open element gets a close."""
+    out: list[tuple[str, str, str]] = []
+    stack: list[str] = []
+    paths = [""]
+    known: dict[tuple[str, str, str], str] = {}  # path of an element by parent path, tag and attributes
+    pending: list[str] = []
+
+    def flush() -> None:
+        if pending:
+            out.append(("text", paths[-1], "".join(pending)))
+            pending.clear()
+
+    def pop_to(i: int) -> None:
+        flush()
+        while len(stack) > i:
+            out.append(("close", paths.pop(), stack.pop()))
+
+    def close_in(names: tuple[str, ...], scopes: frozenset[str]) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i] in names:
+                pop_to(i)
                 return
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                while len(self.stack) > i:
-                    self._pop()
+            if stack[i] in scopes:
                 return
 
-    def handle_data(self, data: str) -> None:
-        self.pending.append(data)
-
-    def read(self, html: str) -> list[tuple[str, str, str]]:
-        self.feed(html)
-        self.close()
-        while self.stack:
-            self._pop()
-        self._flush()
-        return self.events
-
-
-def events(html: str) -> list[tuple[str, str, str]]:
-    return Reader().read(html)
+    at, size = 0, len(html)
+    while at < size:
+        m = TOKEN.search(html, at)
+        begin = size if m is None else m.start()
+        if begin > at:
+            text = html[at:begin]
+            pending.append(unescape(text) if "&" in text else text)
+        if m is None:
+            break
+        at = m.end()
+        tag = m["start"]
+        if tag is None:
+            tag = m["end"]
+            if tag is not None:
+                tag = tag.lower()
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i] == tag:
+                        pop_to(i)
+                        break
+            continue
+        tag, attrs = tag.lower(), m["attrs"]
+        if tag in ENDS_P:
+            close_in(("p",), SCOPES)
+        if tag in CLOSES:
+            close_in(CLOSES[tag], ROW_SCOPES if tag != "tr" else SCOPES)
+        flush()
+        key = (paths[-1], tag, attrs)
+        path = known.get(key)
+        if path is None:
+            path = known[key] = f"{paths[-1]}/{'.'.join((tag, *_classes(attrs)))}"
+        stack.append(tag)
+        paths.append(path)
+        out.append(("open", path, tag))
+        if tag in VOID or (tag in EMPTY_SHAPES and attrs.rstrip().endswith("/")):
+            pop_to(len(stack) - 1)
+        elif tag in RAW and not attrs.rstrip().endswith("/"):
+            end = RAW_END[tag].search(html, at)
+            if end.start() > at:
+                pending.append(html[at : end.start()])
+            at = end.start() if end.end() > end.start() else size
+    pop_to(0)
+    return out

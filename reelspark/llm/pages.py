@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from reelspark.llm.markup import languages, to_plain
 from reelspark.llm.template import ASIDE, extract_slots
 
-HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
-
-
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, places, kinds = [], [], []
@@ -27,19 +24,30 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def clean_blocks(slots: list[dict], place: str) -> str:
-    out = []
+    """The slots of a place as text: code in fences, the cells of a table row in one line, other blocks with their lead."""
+    out: list[str] = []
+    row = 0
     for s in slots:
         if s["place"] != place:
             continue
         if s["code"]:
             out.append("```\n" + s["text"].strip("\n") + "\n```")
+            row = 0
             continue
         text = to_plain(s["text"])
         for aside in s["asides"]:
             text = text.replace(ASIDE, aside, 1)
-        if text:
-            lead = HEADINGS.get(s["tag"], "-" if s["tag"] == "li" else "")
-            out.append(f"{lead} {text}" if lead and not text.startswith(("#", "-")) else text)
+        if not text:
+            continue
+        if s["row"]:
+            text = " ".join(text.split("\n"))
+            if s["row"] == row:
+                out[-1] += f" | {text}"
+                continue
+        elif s["lead"] and not text.startswith(("#", "-")):
+            text = s["lead"] + text
+        out.append(text)
+        row = s["row"]
     return "\n\n".join(out)
 
 

@@ -5,7 +5,8 @@ often it occurs on each page of the host; tokens with the same vector form a cla
 fingerprints: sums, over the pages, of a hash of page and count, which add up partition by partition. Classes with
 enough support that hold elements are kept; on a page a class is valid if its tokens come in the same order each time
 and its occurrences nest with those of the others. Valid classes nested in each other are the template; text outside
-them fills its slots.
+them fills its slots. A slot lies in the elements of the template that are open around it, and the classes of these
+elements name its place; words of the template are no text of a slot.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.page_html import BLOCKS, UNREAD, events
+from reelspark.llm.page_html import BLOCKS, RAW, UNREAD, events
 from reelspark.session import materialize, spread
 
 MIN_PAGES = 8
 MIN_SHARE = 0.02
+LONG_WORD = 40  # characters; a longer word stands in its token as a hash
 BROADCAST_TOKENS = 200_000
 HELD_TOKENS = 300_000
 PAGES = ""  # stands for the page itself among its tokens
@@ -31,13 +33,23 @@ PAGES = ""  # stands for the page itself among its tokens
 STATS = "host string, token string, f1 long, f2 long, pages long, place double"
 STATS_ARROW = pa.schema([("host", pa.string()), ("token", pa.string()), ("f1", pa.int64()), ("f2", pa.int64()), ("pages", pa.int64()), ("place", pa.float64())])
 #: ``asides`` are the inline code and formulas of a text, where it has the sign ASIDE.
-SLOTS = "array<struct<slot:string,place:string,tag:string,code:boolean,text:string,asides:array<string>>>"
-SLOTS_ARROW = pa.list_(pa.struct([("slot", pa.string()), ("place", pa.string()), ("tag", pa.string()), ("code", pa.bool_()), ("text", pa.string()), ("asides", pa.list_(pa.string()))]))
+#: ``lead`` is what a block begins with: # of a heading, - or a number of an item, > of a quotation; ``row`` numbers table rows.
+SLOTS = "array<struct<slot:string,place:string,tag:string,lead:string,row:int,code:boolean,text:string,asides:array<string>>>"
+SLOTS_ARROW = pa.list_(
+    pa.struct(
+        [("slot", pa.string()), ("place", pa.string()), ("tag", pa.string()), ("lead", pa.string()), ("row", pa.int32()), ("code", pa.bool_()), ("text", pa.string())]
+        + [("asides", pa.list_(pa.string()))]
+    )
+)
 ASIDE = "\x01"
 TEXT, CODE, FORMULA = 0, 1, 2
 MATH_SIGNS = {"msup": "^", "msub": "_", "mfrac": "/"}
 
 
+def word_token(path: str, word: str) -> str:
+    return f"w{path} {word}" if len(word) <= LONG_WORD else f"w{path} \x02{xxhash.xxh3_64_hexdigest(word)}"
+
+
 def page_tokens(page: list[tuple[str, str, str]], worded: dict[str, set[str]] | None = None) -> Iterator[str]:
     """The tokens of a page in order; with ``worded``, words only of the paths in it."""
     for kind, path, text in page:
@@ -45,8 +57,7 @@ def page_tokens(page: list[tuple[str, str, str]], worded: dict[str, set[str]] |
             if worded is not None and path not in worded:
                 continue
             for word in text.split():
-                if len(word) <= 40:
-                    yield f"w{path} {word}"
+                yield word_token(path, word)
         else:
             yield ("o" if kind == "open" else "c") + path
 
@@ -159,84 +170,138 @@ def valid_classes(tokens: list[str], classes: dict[str, tuple[int, int]], sizes:
         present -= bad
 
 
+class _Page:
+    """Reads the events of one page and gathers the texts of its slots, block by block."""
+
+    def __init__(self, classes: dict[str, tuple[int, int]], sizes: list[int], valid: set[int], worded: dict[str, set[str]]) -> None:
+        self.classes, self.sizes, self.valid, self.worded = classes, sizes, valid, worded
+        self.out: list[dict] = []
+        self.parts: list[tuple[str, int]] = []
+        self.where: tuple = (None, "", "")
+        self.frames: list[tuple[int, int]] = []  # open classes of the template, with the token that was read last
+        self.math: list[list] = []  # open elements of a formula, with the children they have had
+        self.lists: list[list] = []  # open lists: their tag and the items so far
+        self.lead, self.quotes, self.rows, self.row = "", 0, 0, 0
+
+    def flush(self) -> None:
+        text, code, asides = _united(self.parts)
+        if text.strip():
+            place, tag, slot = self.where
+            self.out.append({"slot": slot, "place": place, "tag": tag, "lead": "> " * self.quotes + self.lead, "row": self.row, "code": code, "text": text, "asides": asides})
+            self.lead = ""
+        self.parts.clear()
+
+    def text(self, path: str, text: str, place: str | None, tag: str, code: bool) -> None:
+        if (place, tag) != self.where[:2]:
+            self.flush()
+            self.where = (place, tag, "/".join([f"{c}.{k}" for c, k in self.frames]))
+        for word in self.worded.get(path, ()):
+            # A hash stands for a long word, so then every long word must be looked at.
+            if word[0] == "\x02" or word in text:
+                text = " ".join([x for x in text.split(" ") if not self._of_template(path, x.strip())])
+                break
+        if self.math and self.parts and self.parts[-1][1] == FORMULA:
+            self.parts[-1] = (self.parts[-1][0] + text.strip(), FORMULA)
+        else:
+            self.parts.append((text.replace(ASIDE, " "), CODE if code else TEXT))
+
+    def _of_template(self, path: str, word: str) -> bool:
+        at = self.classes.get(word_token(path, word)) if word else None
+        return at is not None and at[0] in self.valid
+
+    def formula(self, kind: str, name: str) -> None:
+        if kind == "close":
+            self.math.pop()
+            return
+        if not self.math:
+            self.parts.append(("", FORMULA))
+        else:
+            if self.math[-1][1] and self.math[-1][0] in MATH_SIGNS and self.parts and self.parts[-1][1] == FORMULA:
+                self.parts[-1] = (self.parts[-1][0] + MATH_SIGNS[self.math[-1][0]], FORMULA)
+            self.math[-1][1] += 1
+        self.math.append([name, 0])
+
+    def frame(self, token: str) -> None:
+        """Go on in the template, if the token is one of it."""
+        at = self.classes.get(token)
+        if at is None or at[0] not in self.valid or self.sizes[at[0]] < 2:
+            return
+        c, k = at
+        if k == 0:
+            self.frames.append((c, 0))
+        elif self.frames and self.frames[-1][0] == c:
+            self.frames.pop()
+            if k < self.sizes[c] - 1:
+                self.frames.append((c, k))
+
+    def block(self, kind: str, name: str) -> None:
+        """What the block that begins or ends here means for the next text."""
+        if name in ("ul", "ol"):
+            if kind == "open":
+                self.lists.append([name, 0])
+            elif self.lists:
+                self.lists.pop()
+        elif name == "li":
+            self.lead = ""
+            if kind == "open":
+                if self.lists:
+                    self.lists[-1][1] += 1
+                self.lead = "  " * (len(self.lists) - 1) + (f"{self.lists[-1][1]}. " if self.lists and self.lists[-1][0] == "ol" else "- ")
+        elif name == "blockquote":
+            self.quotes = max(0, self.quotes + (1 if kind == "open" else -1))
+        elif name == "tr":
+            self.rows += kind == "open"
+            self.row = self.rows if kind == "open" else 0
+        elif len(name) == 2 and name[0] == "h" and name[1].isdigit():
+            self.lead = "#" * int(name[1]) + " " if kind == "open" else ""
+
+
 def fill_slots(html: str, classes: dict[str, tuple[int, int]], sizes: list[int], inside: str, part: str) -> list[dict]:
     """What a page has in the slots of its template, block by block in page order.
 
-    ``place`` is None outside elements of the class ``inside``, "caption" in elements of the class ``part`` within
-    them, else "body". Words of the template are left out of the texts.
+    ``place`` is the name that the template gives a slot: None outside its elements of the class ``inside``, "caption" in
+    those of the class ``part`` within them, else "body". An element that the page's host has too seldom to be in any
+    class is its page's own and names its slots too. Words of the template are left out of the texts.
     """
     page = events(html)
     worded = template_words(classes)
     valid = valid_classes([t for t in page_tokens(page, worded) if t in classes], classes, sizes)
-    stack: list[tuple[int, int]] = []
-    out: list[dict] = []
-    parts: list[tuple[str, int]] = []
-    math: list[list] = []  # open elements of a formula, with the children they have had
-    where: list = [None, "", ""]
-    known: dict[str, tuple[str | None, str, bool, bool, bool]] = {}
+    read = _Page(classes, sizes, valid, worded)
+    known: dict[str, tuple[str | None, str, bool, bool, bool]] = {"": (None, "", False, False, False)}
 
     def about(path: str) -> tuple[str | None, str, bool, bool, bool]:
         """Of a path: its place, its block, whether its text is hidden or code, whether its element is of the part's class."""
         got = known.get(path)
         if got is None:
-            levels = [x.split(".") for x in path.split("/")[1:]]
-            names = {x[0] for x in levels}
-            depth = next((i for i, x in enumerate(levels) if inside in x[1:]), None)
-            place = None if depth is None else "caption" if any(part in x[1:] for x in levels[depth:]) else "body"
-            block = next((x[0] for x in reversed(levels) if x[0] in BLOCKS), "")
-            got = known[path] = (place, block, bool(names & {"script", "style"}), bool(names & UNREAD), bool(levels) and part in levels[-1][1:])
+            above, _, last = path.rpartition("/")
+            place, block, hidden, code, _ = about(above)
+            name, *own = last.split(".")
+            at = classes.get("o" + path)
+            named = at is None or at[0] in valid  # not one that breaks the template's order here
+            if named and place is None and inside in own:
+                place = "body"
+            if named and place == "body" and part in own:
+                place = "caption"
+            got = known[path] = (place, name if name in BLOCKS else block, hidden or name in RAW, code or name in UNREAD, part in own)
         return got
 
-    def flush() -> None:
-        text, code, asides = _united(parts)
-        if text.strip():
-            out.append({"slot": where[2], "place": where[0], "tag": where[1], "code": code, "text": text, "asides": asides})
-        parts.clear()
-
     for kind, path, text in page:
         place, block, hidden, code, of_part = about(path)
         if kind == "text":
-            slot = "/".join([f"{c}.{k}" for c, k in stack])
-            if [place, block] != where[:2]:
-                flush()
-                where = [place, block, slot]
-            if hidden:
-                continue
-            for word in worded.get(path, ()):
-                if word in text and classes[f"w{path} {word}"][0] in valid:
-                    text = " ".join(x for x in text.split(" ") if x.strip() != word)
-            if math and parts and parts[-1][1] == FORMULA:
-                parts[-1] = (parts[-1][0] + text.strip(), FORMULA)
-            else:
-                parts.append((text.replace(ASIDE, " "), CODE if code else TEXT))
+            if not hidden:
+                read.text(path, text, place, block, code)
             continue
-        if text == "math" or math:
-            if kind == "close":
-                math.pop()
-            else:
-                if not math:
-                    parts.append(("", FORMULA))
-                elif math[-1][1] and math[-1][0] in MATH_SIGNS and parts and parts[-1][1] == FORMULA:
-                    parts[-1] = (parts[-1][0] + MATH_SIGNS[math[-1][0]], FORMULA)
-                if math:
-                    math[-1][1] += 1
-                math.append([text, 0])
-        at = classes.get(("o" if kind == "open" else "c") + path)
-        if at and at[0] in valid and sizes[at[0]] > 1:
-            c, k = at
-            if k == 0:
-                stack.append((c, 0))
-            elif stack and stack[-1][0] == c:
-                stack.pop()
-                if k < sizes[c] - 1:
-                    stack.append((c, k))
+        if text == "math" or read.math:
+            read.formula(kind, text)
+        read.frame(("o" if kind == "open" else "c") + path)
         if text in BLOCKS or text == "pre" or of_part:
-            flush()
-            where = [None, "", ""]
+            read.flush()
+            read.where = (None, "", "")
+            read.block(kind, text)
         elif text == "br" and kind == "open":
-            parts.append(("\n", TEXT))
-    flush()
-    return out
+            read.parts.append(("\n", TEXT))
+    read.flush()
+    return read.out
 
 
 def _united(parts: list[tuple[str, int]]) -> tuple[str, bool, list[str]]:
@@ -269,14 +334,22 @@ def _extract(templates, inside: str, part: str):
     return run
 
 
+def site(html: str = "html", path: str = "path") -> Column:
+    """The site a page says it belongs to (its canonical address, else the base of its links), else the first folder of its path."""
+    link = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?https?://([^/\"'\s>]+)"
+    base = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?https?://([^/\"'\s>]+)"
+    said = [F.when(F.col(html).contains(sign), F.nullif(F.regexp_extract(html, form, 1), F.lit(""))) for sign, form in (("canonical", link), ("<base", base))]
+    return F.coalesce(*[F.lower(x) for x in said], F.split(path, "/")[0])
+
+
 def extract_slots(pages: DataFrame, *, item: str = "page_id", html: str = "html", host: Column | None = None, inside: str = "post-body", part: str = "caption-text") -> DataFrame:
     """Columns item, slots: per page the texts in the slots of its host's template, in page order.
 
-    ``host`` defaults to the first folder of ``path``. Pages with null or empty HTML have no slots. A host with fewer
+    ``host`` defaults to ``site``. Pages with null or empty HTML have no slots. A host with fewer
     than ``MIN_PAGES`` pages has no template: all its text is in slots. Templates are broadcast while they have at most
     ``BROADCAST_TOKENS`` tokens together, else joined by host.
     """
-    rows = spread(pages.select(F.col(item).alias("id"), (F.split("path", "/")[0] if host is None else host).alias("host"), F.col(html).alias("html")))
+    rows = spread(pages.select(F.col(item).alias("id"), (site(html) if host is None else host).alias("host"), F.col(html).alias("html")))
     templates = deduce_templates(rows)
     templates = materialize(templates, "templates")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, slots {SLOTS}"

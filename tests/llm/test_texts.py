@@ -93,6 +93,53 @@ def test_templates(spark):
     assert "Watch" not in [s["text"] for s in slots] and [s["text"] for s in slots if s["place"] == "caption"] == ["c"]
 
 
+SITE = """<html><head><link rel="canonical" href="https://{site}/p/{n}"></head><body><div class="top">{name} daily</div><div class="post-body">
+<div class="promo">**Subscribe** to {name} now, {{{{dear reader}}}}</div>{body}<ol><li><p>one{n}</p></li><li>two{n}</li></ol><table><tr><td>a{n}<td>b{n}</table><blockquote>said{n}</blockquote></div></body></html>"""
+
+
+def test_templates_of_several_sites(spark, monkeypatch):
+    """Each site has a template of its own; what its pages repeat is no text of a slot, whatever markup it holds."""
+    rows = []
+    for k, (host, name) in enumerate((("a.example", "Alpha"), ("b.example", "Beta"), ("c.example", "非常に長い名前の毎日の新聞ですからとても長い名前の毎日の新聞ですからとても長い名前"))):
+        for n in range(12):
+            body = f"<p>text{n} {name if n == 3 else f'somebody{n}'}</p>" + ("<p>[[own]]</p>" if n == 5 else "")
+            rows.append((100 * k + n, "blogs/x.html", SITE.format(site=host, n=n, name=name, body=body)))
+    rows.append((900, "blogs/lone.html", SITE.format(site="lone.example", n=1, name="Lone", body="<p>x</p>")))
+    df = spark.createDataFrame(rows, "page_id long, path string, html string")
+    assert {r[0] for r in df.select(template.site()).distinct().collect()} == {"a.example", "b.example", "c.example", "lone.example"}
+    found = {tuple(r) for r in pages.page_markup(df).collect()}
+    # A lone page has nothing to compare with, so its promotion is its own text.
+    assert found == {(5, "body", "wiki"), (105, "body", "wiki"), (205, "body", "wiki"), (900, "body", "markdown"), (900, "body", "wiki")}
+    clean = {r.page_id: r.text for r in pages.clean_pages(df).collect()}
+    assert "Subscribe" not in clean[0] and "Subscribe" in clean[900]
+    assert clean[1] == "text1 somebody1\n\n1. one1\n\n2. two1\n\na1 | b1\n\n> said1"
+    # Without templates the promotion of every page would come out; joined by host they give what broadcast ones give.
+    bare = [template.fill_slots(html, {}, [], "post-body", "caption-text") for _, _, html in rows]
+    assert all(any("markdown" in markup.languages(s["text"]) for s in slots if s["place"]) for slots in bare)
+    monkeypatch.setattr(template, "BROADCAST_TOKENS", -1)
+    assert {tuple(r) for r in pages.page_markup(df).collect()} == found
+
+
+def test_nested_markup():
+    for text, plain in [
+        ("a {{b|x {{c|y}}}} d", "a x y d"),
+        (r"\textbf{a \emph{b}} and \section{S \textit{t}}", "a b and\n## S t"),
+        ("[[File:x.png|thumb|cap [[b]] z]] q", "cap b z q"),
+        ("<table><tr><td>a</td><td>b</td></tr><tr><td>c<td>d</table>", "a | b\nc | d"),
+        ("see `a*b*c` and **d *e* f**", "see `a*b*c` and d e f"),
+        ("<ol><li>x</li><li><p>y</p></li></ol>", "1. x\n\n2. y"),
+        ("<blockquote>q</blockquote>", "> q"),
+        ("> said\n> so", "> said\n> so"),
+        (r"\begin{enumerate}\item a \item b\end{enumerate}", "1. a\n2. b"),
+        ("{|\n! A !! B\n|-\n| 1 || [[x|2]]\n|}", "A | B\n1 | 2"),
+        ("C:\\videos\\new and [[1,2],[3,4]]", "C:\\videos\\new and [[1,2],[3,4]]"),
+        ("<pre>\n```\n$x \\[ \\begin{equation}y\\end{equation} \\]$\n```\n</pre>", "```\n```\n$x \\[ \\begin{equation}y\\end{equation} \\]$\n```\n```"),
+        ("{{" * 3000, "{{" * 3000),
+        ("\\textbf{" * 3000, "\\textbf{" * 3000),
+    ]:
+        assert markup.to_plain(text) == plain, text[:80]
+
+
 def test_nesting():
     classes = {"a": (0, 0), "b": (0, 1), "x": (1, 0), "y": (1, 1)}
     assert template.valid_classes(list("axyxyb"), classes, [2, 2]) == {0, 1}
