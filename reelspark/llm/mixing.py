@@ -2,8 +2,9 @@
 
 A source gives complete epochs first; the rest of its budget is a weighted sample without replacement after Efraimidis
 and Spirakis: each document draws an exponential key divided by its quality weight, and documents are taken in the
-order of their keys until the sum of their tokens is as near to the budget as that order allows. The sums are made over ranges of the key
-first; only documents of a range are ordered against each other, so a source of any size spreads over many tasks.
+order of their keys until the sum of their tokens is as near to the budget as that order allows. The sums are made over
+ranges of the key first; only documents of the range where a budget ends are ordered against each other. Ranges are cut
+around the median key of each source, so that they hold about equal numbers whatever the weights of its documents are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from reelspark.session import materialize
 
 KEY_RANGES = 4096
-MAX_TARGETS = 10_000
 
 
 def tokens(text: str = "text") -> Column:
@@ -35,7 +35,8 @@ def source_name(source: str = "source") -> Column:
 
 def keyed_documents(documents: DataFrame, seed: int) -> DataFrame:
     """source, doc_id, n_tokens, key of all documents with tokens: the texts are read once, all else works on these numbers."""
-    uniform = (F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(1)) / F.lit(float((1 << 53) + 1))
+    bits = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long")
+    uniform = (bits + F.lit(1)).cast("double") / F.lit(float((1 << 52) + 1))
     rows = documents.select(source_name().alias("source"), "doc_id", tokens().alias("n_tokens"), (-F.log(uniform) / quality_weight()).alias("key")).where("n_tokens > 0")
     return materialize(rows, "keyed")
 
@@ -65,25 +66,28 @@ def source_budgets(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def key_range(key: Column, median: Column, ranges: int = KEY_RANGES) -> Column:
+    """Which of the ranges a key lies in. It grows with the key, and its steps stretch with the median, as the keys do."""
+    return F.floor(F.lit(ranges) * key / (key + median)).cast("int")
+
+
 def _mix(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
-    spark = keyed.sparkSession
-    # One row per target, so the table of targets bounds it; as a local table Spark knows its size.
-    plan = [tuple(r) for r in budgets.where("drawn_tokens > 0").select(source_name("source_name"), "epochs", "rest").collect()]
-    if len(plan) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    docs = keyed.where("doc_id is not null and source is not null").withColumn("range", F.floor(F.lit(KEY_RANGES) * (1 - F.exp(-F.col("key")))).cast("int"))
-    rests = spark.createDataFrame(plan, "b_source string, epochs long, rest long")
-    sums = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("in_range")).join(rests.where("rest > 0"), F.col("source") == F.col("b_source"))
-    # At most KEY_RANGES rows per source; one of them is where its budget ends.
+    # One row per target; Spark broadcasts them while they are few.
+    plan = budgets.where("drawn_tokens > 0 and (epochs > 0 or rest > 0)").select(source_name("source_name").alias("b_source"), "epochs", "rest")
+    docs = keyed.where("doc_id is not null and source is not null")
+    medians = docs.groupBy(F.col("source").alias("m_source")).agg(F.percentile_approx("key", 0.5).alias("median"))
+    # Any median cuts exact ranges; written, so that the same one is used everywhere.
+    medians = materialize(plan.join(medians, F.col("b_source") == F.col("m_source")).drop("m_source"), "medians")
+    ranged = docs.join(medians, F.col("source") == F.col("b_source")).withColumn("range", key_range(F.col("key"), F.col("median")))
+    sums = ranged.where("rest > 0").groupBy("source", "range").agg(F.sum("n_tokens").alias("in_range"), F.first("rest").alias("rest"))
+    # At most KEY_RANGES + 1 rows per source; one of them is where its budget ends.
     upto = F.sum("in_range").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-    over = sums.withColumn("upto", upto).where("upto > rest").groupBy("source").agg(F.min_by(F.struct("range", F.col("upto") - F.col("in_range")), "range").alias("e"))
-    ends = {r[0]: tuple(r[1]) for r in over.collect()}
+    over = sums.withColumn("upto", upto).where("upto > rest").groupBy(F.col("source").alias("e_source"))
+    ends = over.agg(F.min("range").alias("end_range"), F.min_by(F.col("upto") - F.col("in_range"), "range").alias("before"))
     # Without a rest nothing more is drawn; a rest that no range passes takes all.
-    rows = [(s, epochs, rest, *ends.get(s, (KEY_RANGES + 1 if rest > 0 else -1, 0))) for s, epochs, rest in plan]
-    local = spark.createDataFrame(rows, "b_source string, epochs long, rest long, end_range int, before long")
-    placed = docs.join(local, F.col("source") == F.col("b_source"))
+    placed = ranged.join(ends, F.col("source") == F.col("e_source"), "left").withColumn("end_range", F.coalesce("end_range", F.when(F.col("rest") > 0, F.lit(KEY_RANGES + 1)).otherwise(F.lit(-1))))
     # Only in that range do documents need an order.
-    inner = Window.partitionBy("source", "range").orderBy("key", "doc_id")
+    inner = Window.partitionBy("source").orderBy("key", "doc_id")
     ended = placed.where("range = end_range").withColumn("upto", F.col("before") + F.sum("n_tokens").over(inner))
     ended = ended.withColumn("extra", (2 * F.col("upto") - F.col("n_tokens") <= 2 * F.col("rest")).cast("int")).drop("upto")
     out = placed.where("range != end_range").withColumn("extra", (F.col("range") < F.col("end_range")).cast("int")).unionByName(ended)
@@ -102,11 +106,16 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """Per target the tokens it got, its share of the total it was meant from, and its share of the mix, in permille."""
+    """Per target the tokens it got, its share of the total it was meant from, and its share of the mix, in permille.
+
+    ``short`` says that the mix has every document of the source as often as it may and still less than the share.
+    """
     keyed = keyed_documents(documents, seed)
     budgets = source_budgets(keyed, targets)
     got = _mix(keyed, budgets).groupBy(F.col("source_name").alias("s")).agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("g"), F.max("repeats").alias("most_repeats"), F.count("*").alias("documents"))
     rows = budgets.join(got, source_name("source_name") == F.col("s"), "left").withColumn("mixed_tokens", F.coalesce("g", F.lit(0)).cast("long"))
+    exhausted = F.col("mixed_tokens") >= F.coalesce("max_repeats", F.lit(0)).cast("long") * F.col("drawn_tokens")
+    wanted = F.coalesce("target_permille", F.lit(0)).cast("decimal(18,0)") * F.col("total_tokens").cast("decimal(19,0)")
     everything = Window.partitionBy(F.lit(1))  # one row per target
     return rows.select(
         "source_name",
@@ -116,6 +125,7 @@ def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 42) -> Data
         "budget",
         "reachable",
         "mixed_tokens",
+        (exhausted & (F.lit(1000) * F.col("mixed_tokens").cast("decimal(19,0)") < wanted)).alias("short"),
         F.coalesce("documents", F.lit(0)).cast("long").alias("documents"),
         F.coalesce("most_repeats", F.lit(0)).cast("long").alias("most_repeats"),
         F.round(1000.0 * F.col("mixed_tokens") / F.greatest("total_tokens", F.lit(1)), 3).alias("reached_permille"),

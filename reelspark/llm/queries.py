@@ -77,7 +77,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_report(spark, sf_dir).where("not reachable").select("source_name")
+    return p8_report(spark, sf_dir).where("short").select("source_name")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,25 @@ best as (
   select f.frame_id, first(c.cue_id order by abs(f.t - c.m), c.m, c.cue_id) as cue_id
   from f join c on f.video_id = c.video_id and c.m between f.t - 4000 and f.t + 4000 group by f.frame_id)
 """
+_MIX = rf"""
+with d as (
+  select lower(trim(source)) as source, doc_id, octet_length(encode(text)) as n, length(text) as chars, length(regexp_replace(text, '\P{{L}}+', '', 'g')) as letters
+  from documents where octet_length(encode(text)) > 0),
+k as (
+  select source, doc_id, n,
+    -ln((('0x' || substr(md5(doc_id::varchar || ':{SEED}'), 1, 13))::bigint + 1)::double / 4503599627370497.0::double)
+      / greatest(0.05::double, least(1.0::double, letters::double / greatest(chars, 1) * 1.25::double) * least(1.0::double, 0.25::double + chars::double / 266.0::double)) as key
+  from d),
+total as (select coalesce(sum(n), 0) as t from d),
+b as (
+  select m.source_name, lower(trim(m.source_name)) as source, target_permille, max_repeats, coalesce(s.n, 0) as tokens, t, (target_permille::hugeint * t) // 1000 as budget
+  from mix_targets m cross join total left join (select source, sum(n) as n from d where source is not null group by 1) s on lower(trim(m.source_name)) = s.source),
+e as (select *, case when tokens > 0 then least(max_repeats, budget // tokens) else 0 end as epochs from b),
+r as (select *, case when epochs < max_repeats then budget - epochs * tokens else 0 end as rest from e),
+o as (select r.source, k.doc_id, k.n, r.epochs, r.rest, sum(k.n) over (partition by r.source order by k.key, k.doc_id) as upto from k join r on k.source = r.source),
+mix as (
+  select source as source_name, doc_id, n::bigint as n_tokens, (epochs + case when rest > 0 and 2 * upto - n <= 2 * rest then 1 else 0 end)::bigint as repeats from o)
+"""
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _RANKED = """
 with f as (select distinct run_id, frame_id, confidence, timestamp_s from frames
@@ -169,6 +188,14 @@ select para_id, case when max(n) <= 700 then 'sentence' when max(case when n > 7
     "p5_found": _RUNS + "select first_cue_id, last_cue_id, n_cues from r",
     "p5_runs": _RUNS + "select * from r",
     "p7_found": "select doc_id from documents where octet_length(encode(text)) > (select max_size from size_limits where limit_name = 'container')",
+    "p8_mix": _MIX + "select source_name, doc_id, repeats, n_tokens from mix where repeats > 0",
+    "p8_report": _MIX
+    + """
+select r.source_name, target_permille, max_repeats, tokens::bigint as source_tokens, budget::bigint as budget, target_permille::hugeint * t <= 1000 * max_repeats * tokens::hugeint as reachable,
+  coalesce(g, 0)::bigint as mixed_tokens, (tokens = 0 or epochs >= max_repeats) and 1000 * coalesce(g, 0) < target_permille::hugeint * t as short,
+  coalesce(documents, 0) as documents, coalesce(most, 0) as most_repeats,
+  round(1000.0::double * coalesce(g, 0) / greatest(t, 1), 3) as reached_permille, round(1000.0::double * coalesce(g, 0) / greatest(sum(coalesce(g, 0)) over (), 1), 3) as mix_permille
+from r left join (select source_name as s, sum(repeats * n_tokens) as g, count(*) as documents, max(repeats) as most from mix where repeats > 0 group by 1) x on r.source = x.s""",
     "p8_found": """
 with n as (select lower(trim(source)) as s, sum(coalesce(octet_length(encode(text)), 0)) as n from documents group by 1)
 select source_name from mix_targets m left join n on lower(trim(m.source_name)) = n.s

@@ -291,6 +291,27 @@ def test_documents_without_an_id_are_not_drawn(spark):
         assert report.source_tokens == 200 and report.reachable and report.mixed_tokens == 10 * sum(repeats)
 
 
+def test_a_reachable_share_is_not_short(spark):
+    """Half of a source's documents, none twice: a little below the share, but not for want of documents."""
+    docs = spark.createDataFrame([(i, "a" * 7, "s") for i in range(11)] + [(99, "b" * 90, "t")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("s", 250, 1), ("t", 750, 1)], "source_name string, target_permille int, max_repeats int")
+    report = {r.source_name: r for r in mixing.mix_report(docs, targets).collect()}
+    assert report["s"].reachable and not report["s"].short and 1000 * report["s"].mixed_tokens != 250 * 167
+    assert report["t"].short and not report["t"].reachable
+
+
+def test_ranges_hold_about_equal_numbers(spark):
+    """Whatever the weights of a source, no range of keys holds much more than its part."""
+    random.seed(9)
+    for weights in ([1.0], [0.05], [1.0, 0.05], [0.05] * 9 + [1.0]):
+        keys = sorted(random.expovariate(1) / random.choice(weights) for _ in range(40_000))
+        median = keys[20_000]
+        df = spark.createDataFrame([(k,) for k in keys], "key double").select(mixing.key_range(F.col("key"), F.lit(median), 100).alias("range"), "key")
+        sizes = df.groupBy("range").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("range").collect()
+        assert max(r.n for r in sizes) < 10 * 400
+        assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:], strict=False))
+
+
 def test_a_rest_that_no_range_passes_takes_all(spark):
     keyed = mixing.keyed_documents(spark.createDataFrame([(i, "a" * 10, "s") for i in range(10)], "doc_id long, text string, source string"), 1)
     budgets = spark.createDataFrame([("s", 100, 1, 100)], "source_name string, drawn_tokens long, epochs long, rest long").withColumn("source_tokens", F.col("drawn_tokens"))
