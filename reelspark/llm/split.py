@@ -3,8 +3,9 @@
 A text is first read as atoms that may be cut apart: sentences; in a sentence above the limit its words; in a word
 above the limit its characters. So cuts fall between sentences wherever the limit allows. The smallest possible number
 of pieces sets equal-length targets, each target snaps to the strongest boundary near it, and pieces are added while
-any limit fails: one by one at first, then in doubling steps up to the number of atoms. Where no number tried keeps the
-limits, each piece is filled as far as it goes.
+any limit fails, one by one at first, then in doubling steps up to the number of atoms; where the first few numbers keep
+the limit, the one that leaves most pieces room for their overlap is taken. Where no number keeps the limit, each piece is
+filled as far as it goes.
 """
 
 from __future__ import annotations
@@ -26,11 +27,10 @@ ARROW_PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int32()),
 CUTS = {3: "sentence", 2: "word", 1: "char"}
 
 
-def boundaries(text: str, limit: int) -> tuple[list[int], list[int], int]:
-    """Places where the normalised ``text`` may be cut, their strengths (3 sentence, 2 word, 1 char), the weakest level needed."""
+def boundaries(text: str, limit: int) -> tuple[list[int], list[int]]:
+    """Places where the normalised ``text`` may be cut, and their strengths (3 sentence, 2 word, 1 char)."""
     places: list[int] = []
     strengths: list[int] = []
-    level = 3
     start = 0
     ends = [m.end() for m in SENTENCE_END.finditer(text)]
     if not ends or ends[-1] < len(text):
@@ -39,11 +39,9 @@ def boundaries(text: str, limit: int) -> tuple[list[int], list[int], int]:
         # The space behind a sentence goes with it, so the next one starts on its first character.
         stop = end + 1 if end < len(text) and text[end] == " " else end
         if len(text[start:end].strip()) > limit:
-            level = min(level, 2)
             word_at = start
             for word in text[start:stop].split(" "):
                 if len(word) > limit:
-                    level = 1
                     for k in range(1, len(word)):
                         places.append(word_at + k)
                         strengths.append(1)
@@ -55,7 +53,7 @@ def boundaries(text: str, limit: int) -> tuple[list[int], list[int], int]:
             places.append(stop)
             strengths.append(3)
         start = stop
-    return places, strengths, level
+    return places, strengths
 
 
 def balanced_cuts(length: int, places: list[int], ends: list[int], strengths: list[int], limit: int, overlap: int) -> list[int]:
@@ -76,36 +74,54 @@ def balanced_cuts(length: int, places: list[int], ends: list[int], strengths: li
     while tries[-1] + step <= len(places) + 1:
         tries.append(tries[-1] + step)
         step *= 2
-    for pieces in tries:
-        cuts, at = [], 0
-        for i in range(1, pieces):
-            target = i * length // pieces
-            furthest = bisect_right(ends, at + limit) - 1
-            lowest = bisect_right(places, at)
-            if lowest > furthest:
-                cuts, at = [], -1
+    best: tuple[int, list[int]] | None = None
+    for n, pieces in enumerate(tries):
+        if best is not None and n >= 6:
+            break
+        cuts = _snapped(length, places, ends, strengths, limit, room, pieces)
+        if cuts is not None:
+            # How many pieces leave room for less than half of the overlap.
+            most = limit - (overlap + 1) // 2
+            tight = sum((ends[bisect_right(places, b) - 1] if b < length else b) - a > most for a, b in zip(cuts, [*cuts[1:], length], strict=True))
+            if best is None or tight < best[0]:
+                best = (tight, cuts)
+            if not tight:
                 break
-            reach = max(1, length // pieces // 2)
-            lo = max(lowest, bisect_right(places, target - reach))
-            hi = min(furthest, bisect_right(places, target + reach) - 1)
-            if lo > hi:
-                best = furthest if target > places[furthest] else lowest
-            else:
-                best = max(range(lo, hi + 1), key=lambda j: (strengths[j], (ends[j] - at) <= (room if at else limit), -abs(places[j] - target), -j))
-            at = places[best]
-            cuts.append(at)
-        if at >= 0 and length - at <= limit:
-            return cuts
-    return filled  # uneven boundaries
+    return filled if best is None else best[1]  # filled: boundaries so uneven that no equal targets keep the limit
+
+
+def _snapped(length: int, places: list[int], ends: list[int], strengths: list[int], limit: int, room: int, pieces: int) -> list[int] | None:
+    """The cuts nearest to equal-length targets, or None if a piece exceeds the limit."""
+    cuts, at = [], 0
+    for i in range(1, pieces):
+        target = i * length // pieces
+        furthest = bisect_right(ends, at + limit) - 1
+        lowest = bisect_right(places, at)
+        if lowest > furthest:
+            return None
+        reach = max(1, length // pieces // 2)
+        lo = max(lowest, bisect_right(places, target - reach))
+        hi = min(furthest, bisect_right(places, target + reach) - 1)
+        if lo > hi:
+            best = furthest if target > places[furthest] else lowest
+        else:
+            roomy = bisect_right(ends, at + (room if at else limit)) - 1
+            # Where a boundary of the same strength leaves room for the overlap, those beyond it don't count.
+            best = max(range(lo, hi + 1), key=lambda j: (strengths[j], j <= roomy, -abs(places[j] - target), -j))
+        at = places[best]
+        cuts.append(at)
+    return cuts if length - at <= limit else None
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[dict]:
     """Pieces of an already normalised text; each piece after the first starts with up to ``overlap`` characters of the one before."""
     if len(text) <= limit:
         return [{"piece": 0, "start": 0, "overlap": 0, "text": text, "cut": None}]
-    places, strengths, level = boundaries(text, limit)
+    places, strengths = boundaries(text, limit)
     ends = [p - (text[p - 1] == " ") for p in places]
-    edges = [0, *balanced_cuts(len(text), places, ends, strengths, limit, overlap), len(text)]
+    cuts = balanced_cuts(len(text), places, ends, strengths, limit, overlap)
+    weakest = CUTS[min(strengths[bisect_right(places, c) - 1] for c in cuts)]
+    edges = [0, *cuts, len(text)]
     out = []
     for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         body = text[a:b].rstrip(" ")
@@ -116,7 +132,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[dict]:
             space = text.find(" ", max(0, a - back - 1), a - 1)
             if back and 0 < a - back and text[a - back - 1] != " " and space >= 0:
                 back = a - space - 1
-        out.append({"piece": i, "start": a, "overlap": back, "text": text[a - back : a] + body, "cut": CUTS[level]})
+        out.append({"piece": i, "start": a, "overlap": back, "text": text[a - back : a] + body, "cut": weakest})
     return out
 
 
@@ -135,8 +151,8 @@ def _pieces(limit: int, overlap: int):
 def split_oversized(items: DataFrame, *, item: str, text: str | Column, limit: int, overlap: int) -> DataFrame:
     """Columns item, piece (from 0), start, overlap, text, cut: every item whole or in pieces of at most ``limit`` code points.
 
-    White space is collapsed first. ``cut`` is the weakest boundary an oversized item needs (sentence, word or char)
-    and null where an item fits. A null text gives one row with a null text; an empty one a row with an empty text.
+    White space is collapsed first. ``cut`` is the weakest boundary an oversized item is cut at (sentence, word or char),
+    null where an item fits; words are cut only in sentences above the limit, characters only in words above it. A null text gives one row with a null text; an empty one a row with an empty text.
     The bodies of an item's pieces, without their overlaps, add up to its text but for the space at each cut. Other
     columns aren't read. Texts within the limit never leave the JVM.
     """
