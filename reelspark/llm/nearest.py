@@ -58,19 +58,20 @@ def nearest_in_time(
         F.greatest(2 * (F.col("at") - tolerance) - 1, F.lag("at").over(near) + F.col("at")).alias("after"),
         F.least(2 * (F.col("at") + tolerance), F.lead("at").over(near) + F.col("at")).alias("until"),
     )
-    records = (
-        left.select(F.col(left_entity).alias("l_entity"), F.col(left_id).alias("lid"), left_tick.alias("t"))
-        .withColumn("l_block", F.floor(F.col("t") / block))
-        .repartition("l_entity", "l_block")
-        .dropDuplicates(["l_entity", "l_block", "lid", "t"])
-    )
-    on = (
-        (F.col("l_entity") == F.col("entity"))
-        & (F.col("l_block") == F.col("block"))
-        & (F.col("after") < 2 * F.col("t"))
-        & (2 * F.col("t") <= F.col("until"))
-    )
-    return records.join(intervals, on, "left").select(F.col("lid").alias(left_id), F.col("rid").alias(right_id), F.col("t").isNotNull().alias("timed"))
+    records = left.select(F.col(left_entity).alias("entity"), F.col(left_id).alias("lid"), left_tick.alias("t"))
+    placeable = F.col("entity").isNotNull() & F.col("t").isNotNull()
+    points = records.where(placeable).withColumn("block", F.floor(F.col("t") / block)).repartition("entity", "block").dropDuplicates(["entity", "block", "lid", "t"])
+    # The intervals of a block are disjoint and sorted: a point can only lie in the last one that begins before it.
+    none = F.lit(None)
+    begins = intervals.select("entity", "block", F.col("after").alias("spot"), F.lit(1).alias("is_begin"), "rid", "until", none.cast(records.schema["lid"].dataType).alias("lid"))
+    looked = points.select("entity", "block", (2 * F.col("t")).alias("spot"), F.lit(0).alias("is_begin"), none.cast(moments.schema["rid"].dataType).alias("rid"), none.cast("long").alias("until"), "lid")
+    upto = Window.partitionBy("entity", "block").orderBy("spot", "is_begin").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last(F.when(F.col("is_begin") == 1, F.struct("rid", "until")), ignorenulls=True).over(upto)
+    found = begins.unionByName(looked).withColumn("held", held).where("is_begin = 0")
+    matched = found.select(F.col("lid").alias(left_id), F.when(F.col("spot") <= F.col("held.until"), F.col("held.rid")).alias(right_id), F.lit(True).alias("timed"))
+    # What has no time or entity can't match; it would only meet under one empty key.
+    apart = records.where(~placeable).dropDuplicates(["lid", "entity", "t"])
+    return matched.unionByName(apart.select(F.col("lid").alias(left_id), none.cast(moments.schema["rid"].dataType).alias(right_id), F.col("t").isNotNull().alias("timed")))
 
 
 def cue_moment(start: str = "start_s", end: str = "end_s") -> Column:

@@ -1,6 +1,6 @@
 """The N best items of every group, with a total order among ties.
 
-Each partition keeps, per group, its own N best distinct items; where it has N of them, the N-th is a bound: nothing
+Each partition is sorted (on disk where it must be) and keeps, per group, its own N best distinct items; where it has N of them, the N-th is a bound: nothing
 behind it can be among the N best of the whole. The tightest bound of each group is joined back, candidates behind it
 are dropped, and only the survivors are ranked. At most N rows per group leave a partition, so a group of any size is
 never gathered in one task.
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,31 +18,31 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from reelspark.session import materialize
 
-ROWS_BEFORE_PRUNING = 200_000
 
-
-def _local_best(n: int, keys: list[str], schema: pa.Schema):
-    order = ["grp", *keys, "item"]
-
-    def prune(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-        rows = rows.sort_values(order, kind="stable").drop_duplicates(["grp", "item"])
-        return rows[rows.groupby("grp", sort=False).cumcount() < n]
+def _local_best(n: int, schema: pa.Schema):
+    """The first ``n`` distinct items of every group of a sorted partition; the n-th is marked as a bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pd.DataFrame] = []
-        waiting = 0
+        before, taken = None, 0  # the last row, and how many distinct items of its group have come
         for batch in batches:
-            kept.append(batch.to_pandas())
-            waiting += batch.num_rows
-            if waiting >= max(ROWS_BEFORE_PRUNING, len(kept[0])):
-                kept, waiting = [prune(kept)], 0
-        if not kept:
-            return
-        rows = prune(kept)
-        last = rows.groupby("grp", sort=False).cumcount() == n - 1
-        out = rows.assign(is_bound=last)
-        yield from pa.Table.from_pandas(out, schema=schema, preserve_index=False).to_batches(max_chunksize=20_000)
+            rows = batch.to_pandas()
+            if not len(rows):
+                continue
+            fresh = rows["grp"].ne(rows["grp"].shift())
+            other = fresh | rows["item"].ne(rows["item"].shift())
+            goes_on = before is not None and rows["grp"].iloc[0] == before[0]
+            if goes_on:
+                fresh.iloc[0] = False
+                other.iloc[0] = rows["item"].iloc[0] != before[1]
+            group = fresh.cumsum()
+            rank = other.astype("int64").groupby(group).cumsum() - 1
+            if goes_on:
+                rank = rank.where(group != 0, rank + taken)
+            before, taken = (rows["grp"].iloc[-1], rows["item"].iloc[-1]), int(rank.iloc[-1]) + 1
+            keep = other & (rank < n)
+            out = rows[keep].assign(is_bound=(rank == n - 1)[keep])
+            if len(out):
+                yield from pa.Table.from_pandas(out, schema=schema, preserve_index=False).to_batches()
 
     return run
 
@@ -67,7 +66,8 @@ def top_n_per_group(items: DataFrame, *, group: str, item: str, score: Column, t
     if n < 1:
         return empty
     # Written once, as bounds and candidates both come from it: one scan of the items.
-    best = materialize(rows.mapInArrow(_local_best(n, ["k0", "k1", "k2"], to_arrow_schema(out)), out), "best")
+    ordered = rows.sortWithinPartitions("grp", "k0", "k1", "k2", "item")
+    best = materialize(ordered.mapInArrow(_local_best(n, to_arrow_schema(out)), out), "best")
     key = F.struct("k0", "k1", "k2", "item")
     bounds = best.where("is_bound").groupBy(F.col("grp").alias("b_grp")).agg(F.min(key).alias("bound"))
     survivors = best.join(bounds, F.col("grp") == F.col("b_grp"), "left").where(F.col("bound").isNull() | (key <= F.col("bound")))

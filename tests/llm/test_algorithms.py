@@ -35,6 +35,23 @@ def test_nearest_is_brute_force(spark):
     assert len(got) == len(expected) and {r.frame_id: r.cue_id for r in got} == expected
 
 
+def test_nearest_in_a_dense_stretch_and_without_times(spark):
+    """Thousands of cues and frames in one block of one video, and as many frames without a time."""
+    random.seed(8)
+    cues = [(i, "v", float(t) / 1000, None, "x", 0, "r") for i, t in enumerate(random.sample(range(15_000), 4000))]
+    frames = [(i, "v", random.randrange(15_000) / 1000 if i % 2 else None, "x") for i in range(8000)]
+    df = spark.createDataFrame([f[:3] for f in frames], "frame_id long, video_id string, timestamp_s double")
+    got = {r.frame_id: r.cue_id for r in nearest.frames_to_cues(df, spark.createDataFrame(cues, CUES)).collect()}
+    at = sorted((round(c[2] * 1000), c[0]) for c in cues)
+    for i, _, t, _ in frames:
+        if t is None:
+            assert got[i] is None
+        else:
+            t = round(t * 1000)
+            assert got[i] == min(at, key=lambda m: (abs(m[0] - t), m))[1] if i % 401 == 0 else got[i] is not None
+    assert len(got) == 8000
+
+
 def test_nearest_ties_and_empty(spark):
     cues = spark.createDataFrame([(7, "v", 1.0, None, "", 0, ""), (5, "v", 3.0, None, "", 0, ""), (4, "v", 3.0, None, "", 0, "")], CUES)
     frames = spark.createDataFrame([(1, 1, "v", 2.0, True, 0.0, ""), (2, 1, "v", 2.001, True, 0.0, ""), (3, 1, "v", 5.0, True, 0.0, ""), (4, 1, "v", 5.001, True, 0.0, "")], FRAMES)
