@@ -11,6 +11,7 @@ characters for each language); labels may be wrong: sentences are relabelled by
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from reelspark.session import spread
 SAMPLE_PER_LANGUAGE = 2000
 SAMPLE_CHARS = 1500
 MAX_ORDER = 4
+HELD_WORDS = 200_000  # distinct unseen words whose scores a worker remembers
+TOGETHER = 256  # texts scored together
 WORD_CLIP = 4.0  # the most that one word can say against a language
 UNSEEN_CLIP = 1.2
 SWITCH = 9.0  # cost of changing the language inside a sentence
@@ -36,7 +39,13 @@ SHORT_MARGIN = 2.5  # of each word of a sentence of two words; a single word nee
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 #: Links, mail addresses, code spans, paths, names joined by signs and stuttered syllables: no text in any language.
-NO_TEXT = regex.compile(r"`[^`]*`|(?<!\S)(\S{1,4}?)\1{4,}\S*|\b\w+://\S+|\bwww\.\S+|\S+@\S+\.\S+|(?<!\S)(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+/=_.&?:#%~-]{12,}|(?<!\S)\S*[A-Za-z0-9][_/\\]\S*[A-Za-z0-9]\S*")
+NO_TEXT = re.compile(
+    r"\b\w+://\S+|\bwww\.\S+|\S+@\S+\.\S+|(?<!\S)(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+/=_.&?:#%~-]{12,}|(?<!\S)\S*[A-Za-z0-9][_/\\]\S*[A-Za-z0-9]\S*"
+)
+CODE = re.compile(r"`[^`]*`")
+STUTTER = re.compile(r"(?<!\S)(?=\S{5})(\S{1,4}?)\1{4,}\S*")
+#: The tokens that may hold what NO_TEXT looks for.
+MAY_BE_NO_TEXT = re.compile(r"(?<!\S)\S*?[@/\\_]\S*|(?<!\S)(?=\S{12})\S*?\d\S*|\bwww\.\S+")
 SENTENCE = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』）\"”»)]*| (?:[/|–—]|-{1,2}) ")
 ENDED = regex.compile(r"[.!?…。！？][\"'”’»」』)\]]*\s*$")
 LATIN = regex.compile(r"\p{Latin}")
@@ -59,6 +68,18 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def blank_no_text(text: str) -> str:
+    """The text with spaces for what is no text in any language; places stay."""
+    if "`" in text:
+        text = CODE.sub(_spaces, text)
+    text = MAY_BE_NO_TEXT.sub(lambda m: NO_TEXT.sub(_spaces, m.group()), text)
+    return STUTTER.sub(_spaces, text)
+
+
+def _spaces(m: re.Match) -> str:
+    return " " * (m.end() - m.start())
+
+
 def grams(word: str) -> list[str]:
     """For each place of the padded word, the longest n-gram that starts there."""
     padded = f"^{word}$"
@@ -73,19 +94,28 @@ class Scorer:
         self.k = len(langs)
         self.word, self.word_scores = words
         self.gram, self.gram_scores = chars
-        self.seen: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the scores of unseen words."""
+        self.rows = dict(self.word)
+        self.matrix = np.zeros((max(1024, 2 * len(self.rows)), self.k))
+        self.matrix[: len(self.rows)] = self.word_scores
 
-    def of(self, word: str) -> np.ndarray:
-        row = self.word.get(word)
-        if row is not None:
-            return self.word_scores[row]
-        got = self.seen.get(word)
+    def row(self, word: str) -> int:
+        """Where the scores of a word stand in ``matrix``; every distinct word is scored once."""
+        got = self.rows.get(word)
         if got is None:
-            got = self._unseen(word)
-            if len(self.seen) < 100_000 and len(word) <= 40:
-                self.seen[word] = got
+            got = self.rows[word] = len(self.rows)
+            if got == len(self.matrix):
+                self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[got] = self._unseen(word)
         return got
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        rows = np.fromiter(map(self.row, words), np.int64, len(words))
+        return self.matrix[rows]
+
     def _unseen(self, word: str) -> np.ndarray:
         total = np.zeros(self.k)
         for g in grams(word):
@@ -135,7 +165,7 @@ def fit(samples: list[tuple[str, str]], langs: list[str], rounds: int = 3):
     at = {lang: i for i, lang in enumerate(langs)}
     units: list[tuple[list[str], int]] = []
     for text, lang in samples:
-        clean = NO_TEXT.sub(" ", text)
+        clean = blank_no_text(text)
         for a, b in sentences(clean):
             found = [w.lower() for w in WORD.findall(clean[a:b])]
             if found:
@@ -146,7 +176,7 @@ def fit(samples: list[tuple[str, str]], langs: list[str], rounds: int = 3):
             scorer = Scorer(langs, *tables)
             again = []
             for found, lang in units:
-                total = _weigh(scorer, found).sum(axis=0)
+                total = scorer.scores(found).sum(axis=0)
                 best = int(total.argmax())
                 # Doubtful sentences keep their label.
                 again.append((found, best if total[best] - total[lang] > 3 else lang))
@@ -159,10 +189,6 @@ def fit(samples: list[tuple[str, str]], langs: list[str], rounds: int = 3):
     return tables
 
 
-def _weigh(scorer: Scorer, found: list[str]) -> np.ndarray:
-    return np.array([scorer.of(w) for w in found])
-
-
 def _viterbi(scores: np.ndarray, switch: float) -> list[int]:
     n, k = scores.shape
     back = np.zeros((n, k), int)
@@ -180,59 +206,99 @@ def _viterbi(scores: np.ndarray, switch: float) -> list[int]:
 
 def stretches(scorer: Scorer, text: str) -> list[tuple[int, int, int, float]]:
     """(start, end, language, confidence) of the stretches of a text, neighbours of one language united."""
-    blank = NO_TEXT.sub(lambda m: " " * (m.end() - m.start()), text)
-    spots: list[tuple[int, int, str]] = []
+    return stretches_of(scorer, [text])[0]
+
+
+def stretches_of(scorer: Scorer, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
+    """The stretches of many texts, whose words are scored together."""
+    if len(scorer.rows) > len(scorer.word) + HELD_WORDS:
+        scorer.forget()
+    starts: list[int] = []
+    ends: list[int] = []
+    words: list[str] = []
     bounds: list[int] = []  # where each sentence with words begins among the words
     whole: list[bool] = []  # which of them stand between sentence ends, not between dashes or strokes
-    closed = True
-    for a, b in sentences(blank):
-        before, closed = closed, ENDED.search(blank[a:b]) is not None
-        found = [(m.start() + a, m.end() + a, m.group().lower()) for m in WORD.finditer(blank[a:b])]
-        if found:
-            bounds.append(len(spots))
-            whole.append(before and closed)
-            spots += found
-    if not spots:
-        return []
+    firsts: list[int] = []  # where each text begins among the sentences
+    dense: dict[int, int] = {}  # signs of scripts without spaces, of the words that have some
+    for text in texts:
+        firsts.append(len(bounds))
+        blank = blank_no_text(text)
+        closed, has_dense = True, DENSE.search(blank) is not None
+        for a, b in sentences(blank):
+            before, closed = closed, ENDED.search(blank, a, b) is not None
+            at = len(words)
+            for m in WORD.finditer(blank, a, b):
+                starts.append(m.start())
+                ends.append(m.end())
+                words.append(m.group().lower())
+            if len(words) > at:
+                bounds.append(at)
+                whole.append(before and closed)
+                if has_dense:
+                    dense.update((i, len(DENSE.findall(words[i]))) for i in range(at, len(words)))
+    firsts.append(len(bounds))
+    if not words:
+        return [[] for _ in texts]
     # All sentences at once: their totals, and how much the words that are for another language could gain at most.
-    scores = _weigh(scorer, [w for _, _, w in spots])
+    scores = scorer.scores(words)
     totals = np.add.reduceat(scores, bounds, axis=0)
     leads = totals.argmax(axis=1)
-    counts = np.diff([*bounds, len(spots)])
-    gain = scores - scores[np.arange(len(spots)), np.repeat(leads, counts)][:, None]
+    counts = np.diff([*bounds, len(words)])
+    gain = scores - scores[np.arange(len(words)), np.repeat(leads, counts)][:, None]
     possible = np.add.reduceat(np.maximum(gain, 0), bounds, axis=0).max(axis=1)
-    dense = [len(DENSE.findall(w)) for _, _, w in spots] if DENSE.search(blank) else [0] * len(spots)
-    out: list[list] = []  # start, end, lang, margin, words
-    alone: list[bool] = []  # which may stand in another language than the text
-    for first, n, lead, most, complete in zip(bounds, counts.tolist(), leads.tolist(), possible.tolist(), whole, strict=True):
-        parts = [(first, first + n, lead)]
-        if n > STRETCH_WORDS and most > STRETCH_GAIN:
-            sums = np.vstack([np.zeros(scorer.k), gain[first : first + n].cumsum(axis=0)])
-            if (sums - np.minimum.accumulate(sums, axis=0)).max() > STRETCH_GAIN:
-                path = _viterbi(scores[first : first + n], SWITCH)
-                cuts = [0, *[i for i in range(1, n) if path[i] != path[i - 1]], n]
-                found = [(first + i, first + j, path[i]) for i, j in zip(cuts, cuts[1:], strict=False)]
-                parts = [p for p in found if p[1] - p[0] >= STRETCH_WORDS or sum(dense[p[0] : p[1]]) >= STRETCH_CHARS] or parts
-        for i, j, lang in parts:
-            some = scores[i:j].sum(axis=0)
-            best = some[lang]
-            some[lang] = -math.inf
-            margin = float(best - some.max()) if scorer.k > 1 else 9.0
-            out.append([spots[i][0], spots[j - 1][1], lang, margin, j - i + sum(x // 3 for x in dense[i:j])])
-            size = out[-1][4]
-            if size >= 3:
-                alone.append(margin >= 5.0)
-            elif complete and not any(LATIN.search(w) for _, _, w in spots[i:j]):
-                alone.append(margin >= WORD_CLIP)
-            else:
-                alone.append(complete and size == 2 and margin >= SHORT_MARGIN * size)
+    margins = totals.max(axis=1) - np.partition(totals, -2, axis=1)[:, -2] if scorer.k > 1 else np.full(len(totals), 9.0)
+    mixed = (possible > STRETCH_GAIN) & (counts > STRETCH_WORDS)
+    lead, n_words, plain, margin = leads.tolist(), counts.tolist(), (~mixed).tolist(), margins.tolist()
+    out = []
+    for i, j in zip(firsts, firsts[1:], strict=False):
+        if i == j:
+            out.append([])
+            continue
+        if lead[i:j].count(lead[i]) == j - i and all(plain[i:j]):  # every sentence is in one language, and all in the same
+            first, last = bounds[i], bounds[j - 1] + n_words[j - 1]
+            size = last - first + (sum(dense.get(k, 0) // 3 for k in range(first, last)) if dense else 0)
+            out.append([(starts[first], ends[last - 1], lead[i], _confidence(sum(margin[i:j]), size))])
+            continue
+        parts: list[list] = []  # start, end, lang, margin, words, whether it may stand in another language than the text
+        for s in range(i, j):
+            first, n = bounds[s], n_words[s]
+            for x, y, lang in [(first, first + n, lead[s])] if plain[s] else _parts(scores, gain, first, n, lead[s], dense):
+                some = scores[x:y].sum(axis=0)
+                best = some[lang]
+                some[lang] = -math.inf
+                ahead = float(best - some.max()) if scorer.k > 1 else 9.0
+                size = y - x + sum(dense.get(k, 0) // 3 for k in range(x, y))
+                if size >= 3:
+                    alone = ahead >= 5.0
+                elif whole[s] and not any(LATIN.search(w) for w in words[x:y]):
+                    alone = ahead >= WORD_CLIP
+                else:
+                    alone = whole[s] and size == 2 and ahead >= SHORT_MARGIN * size
+                parts.append([starts[x], ends[y - 1], lang, ahead, size, alone])
+        out.append(_united(parts, scorer.k))
+    return out
+
+
+def _parts(scores: np.ndarray, gain: np.ndarray, first: int, n: int, lead: int, dense: dict[int, int]) -> list[tuple[int, int, int]]:
+    """The stretches of a sentence that may be mixed, as (first word, behind the last word, language)."""
+    sums = np.vstack([np.zeros(scores.shape[1]), gain[first : first + n].cumsum(axis=0)])
+    if (sums - np.minimum.accumulate(sums, axis=0)).max() <= STRETCH_GAIN:
+        return [(first, first + n, lead)]
+    path = _viterbi(scores[first : first + n], SWITCH)
+    cuts = [0, *[i for i in range(1, n) if path[i] != path[i - 1]], n]
+    found = [(first + i, first + j, path[i]) for i, j in zip(cuts, cuts[1:], strict=False)]
+    long = [p for p in found if p[1] - p[0] >= STRETCH_WORDS or sum(dense.get(k, 0) for k in range(p[0], p[1])) >= STRETCH_CHARS]
+    return long or [(first, first + n, lead)]
+
+
+def _united(parts: list[list], k: int) -> list[tuple[int, int, int, float]]:
     # Sentences too undecided for their length to stand on their own go with the language of the text.
-    weight = np.zeros(scorer.k)
-    for _, _, lang, margin, _ in out:
+    weight = np.zeros(k)
+    for _, _, lang, margin, _, _ in parts:
         weight[lang] += max(margin, 0.01)
     main = int(weight.argmax())
     united: list[list] = []
-    for s, certain in zip(out, alone, strict=True):
+    for *s, certain in parts:
         if s[2] != main and not certain:
             s[2], s[3] = main, 0.1
         if united and united[-1][2] == s[2]:
@@ -241,7 +307,11 @@ def stretches(scorer: Scorer, text: str) -> list[tuple[int, int, int, float]]:
             united[-1][4] += s[4]
         else:
             united.append(s)
-    return [(a, b, lang, round(1 / (1 + math.exp(-min(30.0, 3 * margin / math.sqrt(max(size, 1))))), 4)) for a, b, lang, margin, size in united]
+    return [(a, b, lang, _confidence(margin, size)) for a, b, lang, margin, size in united]
+
+
+def _confidence(margin: float, size: int) -> float:
+    return round(1 / (1 + math.exp(-min(30.0, 3 * margin / math.sqrt(max(size, 1))))), 4)
 
 
 SEGMENTS = "array<struct<start:int,stop:int,lang:string,confidence:double>>"
@@ -254,8 +324,8 @@ def _segmenter(model):
         scorer = Scorer(langs, words, chars)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [[(a, b, langs[k], c) for a, b, k, c in stretches(scorer, squeeze(t))] if t else [] for t in texts]
-            rows = [[dict(zip(("start", "stop", "lang", "confidence"), s, strict=True)) for s in f] for f in found]
+            found = [f for i in range(0, len(texts), TOGETHER) for f in stretches_of(scorer, [squeeze(t) if t else "" for t in texts[i : i + TOGETHER]])]
+            rows = [[{"start": a, "stop": b, "lang": langs[k], "confidence": c} for a, b, k, c in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, ARROW_SEGMENTS)], names=["id", "label", "segments"])
 
     return run
@@ -277,7 +347,8 @@ def sample_labelled(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, ch
         return []
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(per_language / n))])
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) / 1_000_003.0
-    picked = fit_for.where(draw < share[F.col("label")]).select("text", "label").limit(int(1.5 * per_language * len(counts)))
+    # The share gives about as many; the order by the same hash makes the bound an exact one, and the same each time.
+    picked = fit_for.withColumn("draw", draw).where(F.col("draw") < share[F.col("label")]).orderBy("draw", "id", "text").select("text", "label").limit(int(1.5 * per_language * len(counts)))
     return sorted((squeeze(r[0]), r[1]) for r in picked.collect())
 
 
