@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.text import UNICODE_SPACE, _c, collapse_ws, strip_tags
 from reelspark.functions.udf import arrow_udf
+from reelspark.sources.files import glob_of, without
 
 CUES = "array<struct<seq:int,start_ms:bigint,end_ms:bigint,text:string>>"
 JSON3 = "struct<events:array<struct<tStartMs:bigint,dDurationMs:bigint,aAppend:int,segs:array<struct<utf8:string>>>>>"
@@ -84,9 +85,10 @@ def srt_cues(files: DataFrame, key: str = "path", value: str = "value") -> DataF
     return files.select(key, _srt(value).alias("c")).select(key, F.inline("c"))
 
 
-def read_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """path, value: whole text files below a folder, by name pattern."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+def read_files(spark: SparkSession, path: str, glob: str | tuple[str, ...], exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path, value: whole text files below a folder, by one or several name patterns, without those of the excluded names."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob_of(glob)).text(path)
+    return without(files.select(F.col("_metadata.file_path").alias("path"), "value"), exclude)
 
 
 def md_paragraphs(text: Column | str) -> Column:
@@ -112,8 +114,10 @@ def playlist_entries(lines: DataFrame, value: str = "value", order: str = "line_
     """idx (from 1), video_id, title of tab-separated listing lines; lines without a tab don't count."""
     parts = F.split(value, "\t", 2)
     rows = lines.where(F.col(value).contains("\t")).select(F.col(order).alias("_o"), parts[0].alias("video_id"), parts[1].alias("title"))
-    # A playlist listing is one small file.
-    return rows.select(F.row_number().over(Window.orderBy("_o")).alias("idx"), "video_id", "title")
+    from reelspark.operators.ordered import numbered
+
+    one = rows.withColumn("_k", F.lit(0))
+    return numbered(one, "_k", ["_o"], "idx").select(F.col("idx").cast("int").alias("idx"), "video_id", "title")
 
 
 def strip_caption_tags(c: Column | str) -> Column:

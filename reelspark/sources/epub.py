@@ -3,26 +3,30 @@
 from __future__ import annotations
 
 import io
+import json
 import posixpath
 import re
 import struct
 import zipfile
-from urllib.parse import unquote
+from dataclasses import dataclass, field
+from urllib.parse import quote, unquote
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.sources.htmltree import Element, parse
 from reelspark.functions.udf import arrow_udf
+from reelspark.sources.htmltree import Element, Event, parse, stream
 
 CONTENT_TYPES = frozenset(("application/xhtml+xml", "text/html", "application/x-dtbncx+xml"))
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+PARAGRAPHS = frozenset(("p", "li"))
 CONTEXT_CHARS, NAME_CHARS = 400, 120
 
 TOC_ROWS = "array<struct<node_path:array<int>,depth:int,label:string,file:string,anchor:string,breadcrumb:array<string>>>"
-PACKAGE = f"struct<title:string,creator:string,language:string,manifest:array<struct<id:string,href:string,type:string,props:string>>,spine:array<string>,nav:string,ncx:string,toc:{TOC_ROWS},error:string>"
+PACKAGE = f"struct<title:string,creator:string,language:string,manifest:array<struct<id:string,href:string,type:string,props:string>>,spine:array<string>,nav:string,ncx:string,toc:{TOC_ROWS},toc_json:string,error:string>"
 PAGES = "array<struct<out_path:string,html:string>>"
+ASSETS = "array<struct<out_path:string,content:binary>>"
 OCCURRENCES = "array<struct<source_image:string,file:string,spine_index:int,seq:int,alt:string,css_class:string,role:string,breadcrumb:array<string>,nearest_heading:string,in_figure:boolean,caption:string,context_before:string,context_after:string,present:boolean,width:int,height:int>>"
 
 
@@ -145,21 +149,20 @@ def toc_json(toc: list[dict]) -> list[dict]:
 
 
 def split_by_anchor(html: str, anchors: list[str]) -> dict[str | None, list[str]]:
-    """Body blocks by anchor: each anchor owns the blocks from its own to the next one's; None holds what comes first."""
+    """Body blocks by anchor: from an anchor's own block to that of the next one, its own block at least; None holds what comes first."""
     root = parse(html)
-    body = root.first("body") or root
-    blocks = body.elements()
-    home = {}
+    blocks = (root.first("body") or root).elements()
+    wanted, home = set(anchors), {}
     for i, b in enumerate(blocks):
         for el in (b, *b.walk()):
-            if el.attrs.get("id") in anchors:
+            if el.attrs.get("id") in wanted:
                 home.setdefault(el.attrs["id"], i)
     marks = sorted((i, a) for a, i in home.items())
-    starts = sorted({i for i, _ in marks})
-    out: dict[str | None, list[str]] = {None: [b.html() for b in blocks[: starts[0] if starts else len(blocks)]]}
-    for i, a in marks:
-        end = next((s for s in starts if s > i), len(blocks))
-        out[a] = [b.html() for b in blocks[i:end]]
+    shown = [b.html() for b in blocks]
+    out: dict[str | None, list[str]] = {None: shown[: marks[0][0] if marks else len(blocks)]}
+    for k, (i, a) in enumerate(marks):
+        until = marks[k + 1][0] if k + 1 < len(marks) else len(blocks)
+        out[a] = shown[i : max(until, i + 1)]
     return out
 
 
@@ -201,8 +204,8 @@ def render_page(title: str, blocks: list[str], source: str, names: dict[str, str
             if el.name in ("img", "image") and link and not re.match(r"(?:https?:|data:|#)", link):
                 found = names.get(_join(base, link.partition("#")[0]))
                 if found:
-                    el.attrs[attr] = up + found
-    links = "".join(f'<link rel="stylesheet" href="{up}{s}">' for s in styles)
+                    el.attrs[attr] = up + quote(found)
+    links = "".join(f'<link rel="stylesheet" href="{up}{quote(s)}">' for s in styles)
     return f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{_escape(title)}</title>{links}</head><body>{root.html()}</body></html>"
 
 
@@ -260,11 +263,84 @@ def image_size(data: bytes) -> tuple[int | None, int | None]:
     return None, None
 
 
-class _State:
-    def __init__(self, crumbs: list[str]) -> None:
-        self.crumbs, self.heading, self.before = crumbs, "", ""
-        self.waiting: list[dict] = []
+@dataclass
+class Figure:
+    """An outermost figure while it is open."""
+
+    depth: int = 1
+    texts: list[str] = field(default_factory=list)
+    caption: str = ""
+    images: list[dict] = field(default_factory=list)
+
+
+class ImageWalk:
+    """Reads a chapter's events; images wait for the paragraph behind them and for the caption of their figure.
+
+    One capture runs at a time: the start of another heading, paragraph, item or caption begins a new one, and what is
+    left of the one around it goes.
+    """
+
+    CAPTURED = HEADINGS | PARAGRAPHS | {"figcaption"}
+
+    def __init__(self, crumbs_at: dict[str, list[str]], crumbs: list[str]) -> None:
+        self.crumbs_at, self.crumbs = crumbs_at, crumbs
+        self.heading = self.before = ""
+        self.capture: tuple[str, list[str]] | None = None
+        self.figure: Figure | None = None
         self.found: list[dict] = []
+        self.without_after = 0  # from here on, the images found wait for the paragraph behind them
+
+    def feed(self, e: Event) -> None:
+        if e.kind == "text":
+            for texts in (self.capture[1] if self.capture else None, self.figure.texts if self.figure else None):
+                if texts is not None:
+                    texts.append(e.value)
+        elif e.kind == "open":
+            self.begin(e.value, e.attrs)
+        elif not e.implied:
+            self.end(e.value)
+
+    def begin(self, name: str, attrs: dict[str, str]) -> None:
+        self.crumbs = self.crumbs_at.get(attrs.get("id", ""), self.crumbs)
+        if name == "figure":
+            if self.figure:
+                self.figure.depth += 1
+            else:
+                self.figure = Figure()
+        elif name in self.CAPTURED:
+            self.capture = (name, [])
+        elif name in ("img", "image"):
+            src = next((attrs[k] for k in ("src", "xlink:href", "href") if attrs.get(k)), None)
+            if src:
+                self.add(src, attrs)
+
+    def add(self, src: str, attrs: dict[str, str]) -> None:
+        shown = {"src": src, "alt": attrs.get("alt", ""), "css_class": attrs.get("class", ""), "role": attrs.get("role") or attrs.get("epub:type", "")}
+        place = {"breadcrumb": self.crumbs, "nearest_heading": self.heading, "in_figure": self.figure is not None}
+        self.found.append({**shown, **place, "caption": "", "context_before": self.before, "context_after": ""})
+        if self.figure:
+            self.figure.images.append(self.found[-1])
+
+    def end(self, name: str) -> None:
+        if self.capture and self.capture[0] == name:
+            text = _squeeze("".join(self.capture[1]))
+            self.capture = None
+            if name == "figcaption" and self.figure:
+                self.figure.caption = text
+            elif name in HEADINGS:
+                self.heading = text or self.heading
+            elif text and name in PARAGRAPHS:
+                self.before = text
+                for image in self.found[self.without_after :]:
+                    image["context_after"] = text
+                self.without_after = len(self.found)
+        if name == "figure" and self.figure:
+            self.figure.depth -= 1
+            if not self.figure.depth:
+                said = self.figure.caption or _squeeze("".join(self.figure.texts))
+                for image in self.figure.images:
+                    image["caption"] = said
+                self.figure = None
 
 
 def chapter_images(html: str, crumbs_at: dict[str, list[str]], first_crumbs: list[str]) -> list[dict]:
@@ -273,41 +349,10 @@ def chapter_images(html: str, crumbs_at: dict[str, list[str]], first_crumbs: lis
     An image inside a paragraph has that paragraph as what follows. A figure without a caption element gives all its
     text as the caption.
     """
-    s = _State(first_crumbs)
-
-    def visit(el: Element, figure: list[dict] | None) -> None:
-        if el.attrs.get("id") in crumbs_at:
-            s.crumbs = crumbs_at[el.attrs["id"]]
-        mine = [] if el.name == "figure" and figure is None else figure
-        if el.name in ("img", "image"):
-            src = el.attrs.get("src") or el.attrs.get("xlink:href") or el.attrs.get("href")
-            if src:
-                record = {
-                    "src": src, "alt": el.attrs.get("alt", ""), "css_class": el.attrs.get("class", ""), "role": el.attrs.get("role") or el.attrs.get("epub:type", ""),
-                    "breadcrumb": s.crumbs, "nearest_heading": s.heading, "in_figure": mine is not None, "caption": "", "context_before": s.before, "context_after": "",
-                }
-                s.found.append(record)
-                s.waiting.append(record)
-                if mine is not None:
-                    mine.append(record)
-        for c in el.elements():
-            visit(c, mine)
-        text = _squeeze(el.text()) if el.name in HEADINGS or el.name in ("p", "li", "figure") else ""
-        if el.name in HEADINGS and text:
-            s.heading = text
-        elif el.name in ("p", "li") and text:
-            s.before = text
-            for record in s.waiting:
-                record["context_after"] = text
-            s.waiting = []
-        elif el.name == "figure" and figure is None:
-            caption = el.first("figcaption")
-            said = (_squeeze(caption.text()) if caption is not None else "") or text
-            for record in mine or []:
-                record["caption"] = said
-
-    visit(parse(html), None)
-    return s.found
+    walk = ImageWalk(crumbs_at, first_crumbs)
+    for e in stream(html):
+        walk.feed(e)
+    return walk.found
 
 
 def book_images(data: bytes) -> list[tuple]:
@@ -346,9 +391,9 @@ def _package(data):
         z = zipfile.ZipFile(io.BytesIO(data))
         p = read_package(z)
         items = [(k, v["href"], v["type"], v["props"]) for k, v in p["manifest"].items()]
-        return (p["title"], p["creator"], p["language"], items, p["spine"], p["nav"], p["ncx"], flatten_toc(read_toc(z, p)), None)
+        return (p["title"], p["creator"], p["language"], items, p["spine"], p["nav"], p["ncx"], flatten_toc(toc := read_toc(z, p)), json.dumps(toc_json(toc), ensure_ascii=False), None)
     except Exception as e:  # a broken book is a row with its error
-        return (None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")
+        return (*[None] * 9, f"{type(e).__name__}: {e}")
 
 
 @arrow_udf(PAGES)
@@ -359,6 +404,17 @@ def _pages(data):
         return []
 
 
+@arrow_udf(ASSETS)
+def _assets(data):
+    try:
+        if data is None:
+            return []
+        z = zipfile.ZipFile(io.BytesIO(data))
+        return [(f"assets/{name}", z.read(path)) for path, name in assets(z, read_package(z)).items()]
+    except Exception:
+        return []
+
+
 @arrow_udf(OCCURRENCES)
 def _images(data):
     try:
@@ -386,12 +442,24 @@ def book_pages(books: DataFrame) -> DataFrame:
     return books.select("path", _pages("content").alias("p")).select("path", F.inline("p"))
 
 
+def book_assets(books: DataFrame) -> DataFrame:
+    """path, out_path, content: what a book's pages link to, under names that don't clash; write it by ``sources.files.write_bytes``."""
+    return books.select("path", _assets("content").alias("a")).select("path", F.inline("a"))
+
+
+def book_totals(books: DataFrame) -> DataFrame:
+    """One row: books read, broken ones, pages and assets."""
+    kinds = packages(books).select(F.when(F.col("error").isNull(), "books").otherwise("failed").alias("kind"))
+    kinds = kinds.unionByName(book_pages(books).select(F.lit("pages").alias("kind"))).unionByName(book_assets(books).select(F.lit("assets").alias("kind")))
+    return kinds.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("books", "failed", "pages", "assets")])
+
+
 def image_occurrences(books: DataFrame) -> DataFrame:
     return books.select("path", _images("content").alias("o")).select("path", F.inline("o"))
 
 
 def image_index(occurrences: DataFrame) -> DataFrame:
-    """path, source_image, width, height, present, occurrences: images in first-seen order with what was seen of them."""
+    """path, source_image, width, height, present, occurrences: images with what was seen of them, which a book bounds."""
     return occurrences.groupBy("path", "source_image").agg(
         F.min("seq").alias("first_seq"),
         F.first("width").alias("width"),
@@ -408,11 +476,14 @@ def image_stats(occurrences: DataFrame) -> DataFrame:
 
 
 def book_payloads(books: DataFrame) -> DataFrame:
-    """path, payload: a book's title, contents and images as one JSON text, which is one value of the output."""
+    """path, payload: a book's title, nested contents and images as one JSON text, which is one value of the output."""
     seen = image_occurrences(books)
     shown = image_index(seen).where("present").select("path", F.struct("first_seq", "source_image", "width", "height", "occurrences").alias("image"))
-    images = shown.groupBy("path").agg(F.array_sort(F.collect_list("image")).alias("images"))
-    stats = image_stats(seen)
-    head = packages(books).where("error is null").select("path", F.col("title").alias("book"), F.transform("toc", lambda t: F.struct(t["depth"].alias("depth"), t["label"].alias("label"))).alias("toc"))
-    rows = head.join(stats, "path", "left").join(images, "path", "left").na.fill(0, ["image_count", "occurrence_count"])
-    return rows.select("path", F.to_json(F.struct("book", "toc", "image_count", "occurrence_count", F.coalesce("images", F.array().cast(images.schema["images"].dataType)).alias("images"))).alias("payload"))
+    images = shown.groupBy("path").agg(F.to_json(F.array_sort(F.collect_list("image"))).alias("images"))
+    head = packages(books).where("error is null").select("path", F.to_json(F.struct(F.col("title").alias("book"))).alias("book"), "toc_json")
+    rows = head.join(image_stats(seen), "path", "left").join(images, "path", "left").na.fill(0, ["image_count", "occurrence_count"])
+    # The contents nest without a bound, which no Spark type says, so this part is put in as text.
+    payload = F.format_string(
+        '%s,"toc":%s,"image_count":%d,"occurrence_count":%d,"images":%s}', F.expr("substring(book, 1, length(book) - 1)"), "toc_json", "image_count", "occurrence_count", F.coalesce("images", F.lit("[]"))
+    )
+    return rows.select("path", payload.alias("payload"))

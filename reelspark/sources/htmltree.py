@@ -1,4 +1,4 @@
-"""A small element tree over the standard HTML parser.
+"""HTML as a stream of events, and as a small element tree built from it.
 
 Unclosed elements nest, an end tag closes up to the nearest open element of its name or is ignored, void elements close
 at once. Comments and declarations are dropped.
@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
+from typing import NamedTuple
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 RAW = frozenset(("script", "style"))
 
 
@@ -53,37 +54,65 @@ class Element:
         inner = "".join((c if self.name in RAW else escape(c, quote=False)) if isinstance(c, str) else c.html() for c in self.children)
         if not self.name:
             return inner
-        head = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.name}{head}>" if self.name in VOID else f"<{self.name}{head}>{inner}</{self.name}>"
+        head = start_tag(self.name, self.attrs)
+        return head if self.name in VOID else f"{head}{inner}</{self.name}>"
 
 
-class _Builder(HTMLParser):
+class Event(NamedTuple):
+    """``kind`` is open, close or text; ``value`` the element's name or the text. An ``implied`` close has no end tag of its own."""
+
+    kind: str
+    value: str
+    attrs: dict[str, str] | None = None
+    implied: bool = False
+
+
+class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("", {}, None)
+        self.out: list[Event] = []
+        self.names: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        el = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(el)
-        if tag not in VOID:
-            self.at = el
+        self.out.append(Event("open", tag, {k: v or "" for k, v in attrs}))
+        if tag in VOID:
+            self.out.append(Event("close", tag))
+        else:
+            self.names.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.at.children.append(Element(tag, {k: v or "" for k, v in attrs}, self.at))
+        self.out += (Event("open", tag, {k: v or "" for k, v in attrs}), Event("close", tag))
 
     def handle_endtag(self, tag: str) -> None:
-        el = self.at
-        while el.parent is not None and el.name != tag:
-            el = el.parent
-        if el.parent is not None:
-            self.at = el.parent
+        if tag in self.names:
+            while (name := self.names.pop()) != tag:
+                self.out.append(Event("close", name, implied=True))
+            self.out.append(Event("close", tag))
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.out.append(Event("text", data))
+
+
+def stream(html: str) -> list[Event]:
+    """All events of a page; every element that opens is closed."""
+    r = _Reader()
+    r.feed(html)
+    r.close()
+    return r.out + [Event("close", name, implied=True) for name in reversed(r.names)]
+
+
+def start_tag(name: str, attrs: dict[str, str]) -> str:
+    return f"<{name}" + "".join(f' {k}="{escape(v)}"' for k, v in attrs.items()) + ">"
 
 
 def parse(html: str) -> Element:
-    b = _Builder()
-    b.feed(html)
-    b.close()
-    return b.root
+    at = root = Element("", {}, None)
+    for e in stream(html):
+        if e.kind == "text":
+            at.children.append(e.value)
+        elif e.kind == "open":
+            at.children.append(Element(e.value, e.attrs, at))
+            at = at.children[-1]
+        else:
+            at = at.parent
+    return root

@@ -3,7 +3,7 @@ import json
 import zipfile
 
 from reelspark.sources import captions, epub
-from reelspark.sources.files import inside, list_files, load_settings, write_texts
+from reelspark.sources.files import copy_files, inside, list_files, load_settings, write_bytes, write_texts
 
 
 def test_json3(spark):
@@ -89,11 +89,39 @@ def test_epub_images(spark):
 def test_epub_parts():
     assert epub.unique_names(["a/x.png", "b/x.png", "c/x_1.png", "a/x.png"]) == {"a/x.png": "x.png", "b/x.png": "x_1.png", "c/x_1.png": "x_1_1.png"}
     parts = epub.split_by_anchor('<body><p>0</p><div><p id="a"></p><p id="b"></p></div><p>1</p></body>', ["a", "b", "zz"])
-    assert parts[None] == ["<p>0</p>"] and parts["a"] == parts["b"] and len(parts["a"]) == 2
+    assert parts[None] == ["<p>0</p>"] and len(parts["a"]) == 1 and parts["b"] == [parts["a"][0], "<p>1</p>"]
     assert epub.toc_json([{"label": "x", "children": [{"label": "y", "children": []}]}]) == [{"label": "x", "children": [{"label": "y"}]}]
     assert epub.image_size(b"GIF89a\x05\x00\x06\x00") == (5, 6) and epub.image_size(b"?") == (None, None)
 
 
+def test_image_contexts():
+    """A paragraph inside an item ends the item's capture; a figure's images share its caption; links are quoted."""
+    html = '<ul><li>one <p>two</p> three</li></ul><img src="a"/><p>x</p><figure><img src="b"/><figure><img src="c"/></figure>all <b>text</b></figure><p></p><li>y</li>'
+    a, b, c = epub.chapter_images(html, {}, ["T"])
+    assert (a["context_before"], a["context_after"], b["context_before"], b["context_after"]) == ("two", "x", "x", "y")
+    assert b["caption"] == c["caption"] == "all text" and not a["in_figure"] and c["breadcrumb"] == ["T"]
+    assert 'src="../assets/a%20b.png"' in epub.render_page("t", ['<img src="i/a%20b.png">'], "c.xhtml", {"i/a b.png": "a b.png"}, 1, [])
+
+
+def test_book_assets_and_payload(spark, tmp_path):
+    books = spark.createDataFrame([("a", bytearray(book())), ("x", bytearray(b""))], "path string, content binary")
+    assert [r.error for r in write_bytes(epub.book_assets(books), f"file://{tmp_path}/out").collect()] == [None, None]
+    assert (tmp_path / "out/assets/a.png").read_bytes() == PNG and (tmp_path / "out/assets/s.css").read_text() == "p {}"
+    assert tuple(epub.book_totals(books).first()) == (1, 1, 3, 2)
+    payload = json.loads(epub.book_payloads(books).first().payload)
+    assert payload["toc"] == [{"label": "Ch 1", "children": [{"label": "Topic A"}, {"label": "B/C?"}]}]
+    assert [r.error for r in copy_files(spark, f"{tmp_path}/out", f"{tmp_path}/copy", ("*.png", "*.txt")).collect()] == [None]
+    assert (tmp_path / "copy/assets/a.png").read_bytes() == PNG and not (tmp_path / "copy/assets/s.css").exists()
+
+
+def test_several_patterns(spark, tmp_path):
+    for name in ("a.md", "b.txt", "c.html", "index.html", "d.png"):
+        (tmp_path / name).write_text(name)
+    got = captions.read_files(spark, str(tmp_path), ("*.md", "*.txt", "*.html"), exclude=("index.html",)).collect()
+    assert sorted(r.value for r in got) == ["a.md", "b.txt", "c.html"]
+    assert list_files(spark, str(tmp_path), "*.html", ("index.html",)).count() == 1
+
+
 def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("a/b.html", "x"), ("../out.html", "y"), (None, "z")], "out_path string, html string")
     errors = {r.out_path: r.error for r in write_texts(rows, str(tmp_path)).collect()}
