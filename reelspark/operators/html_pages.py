@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.text import _c, hidden_name
 from reelspark.functions.udf import arrow_udf
+from reelspark.operators.tables import totals
 from reelspark.session import spread
 from reelspark.sources.htmltree import RAW, VOID, Event, parse, start_tag, stream
 
@@ -309,4 +310,4 @@ def mirror(files: DataFrame, path: str = "path", html: str = "html") -> DataFram
 
 def mirror_totals(mirrored: DataFrame) -> DataFrame:
     """One row: md, copied, skipped, failed."""
-    return mirrored.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("md", "copied", "skipped", "failed")])
+    return totals(mirrored, "state", ("md", "copied", "skipped", "failed"))

@@ -7,8 +7,12 @@ executors' environment, never into a closure.
 
 from __future__ import annotations
 
+import queue
+import re
+import threading
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -16,10 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.text import already_target
+from reelspark.operators import html_pages
 from reelspark.operators.segments import pack_blocks
 
+# Models that take an effort.
+REASONING = re.compile(r"^(gpt-5|o[1-4])", re.IGNORECASE)
+
 ATTEMPTS = 5
-RANKED = "video_id string, batch long, frame_index int, include boolean, alt_text string, caption string, confidence double, degraded boolean"
+TIMEOUT_S = 60.0
+RANKED = "video_id string, batch long, frame_index int, include boolean, alt_text string, caption string, confidence double, degraded boolean, error string"
 
 
 class Transcriber(Protocol):
@@ -36,20 +45,82 @@ class Ranker(Protocol):
 
 
 class Retryable(Exception):
-    """Try again; any other error, a timeout among them, ends the attempts."""
+    """For models to say that asking again may help; every error but a time-out is taken so."""
+
+
+class TimedOut(Exception):
+    """The model hung; asking again for the same is of no use."""
+
+
+def within(call: Callable, seconds: float | None, *args):
+    """The result of a call, or ``TimedOut``; a hung call is left behind on a thread of its own."""
+    if seconds is None:
+        return call(*args)
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            done.put((call(*args), None))
+        except BaseException as e:  # handed over to the caller
+            done.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        result, error = done.get(timeout=seconds)
+    except queue.Empty:
+        raise TimedOut(f"no answer in {seconds:g} s") from None
+    if error is not None:
+        raise error
+    return result
 
 
-def with_retries(call: Callable, *args, attempts: int = ATTEMPTS, first_wait: float = 2.0, longest: float = 32.0, sleep: Callable[[float], None] = time.sleep):
+def with_retries(call: Callable, *args, attempts: int = ATTEMPTS, first_wait: float = 2.0, longest: float = 32.0, timeout: float | None = TIMEOUT_S, sleep: Callable[[float], None] = time.sleep):
+    """Ask up to ``attempts`` times, waiting twice as long each time; a time-out ends the attempts."""
     for k in range(attempts):
         try:
-            return call(*args)
-        except Retryable:
+            return within(call, timeout, *args)
+        except TimedOut:
+            raise
+        except Exception:
             if k == attempts - 1:
                 raise
             sleep(min(longest, first_wait * 2**k))
     raise ValueError("attempts must be positive")
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A text model behind an address: what it is asked, and how its answer is read. ``post`` sends a request; it reads keys
+    from the environment of the executor it runs on.
+
+    ``kind`` chat sends messages with an effort, generate sends a system text and contents with a level of thinking.
+    """
+
+    kind: str
+    model: str
+    post: Callable[[dict], dict]
+    level: str | None = None  # by default high for chat, low for generate
+
+    def request(self, text: str, system: str) -> dict:
+        if self.kind == "chat":
+            messages = [{"role": "system", "content": system}, {"role": "user", "content": text}]
+            return {"model": self.model, "messages": messages} | ({"reasoning_effort": self.level or "high"} if REASONING.match(self.model) else {})
+        if self.kind == "generate":
+            return {"model": self.model, "system_instruction": system, "contents": text, "thinking_level": self.level or "low"}
+        raise ValueError(f"unknown kind of provider: {self.kind}")
+
+    def run(self, text: str, system: str) -> tuple[str, bool]:
+        """The answer, and whether it was cut short."""
+        got = self.post(self.request(text, system))
+        first = (got.get("choices") or got.get("candidates") or [{}])[0]
+        said = first["message"]["content"] if "message" in first else "".join(p.get("text", "") for p in first.get("content", {}).get("parts", []))
+        ended = str(first.get("finish_reason") or first.get("finishReason") or "").lower()
+        return said.strip(), ended in ("length", "max_tokens")
+
+    def translator(self, instruction: str = "Translate into {target}. Keep the Markdown.") -> Translator:
+        return lambda text, target: self.run(text, instruction.format(target=target))
+
+
 def halves(text: str) -> tuple[str, str]:
     blocks = [b.strip() for b in text.split("\n\n") if b.strip()]
     if len(blocks) >= 2:
@@ -58,36 +129,47 @@ def halves(text: str) -> tuple[str, str]:
     return text[: len(text) // 2], text[len(text) // 2 :]
 
 
-def translate_text(text: str, target: str, model: Translator, depth: int = 0) -> str:
+def translate_text(text: str, target: str, model: Translator, depth: int = 0, sleep: Callable[[float], None] = time.sleep) -> str:
     """A cut-short answer to a long text is asked for again in halves, at most four times deep."""
-    answer, cut = with_retries(model, text, target, sleep=lambda _: None)
+    answer, cut = with_retries(model, text, target, first_wait=1.0, sleep=sleep)
     if cut and depth < 4 and len(text) > 800:
-        return "\n\n".join(translate_text(part, target, model, depth + 1) for part in halves(text))
+        return "\n\n".join(translate_text(part, target, model, depth + 1, sleep) for part in halves(text))
     return answer
 
 
-def translate(documents: DataFrame, target: str, model: Translator, *, key: str = "doc_id", text: str = "text", skip_done: bool = True, limit: int = 6000) -> DataFrame:
-    """key, translated, skipped: texts chunk by chunk; those mostly in the target's script already are copied.
+def translate(
+    documents: DataFrame, target: str, model: Translator, *, key: str = "doc_id", text: str = "text", skip_done: bool = True, limit: int = 6000, sleep: Callable[[float], None] = time.sleep
+) -> DataFrame:
+    """key, translated, skipped, error: texts chunk by chunk; those mostly in the target's script already are copied.
 
-    Null texts stay null.
+    Null texts stay null. A text whose model fails to the end is null with the error's message.
     """
     done = already_target(text, target) if skip_done else F.lit(False)
     rows = documents.select(F.col(key), F.col(text).alias("_t"), done.alias("skipped"))
 
+    def one(t: str | None) -> tuple[str | None, str | None]:
+        try:
+            return (None if t is None else "\n\n".join(translate_text(c, target, model, sleep=sleep) if c else c for c in pack_blocks(t, limit))), None
+        except Exception as e:  # the text's row says what happened
+            return None, f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [None if t is None else "\n\n".join(translate_text(c, target, model) if c else c for c in pack_blocks(t, limit)) for t in pdf["_t"]]
-            yield pd.DataFrame({key: pdf[key], "translated": pd.Series(out, dtype=object), "skipped": False})
+            out = [one(t) for t in pdf["_t"]]
+            yield pd.DataFrame({key: pdf[key], "translated": pd.Series([t for t, _ in out], dtype=object), "skipped": False, "error": pd.Series([e for _, e in out], dtype=object)})
 
-    copied = rows.where("skipped").select(key, F.col("_t").alias("translated"), "skipped")
+    copied = rows.where("skipped").select(key, F.col("_t").alias("translated"), "skipped", F.lit(None).cast("string").alias("error"))
     kind = rows.schema[key].dataType.simpleString()
-    return copied.unionByName(rows.where("not skipped").select(key, "_t").mapInPandas(run, f"{key} {kind}, translated string, skipped boolean"))
+    return copied.unionByName(rows.where("not skipped").select(key, "_t").mapInPandas(run, f"{key} {kind}, translated string, skipped boolean, error string"))
 
 
-def translate_nodes(nodes: DataFrame, key: str, target: str, model: Callable[[list[str], str], list[str]], size: int = 120) -> DataFrame:
-    """key, translations (map of id to text): a page's nodes in batches of ``size``, in order; ids count from 0.
+def translate_nodes(
+    nodes: DataFrame, key: str, target: str, model: Callable[[list[str], str], list[str]], size: int = 120, sleep: Callable[[float], None] = time.sleep
+) -> DataFrame:
+    """key, translations (map of id to text), errors: a page's nodes in batches of ``size``, in order; ids count from 0.
 
-    A batch whose answer has another length, or that fails after its attempts, leaves its nodes out, so they stay as they are.
+    A batch whose answer has another length, or that fails after its attempts, leaves its nodes out, so they stay as they
+    are, and adds a message to the page's errors.
     """
     batches = nodes.groupBy(key, F.expr(f"id div {size}").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("nodes"))
     kind = nodes.schema[key].dataType.simpleString()
@@ -96,16 +178,39 @@ def translate_nodes(nodes: DataFrame, key: str, target: str, model: Callable[[li
         for pdf in pdfs:
             out = []
             for k, batch in zip(pdf[key], pdf["nodes"], strict=True):
+                got, error = [], None
                 try:
-                    got = with_retries(model, [n["text"] for n in batch], target, sleep=lambda _: None)
-                except Exception:
-                    got = []
-                out += [(k, n["id"], t) for n, t in zip(batch, got, strict=False)] if len(got) == len(batch) else []
-            yield pd.DataFrame(out, columns=[key, "id", "text"])
-
-    done = batches.select(key, "nodes").mapInPandas(run, f"{key} {kind}, id int, text string")
+                    got = with_retries(model, [n["text"] for n in batch], target, first_wait=1.0, sleep=sleep)
+                    if len(got) != len(batch):
+                        error = f"{len(got)} answers to {len(batch)} texts"
+                except Exception as e:  # the page's row says what happened
+                    error = f"{type(e).__name__}: {e}"
+                out += [(k, None, None, error)] if error else [(k, n["id"], t, None) for n, t in zip(batch, got, strict=True)]
+            yield pd.DataFrame(out, columns=[key, "id", "text", "error"])
+
+    done = batches.select(key, "nodes").mapInPandas(run, f"{key} {kind}, id int, text string, error string")
     # A page is one document, so its nodes meet in one row.
-    return done.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("id", "text"))).alias("translations"))
+    pairs = F.filter(F.collect_list(F.struct("id", "text")), lambda p: p["id"].isNotNull())
+    return done.groupBy(key).agg(F.map_from_entries(pairs).alias("translations"), F.array_sort(F.collect_list("error")).alias("errors"))
+
+
+def translate_files(
+    files: DataFrame, target: str, model: Translator, nodes_model: Callable[[list[str], str], list[str]] | None = None, *, path: str = "path", text: str = "value", skip_done: bool = True, sleep: Callable[[float], None] = time.sleep
+) -> DataFrame:
+    """path, translated, skipped, error: pages (.html) node by node, whatever their script; other texts as ``translate`` does.
+
+    Without ``nodes_model`` the nodes go to ``model`` one by one. A page with failed batches keeps their texts and has the
+    messages as its error. Paths are unique; rows with a null text give null.
+    """
+    each = nodes_model or (lambda texts, to: [model(t, to)[0] for t in texts])
+    is_page = F.coalesce(F.lower(path).endswith(".html"), F.lit(False))
+    rows = files.select(F.col(path).alias("path"), F.col(text).alias("value"))
+    pages = rows.where(is_page)
+    done = translate_nodes(html_pages.text_nodes(pages, "path", "value"), "path", target, each, sleep=sleep)
+    whole = pages.join(done, "path", "left").select(
+        "path", html_pages.write_back("value", "translations").alias("translated"), F.lit(False).alias("skipped"), F.nullif(F.array_join(F.coalesce("errors", F.array().cast("array<string>")), "; "), F.lit("")).alias("error")
+    )
+    return whole.unionByName(translate(rows.where(~is_page), target, model, key="path", text="value", skip_done=skip_done, sleep=sleep))
 
 
 def transcribe(chunks: DataFrame, model: Transcriber) -> DataFrame:
@@ -118,38 +223,66 @@ def transcribe(chunks: DataFrame, model: Transcriber) -> DataFrame:
     return chunks.select("video_id", F.col("chunk").cast("int").alias("chunk"), "audio").mapInPandas(run, "video_id string, chunk int, text string")
 
 
-def ask_batch(model: Ranker, prompt: str, frames: list[dict], halve: bool = True, sleep: Callable[[float], None] = time.sleep) -> list[dict] | None:
-    """The answers of a batch; after failing attempts once in halves, then None."""
+def ask_batch(model: Ranker, prompt: str, frames: list[dict], halve: bool = True, timeout: float | None = TIMEOUT_S, sleep: Callable[[float], None] = time.sleep) -> tuple[list[dict] | None, str | None]:
+    """The answers of a batch, or None and why; what fails to the end is asked once more in halves."""
+
+    def whole(prompt: str, frames: list[dict]) -> list[dict]:
+        got = model(prompt, frames)
+        if len(got) != len(frames):
+            raise ValueError(f"{len(got)} answers to {len(frames)} frames")
+        return got
+
     try:
-        got = with_retries(model, prompt, frames, sleep=sleep)
-        if len(got) == len(frames):
-            return got
-    except Exception:
-        got = None
+        return with_retries(whole, prompt, frames, timeout=timeout, sleep=sleep), None
+    except Exception as e:  # handed on as the batch's error
+        error = f"{type(e).__name__}: {e}"
     if halve and len(frames) > 1:
         k = len(frames) // 2
-        parts = [ask_batch(model, prompt, part, False, sleep) for part in (frames[:k], frames[k:])]
-        if all(p is not None for p in parts):
-            return [x for p in parts for x in p]
-    return None
+        first = ask_batch(model, prompt, frames[:k], False, timeout, sleep)[0]
+        second = ask_batch(model, prompt, frames[k:], False, timeout, sleep)[0] if first is not None else None
+        if second is not None:
+            return first + second, None
+    return None, error
 
 
-def rank_batches(batches: DataFrame, model: Ranker) -> DataFrame:
-    """Answers to (video_id, batch, prompt, frames) rows, one per frame; a failed batch gives stubs, flagged degraded."""
+def rank_batches(batches: DataFrame, model: Ranker, timeout: float | None = TIMEOUT_S, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Answers to (video_id, batch, prompt, frames) rows, one per frame; a failed batch gives stubs, flagged degraded, with its error."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             out = []
             for video, batch, prompt, frames in zip(pdf["video_id"], pdf["batch"], pdf["prompt"], pdf["frames"], strict=True):
                 asked = [dict(f) for f in frames]
-                got = ask_batch(model, prompt, asked, sleep=lambda _: None)
+                got, error = ask_batch(model, prompt, asked, timeout=timeout, sleep=sleep)
                 for f, a in zip(asked, got or [{}] * len(asked), strict=True):
-                    out.append((video, batch, f["frame_index"], bool(a.get("include", True)), a.get("alt_text", ""), a.get("caption", ""), float(a.get("confidence", 0.0)), got is None))
-            yield pd.DataFrame(out, columns=["video_id", "batch", "frame_index", "include", "alt_text", "caption", "confidence", "degraded"])
+                    out.append((video, batch, f["frame_index"], bool(a.get("include", True)), a.get("alt_text", ""), a.get("caption", ""), float(a.get("confidence", 0.0)), got is None, error))
+            yield pd.DataFrame(out, columns=["video_id", "batch", "frame_index", "include", "alt_text", "caption", "confidence", "degraded", "error"])
 
     return batches.select("video_id", "batch", "prompt", "frames").mapInPandas(run, RANKED)
 
 
+ANSWER = ("include", "alt_text", "caption", "confidence", "degraded")
+
+
+def rank_frames(frames: DataFrame, prompts: DataFrame, cache: DataFrame, model: Ranker, *, timeout: float | None = TIMEOUT_S, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """video_id, batch, frame_index, timestamp_s, hash, include, alt_text, caption, confidence, degraded, cached.
+
+    ``frames`` has video_id, batch, frame_index, timestamp_s, hash; ``prompts`` has video_id, batch, prompt, that of the
+    whole batch even where only a part of it is asked; ``cache`` has hash and the answer's columns. A frame whose hash is
+    in the cache takes its answer from there; only the others are asked, batch by batch. ``frame_index`` is unique in a video.
+    """
+    known = cache.select(F.col("hash").alias("_h"), F.struct(*ANSWER).alias("_a")).where("_h is not null").dropDuplicates(["_h"])
+    probed = frames.select("video_id", "batch", "frame_index", "timestamp_s", "hash").join(known, F.col("hash") == F.col("_h"), "left")
+    hits = probed.where("_a is not null").select("video_id", "batch", "frame_index", "timestamp_s", "hash", "_a.*", F.lit(True).alias("cached"))
+    misses = probed.where("_a is null").drop("_h", "_a")
+    # A batch has a bounded size.
+    asked = misses.groupBy("video_id", "batch").agg(F.array_sort(F.collect_list(F.struct("timestamp_s", "frame_index"))).alias("f"))
+    asked = asked.join(prompts, ["video_id", "batch"], "left").select("video_id", "batch", F.coalesce("prompt", F.lit("")).alias("prompt"), F.transform("f", lambda x: F.struct(x["frame_index"].alias("frame_index"))).alias("frames"))
+    answers = rank_batches(asked, model, timeout, sleep).select("video_id", "frame_index", *ANSWER)
+    fresh = misses.join(answers, ["video_id", "frame_index"]).select("video_id", "batch", "frame_index", "timestamp_s", "hash", *ANSWER, F.lit(False).alias("cached"))
+    return hits.unionByName(fresh)
+
+
 def remember(cache: DataFrame, answers: DataFrame, key: str, at: str) -> DataFrame:
     """The cache with new answers: the latest of each key. Degraded stubs aren't kept."""
     both = cache.unionByName(answers.where(~F.coalesce(F.col("degraded"), F.lit(False))), allowMissingColumns=True)

@@ -141,11 +141,13 @@ def even_sample(rows: DataFrame, key: str, order: list[str], n: int) -> DataFram
 
 
 def uniform_grid(videos: DataFrame, key: str, duration_s: str, every: float) -> DataFrame:
-    """key, k, timestamp_s, path: the sampling times of a video, with names by time."""
+    """key, k, timestamp_s, path: the sampling times of a video, with names by time; names in one second get _1, _2, ..."""
     from reelspark.functions.text import ts_display
 
     ok = F.col(duration_s).isNotNull() & ~F.isnan(duration_s) & (F.col(duration_s) >= 0)
     grid = videos.where(ok).select(key, F.explode(F.sequence(F.lit(0), F.floor(F.col(duration_s) / every).cast("int"))).alias("k"))
     at = F.col("k") * F.lit(every)
-    name = F.concat(F.replace(ts_display(at, always_hours=True), F.lit(":"), F.lit("_")), F.lit(".jpg"))
+    nth = F.col("k") - F.ceil(F.floor(at) / F.lit(every)).cast("int")
+    again = F.when(nth > 0, F.concat(F.lit("_"), nth.cast("string"))).otherwise("")
+    name = F.concat(F.replace(ts_display(at, always_hours=True), F.lit(":"), F.lit("_")), again, F.lit(".jpg"))
     return grid.select(key, "k", at.alias("timestamp_s"), name.alias("path"))

@@ -30,6 +30,17 @@ def running_total(rows: DataFrame, key: str, order: list[str], value: Column, na
     return ordered(rows, key, order, running={name: value})
 
 
+def running_spend(rows: DataFrame, key: str, order: list[str], images: Column, *, price: float, factor: float = 1.3, cap: float | None = None) -> DataFrame:
+    """``rows`` with ``spent``, the estimated cost of all images up to each row of a key, and ``over_cap``: a warning, nothing stops."""
+    spent = running_total(rows, key, order, images, "_images").withColumn("spent", F.col("_images") * F.lit(price * factor)).drop("_images")
+    return spent.withColumn("over_cap", F.lit(False) if cap is None else F.col("spent") > cap)
+
+
+def totals(rows: DataFrame, state: str, states: tuple[str, ...]) -> DataFrame:
+    """One row with the number of rows in each state; states that don't occur count 0."""
+    return rows.agg(*[F.count_if(F.col(state) == s).alias(s) for s in states])
+
+
 def needs_upgrade(width: Column, least: int = 1920) -> Column:
     """An image that is missing, unreadable (null width) or too narrow."""
     return F.coalesce(width < least, F.lit(True))

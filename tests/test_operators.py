@@ -162,13 +162,15 @@ def test_models(spark):
             raise models.Retryable
         return [{"include": True, "confidence": 1.0} for _ in frames]
 
-    assert len(models.ask_batch(flaky, "", [{"frame_index": i} for i in range(4)], sleep=lambda _: None)) == 4 and calls == [4] * 5 + [2, 2]
+    waits = []
+    assert len(models.ask_batch(flaky, "", [{"frame_index": i} for i in range(4)], sleep=waits.append)[0]) == 4 and calls == [4] * 5 + [2, 2]
+    assert waits == [2, 4, 8, 16]
     batches = spark.createDataFrame([("v", 0, "p", [(i,) for i in range(20)])], "video_id string, batch long, prompt string, frames array<struct<frame_index:int>>")
 
     def broken(prompt, frames):
         raise TimeoutError
 
-    ranked = models.rank_batches(batches, broken).withColumn("timestamp_s", F.col("frame_index"))
+    ranked = models.rank_batches(batches, broken, sleep=lambda _: None).withColumn("timestamp_s", F.col("frame_index"))
     chosen = models.choose_frames(ranked, 6).collect()
     assert len(chosen) == 6 and all(r.include and r.degraded for r in chosen)
     cache = spark.createDataFrame([("h", 0.1, 1)], "phash string, confidence double, at int")
@@ -177,8 +179,8 @@ def test_models(spark):
     hits, misses = joins.cache_split(fresh, cache, "phash")
     assert (hits.count(), misses.count()) == (1, 1)
     nodes = spark.createDataFrame([(1, i, "p", f"t{i}") for i in range(5)] + [(2, 0, "p", "bad")], "page_id int, id int, kind string, text string")
-    answers = models.translate_nodes(nodes, "page_id", "de", lambda texts, target: [] if "bad" in texts else [x + target for x in texts], size=2)
-    assert [(r.page_id, r.translations[4]) for r in answers.collect()] == [(1, "t4de")]
+    answers = models.translate_nodes(nodes, "page_id", "de", lambda texts, target: [] if "bad" in texts else [x + target for x in texts], size=2, sleep=lambda _: None)
+    assert {r.page_id: (r.translations.get(4), r.errors) for r in answers.collect()} == {1: ("t4de", []), 2: (None, ["0 answers to 1 texts"])}
     audio = spark.createDataFrame([("v", 0, bytearray(b"ab"))], "video_id string, chunk int, audio binary")
     assert models.transcribe(audio, lambda b: b.decode()).first().text == "ab"
 
@@ -216,3 +218,84 @@ def test_transcript_files(spark, tmp_path):
     rows = {r.video_id: (r["name"], r.markdown.split("\n")[0]) for r in texts.transcript_files(spark, str(tmp_path)).collect()}
     numbers = {7: "07", 42: "42", 99: "99", 100: "100", 123: "123", 1234: "1234"}
     assert rows == {f"v{i}": (f"{n} - T{i}", f"# {n}. T{i}") for i, n in numbers.items()} | {"vx": ("T", "# T")}
+
+
+def test_a_hung_model_is_given_up(spark):
+    """A time-out ends the attempts at once; the halves are asked once each, and the error stays with the rows."""
+    import time as clock
+
+    calls = []
+
+    def hangs(prompt, frames):
+        calls.append(len(frames))
+        clock.sleep(0.3)
+        return [{"confidence": 1.0}] * len(frames)
+
+    got, error = models.ask_batch(hangs, "", [{"frame_index": i} for i in range(4)], timeout=0.05, sleep=lambda _: 1 / 0)
+    assert got is None and "TimedOut" in error and calls == [4, 2]
+
+
+def test_ranking_through_the_cache(spark):
+    """Known hashes aren't asked again; a failed batch is flagged and doesn't enter the cache."""
+    frames = spark.createDataFrame([("v", 0, 0, 0.0, "h0"), ("v", 0, 1, 5.0, "h1"), ("v", 1, 2, 10.0, "h2"), ("v", 1, 3, 15.0, None)], "video_id string, batch long, frame_index int, timestamp_s double, hash string")
+    prompts = spark.createDataFrame([("v", 0, "said")], "video_id string, batch long, prompt string")
+    cache = spark.createDataFrame([("h1", True, "a", "c", 0.9, False, 1)], "hash string, include boolean, alt_text string, caption string, confidence double, degraded boolean, at int")
+
+    def model(prompt, asked):
+        if prompt == "":
+            raise ValueError("down")
+        return [{"include": False, "alt_text": prompt, "caption": "", "confidence": 0.1 * f["frame_index"]} for f in asked]
+
+    got = {r.frame_index: r for r in models.rank_frames(frames, prompts, cache, model, sleep=lambda _: None).collect()}
+    assert got[1].cached and got[1].confidence == 0.9 and not got[0].cached and got[0].alt_text == "said"
+    assert got[2].degraded and got[3].degraded and got[3].include
+    answers = spark.createDataFrame([(r.hash, r.include, r.alt_text, r.caption, r.confidence, r.degraded, 2) for r in got.values() if r.hash], cache.schema)
+    assert {r.hash for r in models.remember(cache, answers, "hash", "at").collect()} == {"h0", "h1"}
+
+
+def test_translating_files(spark):
+    files = spark.createDataFrame([("a.html", "<p>한국어 글</p>"), ("b.md", "한국어 글"), ("c.txt", "text"), ("d.md", None), ("e.html", "<p>bad</p><p>x</p>")], "path string, value string")
+
+    def model(text, target):
+        if text == "bad":
+            raise ValueError("no")
+        return text.upper() + "!", False
+
+    got = {r.path: (r.translated, r.skipped, r.error) for r in models.translate_files(files, "ko", model, sleep=lambda _: None).collect()}
+    assert got["a.html"] == ("<p>한국어 글!</p>", False, None) and got["b.md"] == ("한국어 글", True, None)
+    assert got["c.txt"] == ("TEXT!", False, None) and got["d.md"][0] is None
+    assert got["e.html"][0] == "<p>bad</p><p>x</p>" and "no" in got["e.html"][2]
+
+
+def test_providers():
+    chat = models.Provider("chat", "gpt-5-mini", lambda r: {"choices": [{"message": {"content": f" {r['reasoning_effort']} "}, "finish_reason": "length"}]})
+    assert chat.run("t", "s") == ("high", True)
+    other = models.Provider("generate", "m", lambda r: {"candidates": [{"content": {"parts": [{"text": r["contents"]}, {"text": r["thinking_level"]}]}, "finishReason": "STOP"}]})
+    assert other.translator()("x", "de") == ("xlow", False)
+    assert "reasoning_effort" not in models.Provider("chat", "plain-4", dict).request("t", "s")
+
+
+def test_names_that_meet_others(spark):
+    names = ["a.jpg", "a.jpg", "a_1.jpg", "a.jpg", "b", "b", "a_1.jpg"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(9, None)], "i int, name string")
+    got = {r.i: r.unique_name for r in paths.unique_names(rows, None, "name", ["i"]).collect()}
+    assert got == {0: "a.jpg", 1: "a_1.jpg", 2: "a_1_1.jpg", 3: "a_2.jpg", 4: "b", 5: "b_1", 6: "a_1_2.jpg", 9: None}
+    assert len({v for v in got.values()}) == 8
+
+
+def test_grid_names_within_a_second(spark):
+    videos = spark.createDataFrame([("v", 1.3)], "video_id string, duration_s double")
+    assert [r.path for r in segments.uniform_grid(videos, "video_id", "duration_s", 0.4).orderBy("k").collect()] == ["00_00_00.jpg", "00_00_00_1.jpg", "00_00_00_2.jpg", "00_00_01.jpg"]
+
+
+def test_mirror_states(spark):
+    files = spark.createDataFrame([("a/x.html", "<h1>T</h1>"), ("a/y.png", None), (".git/z.html", "x"), ("a/.z.html", "x"), ("b.HTML", None), (None, "x")], "path string, html string")
+    rows = {r.out_path: r.state for r in html_pages.mirror(files).collect()}
+    assert rows == {"a/x.md": "md", "a/y.png": "copied", "a/.z.html": "skipped", "b.md": "failed"}
+    assert tuple(html_pages.mirror_totals(html_pages.mirror(files)).first()) == (1, 1, 1, 1)
+
+
+def test_running_spend(spark):
+    rows = spark.createDataFrame([("k", i, 100) for i in range(4)], "k string, i int, n int")
+    got = [(round(r.spent, 4), r.over_cap) for r in tables.running_spend(rows, "k", ["i"], F.col("n"), price=0.001, cap=0.3).orderBy("i").collect()]
+    assert got == [(0.13, False), (0.26, False), (0.39, True), (0.52, True)]
