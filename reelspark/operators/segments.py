@@ -25,15 +25,15 @@ def cue_sentences(c: Column | str) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
-def interpolated_cues(chunks: DataFrame, group: list[str], text: str, start_ms: Column, length_ms: Column) -> DataFrame:
+def interpolated_cues(chunks: DataFrame, group: list[str], text: str, start_ms: Column, length_ms: Column, within: list[str] | None = None) -> DataFrame:
     """group, cue_idx, start_ms, end_ms, text: a chunk's sentences share its time by their lengths; no cue is empty.
 
-    The windows run over the sentences of one chunk.
+    The windows run over the sentences of one chunk, which ``within`` names if less than all of ``group`` does.
     """
     one = chunks.select(*group, start_ms.alias("_s0"), length_ms.alias("_dur"), F.posexplode(cue_sentences(text)).alias("cue_idx", "text"))
-    within = Window.partitionBy(*group)
-    upto = F.sum(F.char_length("text")).over(within.orderBy("cue_idx"))
-    total = F.sum(F.char_length("text")).over(within)
+    one_chunk = Window.partitionBy(*(within or group))
+    upto = F.sum(F.char_length("text")).over(one_chunk.orderBy("cue_idx"))
+    total = F.sum(F.char_length("text")).over(one_chunk)
     timed = one.withColumn("_n", F.char_length("text")).withColumn("_upto", upto).withColumn("_total", total)
     at = lambda c: (F.col("_s0") + F.floor(F.col("_dur") * c / F.col("_total"))).cast("long")
     timed = timed.withColumn("start_ms", at(F.col("_upto") - F.col("_n"))).withColumn("end_ms", at(F.col("_upto")))
@@ -41,6 +41,20 @@ def interpolated_cues(chunks: DataFrame, group: list[str], text: str, start_ms:
     return timed.select(*group, "cue_idx", "start_ms", end.alias("end_ms"), "text")
 
 
+def transcript_cues(chunks: DataFrame, key: str, idx: str, text: str, chunk_ms: int) -> DataFrame:
+    """key, idx, cue_idx, start_ms, end_ms, text: the cues of chunks of equal length, none ending behind the start of the next.
+
+    Inside a chunk the next cue is near; over its end only the numbers of chunks are ordered, never their texts.
+    """
+    said = chunks.where(F.col(key).isNotNull() & F.col(idx).isNotNull() & (collapse_ws(text) != "")).select(key, idx, F.col(text).alias("text"))
+    at = F.col(idx).cast("long") * chunk_ms
+    led = ordered(said.select(key, idx, at.alias("_at")), key, [idx], lag={"_next_chunk": "_at"}, descending=True).select(F.col(key).alias("_k"), F.col(idx).alias("_i"), "_next_chunk")
+    both = said.join(led, (F.col(key) == F.col("_k")) & (F.col(idx) == F.col("_i"))).drop("_k", "_i")
+    cues = interpolated_cues(both, [key, idx, "_next_chunk"], "text", at, F.lit(chunk_ms), within=[key, idx])
+    following = F.lead("start_ms").over(Window.partitionBy(key, idx).orderBy("cue_idx"))
+    return cues.withColumn("end_ms", F.least("end_ms", F.coalesce(following, "_next_chunk"))).drop("_next_chunk")
+
+
 def clamp_to_next(cues: DataFrame, key: str, start: str, end: str, order: list[str]) -> DataFrame:
     """No cue ends behind the start of the next one of its key; the last stays as it is."""
     led = ordered(cues, key, order, lag={"_next": start}, descending=True)

@@ -24,9 +24,7 @@ d as (select video_id, p_idx, cue_idx, text, start_ms, case when end_ms <= start
 @query(_SENTENCES + "select video_id, p_idx, cue_idx::int as cue_idx, start_ms::bigint as start_ms, least(end_ms, lead(start_ms) over (partition by video_id order by p_idx, cue_idx))::bigint as end_ms, text from d")
 def transcript_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues of every paragraph, one minute each, none ending behind the start of the next."""
-    chunks = table(spark, sf_dir, "paragraphs").where("text is not null and video_id is not null")
-    cues = segments.interpolated_cues(chunks, ["video_id", "p_idx"], "text", F.col("p_idx").cast("long") * 60000, F.lit(60000))
-    return segments.clamp_to_next(cues, "video_id", "start_ms", "end_ms", ["p_idx", "cue_idx"]).select("video_id", "p_idx", "cue_idx", "start_ms", "end_ms", "text")
+    return segments.transcript_cues(table(spark, sf_dir, "paragraphs"), "video_id", "p_idx", "text", 60_000)
 
 
 @query(rf"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -44,18 +45,42 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs nothing that was written) and, unlike ``checkpoint()``, computes the plan
-    a single time. Use it for results that are read more than once and are small against the input.
+    a single time. Use it for results that are read more than once. ``release`` deletes what was written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; call it when the results built on them have been used."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return done
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _WRITTEN:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            release(spark)
+
+
+atexit.register(_release_at_exit)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, if a scan gives fewer.
 
