@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.text import html_escape, ms_to_ts, safe_name, source_label, ts_display, url_quote
@@ -64,10 +64,31 @@ def srt_lines(cues: DataFrame, key: str = "video_id", order: str = "seq") -> Dat
     return numbered(cues, key, [order], "n").select(key, "n", block.alias("block"))
 
 
-def srt_files(cues: DataFrame, key: str = "video_id", order: str = "seq") -> DataFrame:
-    """key, srt: one SubRip file per key, which is one value of the output."""
-    blocks = srt_lines(cues, key, order).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("b"))
-    return blocks.select(key, F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("srt"))
+def srt_files(cues: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, srt: one SubRip file per key, which is one value of the output; no cue ends behind the start of the next."""
+    cue = F.struct(*order, F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.col("text").alias("_t"))
+    files = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(cue)).alias("c"))
+
+    def block(x: Column, i: Column) -> Column:
+        end = F.least(x["_e"], F.get(F.col("c"), i + 1)["_s"])
+        return F.concat((i + 1).cast("string"), F.lit("\n"), ms_to_ts(x["_s"]), F.lit(" --> "), ms_to_ts(end), F.lit("\n"), x["_t"], F.lit("\n"))
+
+    return files.select(*keys, F.array_join(F.transform("c", block), "\n").alias("srt"))
+
+
+def vtt_files(cues: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, vtt: one WebVTT file per key, which is one value of the output."""
+    point = lambda c: F.replace(ms_to_ts(c), F.lit(","), F.lit("."))
+    block = F.concat(point("start_ms"), F.lit(" --> "), point("end_ms"), F.lit("\n<c>"), F.col("text"), F.lit("</c>"))
+    files = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, block.alias("_b")))).alias("c"))
+    return files.select(*keys, F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("c", lambda x: x["_b"]), "\n\n")).alias("vtt"))
+
+
+def json3_files(cues: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, json: one JSON caption file per key, which is one value of the output."""
+    event = F.struct(F.col("start_ms").alias("tStartMs"), (F.col("end_ms") - F.col("start_ms")).alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8"))).alias("segs"))
+    files = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, event.alias("_e")))).alias("c"))
+    return files.select(*keys, F.to_json(F.struct(F.transform("c", lambda x: x["_e"]).alias("events"))).alias("json"))
 
 
 def _number(idx: Column, behind: str) -> Column:
@@ -88,6 +109,9 @@ def transcript_name(idx: Column, title: Column) -> Column:
 
 def page_numbers(rows: DataFrame, parent: str, order: list[str]) -> DataFrame:
     """``rows`` with ``position`` among siblings and ``number``, padded to two digits or as many as needed."""
-    siblings = Window.partitionBy(parent)
-    n = F.count("*").over(siblings)
-    return rows.withColumn("position", F.row_number().over(siblings.orderBy(*order)).cast("long")).withColumn("number", F.lpad(F.col("position").cast("string"), F.greatest(F.lit(2), F.char_length(n.cast("string"))), F.lit("0")))
+    from reelspark.operators.ordered import numbered
+
+    sizes = rows.groupBy(F.col(parent).alias("_p")).agg(F.count("*").alias("_n"))
+    placed = numbered(rows, parent, order, "position").join(sizes, F.col(parent) == F.col("_p"))
+    digits = F.greatest(F.lit(2), F.char_length(F.col("_n").cast("string")))
+    return placed.withColumn("number", F.lpad(F.col("position").cast("string"), digits, F.lit("0"))).drop("_p", "_n")

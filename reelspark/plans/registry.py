@@ -37,4 +37,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from reelspark.plans import media, pages, texts  # noqa: E402,F401
+from reelspark.plans import books, media, pages, texts  # noqa: E402,F401

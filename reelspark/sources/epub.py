@@ -480,7 +480,7 @@ def book_payloads(books: DataFrame) -> DataFrame:
     seen = image_occurrences(books)
     shown = image_index(seen).where("present").select("path", F.struct("first_seq", "source_image", "width", "height", "occurrences").alias("image"))
     images = shown.groupBy("path").agg(F.to_json(F.array_sort(F.collect_list("image"))).alias("images"))
-    head = packages(books).where("error is null").select("path", F.to_json(F.struct(F.col("title").alias("book"))).alias("book"), "toc_json")
+    head = packages(books).where("error is null").select("path", F.to_json(F.struct(F.col("title").alias("book")), {"ignoreNullFields": "false"}).alias("book"), "toc_json")
     rows = head.join(image_stats(seen), "path", "left").join(images, "path", "left").na.fill(0, ["image_count", "occurrence_count"])
     # The contents nest without a bound, which no Spark type says, so this part is put in as text.
     payload = F.format_string(

@@ -20,14 +20,23 @@ def process_new(spark: SparkSession, source: str, schema, transform: Callable[[D
 def upsert_new(spark: SparkSession, source: str, schema, key: str, order: str, target: str, checkpoint: str) -> StreamingQuery:
     """Upsert new rows by key into versions of a table below ``target``: v=<batch>. A batch that runs again writes the same version.
 
-    Within a batch the latest row of a key counts, by ``order``. A missing earlier version counts as empty.
+    Within a batch the latest row of a key counts, by ``order``. The newest earlier version is read; if there is none, the
+    table is empty so far. A version is the whole table: for small keyed states such as run summaries.
     """
+    jvm = spark._jvm
+
+    def newest_before(number: int) -> int | None:
+        folder = jvm.org.apache.hadoop.fs.Path(target)
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [n for n in range(number - 1, -1, -1) if store.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/v={n}/_SUCCESS"))]
+        return done[0] if done else None
 
     def merge(batch: DataFrame, number: int) -> None:
         value = F.struct(*[c for c in batch.columns if c != key])
         latest = batch.groupBy(key).agg(F.max_by(value, order).alias("_v")).select(key, "_v.*")
-        if number > 0:
-            latest = upsert(batch.sparkSession.read.schema(schema).parquet(f"{target}/v={number - 1}"), latest, key)
+        before = newest_before(number)
+        if before is not None:
+            latest = upsert(batch.sparkSession.read.schema(schema).parquet(f"{target}/v={before}"), latest, key)
         latest.write.mode("overwrite").parquet(f"{target}/v={number}")
 
     rows = spark.readStream.schema(schema).parquet(source)
