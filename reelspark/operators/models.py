@@ -28,7 +28,7 @@ REASONING = re.compile(r"^(gpt-5|o[1-4])", re.IGNORECASE)
 
 ATTEMPTS = 5
 TIMEOUT_S = 60.0
-RANKED = "video_id string, batch long, frame_index int, include boolean, alt_text string, caption string, confidence double, degraded boolean, error string"
+RANKED = "video_id {key}, batch long, frame_index int, include boolean, alt_text string, caption string, confidence double, degraded boolean, error string"
 
 
 class Transcriber(Protocol):
@@ -258,7 +258,7 @@ def rank_batches(batches: DataFrame, model: Ranker, timeout: float | None = TIME
                     out.append((video, batch, f["frame_index"], bool(a.get("include", True)), a.get("alt_text", ""), a.get("caption", ""), float(a.get("confidence", 0.0)), got is None, error))
             yield pd.DataFrame(out, columns=["video_id", "batch", "frame_index", "include", "alt_text", "caption", "confidence", "degraded", "error"])
 
-    return batches.select("video_id", "batch", "prompt", "frames").mapInPandas(run, RANKED)
+    return batches.select("video_id", "batch", "prompt", "frames").mapInPandas(run, RANKED.format(key=batches.schema["video_id"].dataType.simpleString()))
 
 
 ANSWER = ("include", "alt_text", "caption", "confidence", "degraded")

@@ -13,7 +13,7 @@ def figure_html(path: Column, seconds: Column, alt: Column, caption: Column, vid
     link = html_escape(F.concat(F.lit("https://www.youtube.com/watch?v="), video, F.lit("&t="), whole.cast("string")))
     return F.concat(
         F.lit('<figure data-timestamp="'), ts_display(seconds, always_hours=True), F.lit('"><a class="image-wrap" href="'), link,
-        F.lit('" target="_blank" rel="noopener"><img src="'), html_escape(url_quote(path)), F.lit('" alt="'), html_escape(F.coalesce(alt, F.lit(""))),
+        F.lit('" target="_blank" rel="noopener"><img src="'), html_escape(url_quote(F.coalesce(path, F.lit("")))), F.lit('" alt="'), html_escape(F.coalesce(alt, F.lit(""))),
         F.lit('" loading="lazy"></a><figcaption><span class="caption-text">'), html_escape(F.coalesce(caption, F.lit(""))),
         F.lit('</span><a class="ts-chip" href="'), link, F.lit('" target="_blank" rel="noopener">'), ts_display(seconds), F.lit("</a></figcaption></figure>"),
     )

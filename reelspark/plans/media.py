@@ -206,33 +206,38 @@ def _numbered_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 _N = f"{_C}, t as (select video_id, cue_id, start_ms, end_ms, {squeezed("regexp_replace(text, '[<>]', '', 'g')")} as text from c), q as (select * from t where text <> '' and start_ms >= 0 and end_ms >= start_ms)"
 
 
+#: A caption file holds an hour of a video, so that a stream of any length comes in many.
+_HOUR = ["video_id", "hour"]
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered_cues(spark, sf_dir).withColumn("hour", F.expr("start_ms div 3600000"))
+
+
+def _read_back(files: DataFrame, value: str, parse) -> DataFrame:
+    named = files.select(F.concat_ws("/", "video_id", F.col("hour").cast("string")).alias("path"), F.col(value).alias("value"))
+    return parse(named).select(F.regexp_extract("path", "^(.*)/", 1).alias("video_id"), "start_ms", "end_ms", "text")
+
+
 @query(f"with {_N} select video_id, start_ms, end_ms, text from q")
 def captions_json3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues written as JSON captions and read back."""
-    event = F.struct(F.col("start_ms").alias("tStartMs"), (F.col("end_ms") - F.col("start_ms")).alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8"))).alias("segs"))
-    noise = F.array(F.struct(F.lit(0).cast("long").alias("tStartMs"), F.lit(5).cast("long").alias("dDurationMs"), F.array(F.struct(F.lit(" \n").alias("utf8"))).alias("segs")))
-    files = _numbered_cues(spark, sf_dir).select("video_id", F.to_json(F.struct(F.array_append(noise, event).alias("events"))).alias("value"))
-    return captions.json3_cues(files, "video_id").drop("seq")
+    """Cues written as JSON captions and read back, between blank events that don't count."""
+    cues = _hourly(spark, sf_dir)
+    blank = cues.select("video_id", "hour", (F.col("cue_id") + F.lit(1 << 40)).alias("cue_id"), "start_ms", "end_ms", F.lit(" \n").alias("text"))
+    files = render.json3_files(cues.select(*blank.columns).unionByName(blank), _HOUR, ["start_ms", "cue_id"])
+    return _read_back(files, "json", captions.json3_cues)
 
 
-@query(f"with {_N}, l as (select *, lag(text) over (partition by video_id order by start_ms, cue_id) as before from q) select video_id, start_ms, end_ms, text from l where before is distinct from text")
+@query(f"with {_N}, l as (select *, lag(text) over (partition by video_id, start_ms // 3600000 order by start_ms, cue_id) as before from q) select video_id, start_ms, end_ms, text from l where before is distinct from text")
 def captions_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues written as WebVTT and read back: repeated texts go. A file is one value."""
-    point = lambda c: F.replace(tx.ms_to_ts(c), F.lit(","), F.lit("."))
-    block = F.concat(point("start_ms"), F.lit(" --> "), point("end_ms"), F.lit("\n<c>"), F.col("text"), F.lit("</c>"))
-    files = _numbered_cues(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "cue_id", block.alias("b")))).alias("x"))
-    texts = files.select("video_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("x", lambda r: r["b"]), "\n\n")).alias("value"))
-    return captions.vtt_cues(texts, "video_id").drop("seq")
+    """Cues written as WebVTT and read back: repeated texts go."""
+    return _read_back(render.vtt_files(_hourly(spark, sf_dir), _HOUR, ["start_ms", "cue_id"]), "vtt", captions.vtt_cues)
 
 
-@query(f"with {_N} select video_id, start_ms, least(end_ms, lead(start_ms) over (partition by video_id order by start_ms, cue_id))::bigint as end_ms, text from q")
+@query(f"with {_N} select video_id, start_ms, least(end_ms, lead(start_ms) over (partition by video_id, start_ms // 3600000 order by start_ms, cue_id))::bigint as end_ms, text from q")
 def captions_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues clamped to the next one, written as SubRip and read back."""
-    clamped = segments.clamp_to_next(_numbered_cues(spark, sf_dir), "video_id", "start_ms", "end_ms", ["start_ms", "cue_id"])
-    from reelspark.operators.ordered import numbered
-
-    files = render.srt_files(numbered(clamped, "video_id", ["start_ms", "cue_id"], "seq"))
-    return captions.srt_cues(files, "video_id", "srt").drop("seq")
+    return _read_back(render.srt_files(_hourly(spark, sf_dir), _HOUR, ["start_ms", "cue_id"]), "srt", captions.srt_cues)
 
 
 @query("""
@@ -245,31 +250,180 @@ def caption_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.pick_captions(files.select("video_id", F.concat("video_id", "x").alias("name")))
 
 
-@query()
+_WORDS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9가-힣]+'))"
+_ALIGN = f"""
+ac as (
+  select video_id, row_number() over (partition by video_id order by seq, start_s) as i, start_s, end_s, words
+  from (select distinct video_id, seq, start_s, end_s, text, {_WORDS} as words from cues where start_s is not null and end_s is not null and video_id is not null and seq is not null) where len(words) > 0),
+ap as (
+  select video_id, p_idx, row_number() over (partition by video_id order by p_idx) as j, words
+  from (select video_id, p_idx, {_WORDS} as words from paragraphs where video_id is not null and p_idx is not null) where len(words) > 0),
+ar as (
+  select distinct video_id, 1::bigint as i, 1::bigint as j, null::double as s, null::double as e, null::bigint as out_p, null::double as out_s, null::double as out_e from ap
+  union all
+  select video_id, case when near or s is null then i + 1 else i end, case when near then j else j + 1 end, case when near then coalesce(s, c_s) end, case when near then c_e end,
+    case when not near then p_idx end, case when not near then coalesce(s, c_s) end, case when not near then case when s is null then c_e else e end end
+  from (
+    select ar.*, ap.p_idx, ac.start_s as c_s, ac.end_s as c_e, len(list_intersect(ac.words, ap.words))::double / len(ac.words) >= 0.4::double as near
+    from ar join ac on ac.video_id = ar.video_id and ac.i = ar.i join ap on ap.video_id = ar.video_id and ap.j = ar.j)),
+al as (
+  select video_id, out_p as p_idx, out_s as start_s, out_e as end_s from ar where out_p is not null
+  union all
+  select ar.video_id, ap.p_idx, ar.s, ar.e from ar join ap on ap.video_id = ar.video_id and ap.j = ar.j left join ac on ac.video_id = ar.video_id and ac.i = ar.i where ar.s is not null and ac.i is null)
+"""
+
+
+@query(f"with recursive {_ALIGN} select video_id, p_idx, start_s, end_s from al")
 def paragraph_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stretch of cues each paragraph was said in."""
     return joins.align_paragraphs(distinct_rows(spark, sf_dir, "cues", "video_id", "seq", "start_s", "end_s", "text"), table(spark, sf_dir, "paragraphs"))
 
 
-@query()
+def _esc(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+_CLOCK = "lpad((sec // 60 % 60)::varchar, 2, '0') || ':' || lpad((sec % 60)::varchar, 2, '0')"
+_LINK = _esc("'https://www.youtube.com/watch?v=' || video_id || '&t=' || sec")
+_BODY = f"""
+{_F}, p as (select video_id, p_idx, text, start_s, round(start_s * 1000)::bigint as s, round(end_s * 1000)::bigint as e from paragraphs),
+j as (select f.video_id, f.frame_id, coalesce(min(p_idx), -1) as p_idx from f left join p on f.video_id = p.video_id and round(timestamp_s * 1000)::bigint >= s and round(timestamp_s * 1000)::bigint < e group by all),
+fig as (
+  select video_id, p_idx, timestamp_s, frame_id, '<figure data-timestamp="' || lpad((sec // 3600)::varchar, 2, '0') || ':' || {_CLOCK} || '"><a class="image-wrap" href="' || {_LINK} || '" target="_blank" rel="noopener"><img src="'
+    || {_esc("replace(replace(url_encode(coalesce(path, '')), '%2F', '/'), '%7E', '~')")} || '" alt="' || {_esc("coalesce(alt_text, '')")} || '" loading="lazy"></a><figcaption><span class="caption-text">' || {_esc("coalesce(caption, '')")}
+    || '</span><a class="ts-chip" href="' || {_LINK} || '" target="_blank" rel="noopener">'
+    || case when sec >= 3600 then (sec // 3600)::varchar || ':' || {_CLOCK} else (sec // 60)::varchar || ':' || lpad((sec % 60)::varchar, 2, '0') end || '</a></figcaption></figure>' as figure
+  from (select f.*, j.p_idx, floor(timestamp_s)::bigint as sec from f join j using (video_id, frame_id) where include_flag and timestamp_s is not null)),
+figs as (
+  select video_id, p_idx, case when count(*) > 1 then '<div class="figure-row" data-count="' || least(count(*), 3) || '">' || string_agg(figure, '' order by timestamp_s, frame_id) || '</div>' else string_agg(figure, '') end as figures
+  from fig group by 1, 2),
+parts as (
+  select coalesce(t.video_id, figs.video_id) as video_id, coalesce(t.p_idx, figs.p_idx) as p_idx, t.video_id is null as tail, figures,
+    '<p' || case when t.at is not null then ' data-srt-start="' || floor(t.at)::bigint || '"' else '' end || '>' || {_esc("coalesce(t.text, '')")} || '</p>' as p
+  from (TEXTS) t full join figs on t.video_id = figs.video_id and t.p_idx = figs.p_idx),
+body as (
+  select video_id, string_agg(case when tail then '<section class="tail-section"><h2>Additional frames</h2>' || figures || '</section>' else p || coalesce(chr(10) || '    ' || figures, '') end, chr(10) || '    ' order by tail, p_idx) as body
+  from parts where video_id is not null group by 1)
+"""
+
+
+def _included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark, sf_dir).where("include_flag").join(_placed(spark, sf_dir), ["video_id", "frame_id"])
+    return frames.select("video_id", "frame_id", "p_idx", "timestamp_s", "path", "alt_text", "caption")
+
+
+@query("with " + _BODY.replace("TEXTS", "select video_id, p_idx, text, start_s as at from p") + "select video_id, body from body")
 def blog_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts: paragraphs with the frames that fall into them."""
-    frames = _frames(spark, sf_dir).where("include_flag").join(_placed(spark, sf_dir), ["video_id", "frame_id"])
-    return render.post_bodies(table(spark, sf_dir, "paragraphs"), frames.select("video_id", "frame_id", "p_idx", "timestamp_s", "path", "alt_text", "caption"))
+    return render.post_bodies(table(spark, sf_dir, "paragraphs").where("video_id is not null"), _included(spark, sf_dir))
+
+
+_LABEL = r"regexp_replace(regexp_replace(url, '^https?://', ''), '^www\.', '')"
+
+
+@query(
+    f"with recursive {_ALIGN}, "
+    + _BODY.replace("TEXTS", "select p.video_id, p.p_idx, p.text, al.start_s as at from p left join al on al.video_id = p.video_id and al.p_idx = p.p_idx")
+    + f"""
+select video_id, '<!doctype html>' || chr(10) || '<html lang="en"><head><meta charset="utf-8"><title>' || {_esc("coalesce(title, 'Untitled')")} || '</title></head><body><article><header class="post-hero"><h1 class="post-title">'
+  || {_esc("coalesce(title, 'Untitled')")} || '</h1><div class="post-meta"><a class="source-pill" href="' || {_esc("url")} || '">' || {_esc(f"case when length({_LABEL}) > 48 then left({_LABEL}, 45) || '…' else {_LABEL} end")}
+  || '</a></div></header><div class="post-body">' || body || '</div></article></body></html>' || chr(10) as html
+from body join videos using (video_id)"""
+)
+def blog_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages: paragraphs start where they were said, by the alignment to the cues, with the frames that fall into them."""
+    said = paragraph_alignment(spark, sf_dir).select(F.col("video_id").alias("_v"), F.col("p_idx").alias("_p"), "start_s")
+    paragraphs = table(spark, sf_dir, "paragraphs").where("video_id is not null").select("video_id", "p_idx", "text")
+    started = paragraphs.join(said, (F.col("video_id") == F.col("_v")) & (F.col("p_idx") == F.col("_p")), "left").drop("_v", "_p")
+    bodies = render.post_bodies(started, _included(spark, sf_dir)).join(table(spark, sf_dir, "videos").select("video_id", "title", "url"), "video_id")
+    return bodies.select("video_id", render.page(F.coalesce("title", F.lit("Untitled")), F.col("url"), F.lit("en"), F.col("body")).alias("html"))
 
 
 def stub_ranker(prompt: str, frames: list[dict]) -> list[dict]:
-    """A stand-in for a vision model: judges a frame by its number and the length of the prompt."""
+    """A stand-in for a vision model: judges a frame by its number, and fails where nothing is said around the batch."""
+    if not prompt:
+        raise ValueError("nothing is said here")
     return [{"include": f["frame_index"] % 3 != 0, "alt_text": f"frame {f['frame_index']}", "caption": prompt[:20], "confidence": (f["frame_index"] % 10) / 10} for f in frames]
 
 
-@query()
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of answers, by hash: what first attempts have seen."""
+    first = table(spark, sf_dir, "runs").where("attempt = 1").select("run_id")
+    seen = _frames(spark, sf_dir).where("phash is not null").join(first, "run_id", "left_semi").select("phash").distinct()
+    bits = F.bit_count("phash")
+    return seen.select(F.col("phash").alias("hash"), (bits % 2 == 0).alias("include"), F.lit("known").alias("alt_text"), F.lit("from the cache").alias("caption"), (bits / 64.0).alias("confidence"), F.lit(False).alias("degraded"))
+
+
+@query(f"""
+with {_F}, {_B}, {_C},
+w as (select video_id, run_id, batch, min(round(timestamp_s * 1000)::bigint) as w0, max(round(timestamp_s * 1000)::bigint) as w1 from b group by all),
+wt as (select run_id, batch, string_agg(text, ' ' order by start_ms, cue_id) as said from w join c on w.video_id = c.video_id and end_ms >= w0 and start_ms <= w1 and start_ms <= end_ms where text is not null group by all),
+known as (select distinct phash from f join runs using (run_id) where attempt = 1 and phash is not null),
+x as (
+  select b.run_id, b.batch, frame_id::int as frame_index, timestamp_s, phash, coalesce(phash in (select phash from known), false) as cached, coalesce(said, '') as said
+  from b join runs using (run_id) left join wt on wt.run_id = b.run_id and wt.batch = b.batch where attempt > 1),
+a as (
+  select run_id, frame_index, timestamp_s, cached, not cached and said = '' as degraded,
+    case when cached then bit_count(phash) % 2 = 0 when said = '' then true else frame_index % 3 <> 0 end as include,
+    case when cached then 'from the cache' when said = '' then '' else left(said, 20) end as caption,
+    case when cached then bit_count(phash) / 64.0::double when said = '' then 0.0::double else (frame_index % 10) / 10.0::double end as confidence
+  from x),
+n as (
+  select *, bool_or(degraded) over (partition by run_id) as failed, row_number() over (partition by run_id order by timestamp_s, frame_index) - 1 as i, count(*) over (partition by run_id) as cnt,
+    row_number() over (partition by run_id, include order by confidence desc, timestamp_s, frame_index) as best
+  from a)
+select run_id, frame_index, timestamp_s, confidence, caption, degraded, cached from n
+where (not failed and include and best <= 10) or (failed and (cnt <= 10 or list_contains(list_transform(range(10), lambda j: floor(j * (cnt / 10.0::double))::bigint), i)))""")
 def rank_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames in batches, each with what is said around it, judged by a stand-in model; the ten best per run."""
-    batched = _batched(spark, sf_dir)
-    items = batched.groupBy("run_id", "batch").agg(F.array_sort(F.collect_list(F.struct("timestamp_s", F.col("frame_id").cast("int").alias("frame_index")))).alias("frames"))
-    texts = _window_texts(spark, sf_dir).select("run_id", "batch", "window_text")
+    """Frames of later attempts in batches, those the cache doesn't know judged by a stand-in model from what is said around them; the ten best per run."""
+    later = table(spark, sf_dir, "runs").where("attempt > 1").select("run_id")
+    batched = _batched(spark, sf_dir).join(later, "run_id", "left_semi")
+    frames = batched.select(F.col("run_id").alias("video_id"), "batch", F.col("frame_id").cast("int").alias("frame_index"), "timestamp_s", F.col("phash").alias("hash"))
     prompt = tx.render_prompt(F.lit("{transcript_window}"), F.lit(""), F.lit(""), F.col("window_text"))
-    asked = items.join(texts, ["run_id", "batch"], "left").select(F.col("run_id").cast("string").alias("video_id"), "batch", prompt.alias("prompt"), F.transform("frames", lambda f: F.struct(f["frame_index"].alias("frame_index"))).alias("frames"))
-    ranked = models.rank_batches(asked, stub_ranker).withColumn("timestamp_s", F.col("frame_index").cast("double"))
-    return models.choose_frames(ranked, 10).select(F.col("video_id").alias("run"), "frame_index", "confidence", "degraded")
+    prompts = _window_texts(spark, sf_dir).select(F.col("run_id").alias("video_id"), "batch", prompt.alias("prompt"))
+    ranked = models.rank_frames(frames, prompts, _answers(spark, sf_dir), stub_ranker, timeout=None, sleep=lambda _: None)
+    return models.choose_frames(ranked, 10).select(F.col("video_id").alias("run_id"), "frame_index", "timestamp_s", "confidence", "caption", "degraded", "cached")
+
+
+@query(f"""
+with {_F}, old as (select phash, max(frame_id) as last_frame from f join runs using (run_id) where attempt = 1 and phash is not null group by 1),
+new as (select phash, frame_id as last_frame, confidence from f join runs using (run_id) where attempt > 1 and phash is not null and not coalesce(degraded, false) and not isnan(coalesce(confidence, 0))),
+both_ as (select phash, last_frame, null::double as confidence from old union all select * from new)
+select phash, arg_max(coalesce(confidence, -1), last_frame) as confidence, max(last_frame) as last_frame from both_ group by 1""")
+def ranker_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of first attempts with the answers of later ones: the latest of each hash, no degraded ones."""
+    runs = table(spark, sf_dir, "runs").select("run_id", "attempt")
+    frames = _frames(spark, sf_dir).where("phash is not null").join(runs, "run_id")
+    old = frames.where("attempt = 1").groupBy("phash").agg(F.max("frame_id").alias("last_frame")).withColumn("confidence", F.lit(-1.0))
+    new = frames.where("attempt > 1 and not isnan(coalesce(confidence, 0))").select("phash", F.col("frame_id").alias("last_frame"), F.coalesce("confidence", F.lit(-1.0)).alias("confidence"), "degraded")
+    return models.remember(old, new, "phash", "last_frame").select("phash", "confidence", "last_frame")
+
+
+@query(
+    _KEPT.format(f=_F).replace("select run_id, frame_id from k where keep", "")
+    + """, u as (select f.* from f join k using (run_id, frame_id) where k.keep),
+t as (select run_id, row_number() over (partition by run_id order by confidence desc, timestamp_s asc nulls last, frame_id) as r from u where include_flag and not isnan(confidence))
+select run_id, candidates, coalesce(kept, 0) as kept, coalesce(chosen, 0) as chosen
+from (select run_id, count(*) as candidates from f where run_id is not null group by 1) left join (select run_id, count(*) as kept from u group by 1) using (run_id) left join (select run_id, count(*) as chosen from t where r <= 25 group by 1) using (run_id)"""
+)
+def frame_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many frames of a run are left after each stage: sampled, without near-duplicates, chosen."""
+    frames = _frames(spark, sf_dir).where("run_id is not null")
+    unique = frames.join(greedy_hash_dedup(spark, sf_dir), ["run_id", "frame_id"], "left_semi")
+    fit = unique.where("include_flag and confidence is not null and not isnan(confidence)")
+    best = Window.partitionBy("run_id").orderBy(F.col("confidence").desc(), F.col("timestamp_s").asc_nulls_last(), "frame_id")
+    chosen = fit.withColumn("_r", F.row_number().over(best)).where("_r <= 25").groupBy("run_id").agg(F.count("*").alias("chosen"))
+    counted = frames.groupBy("run_id").agg(F.count("*").alias("candidates")).join(unique.groupBy("run_id").agg(F.count("*").alias("kept")), "run_id", "left").join(chosen, "run_id", "left")
+    return counted.na.fill(0, ["kept", "chosen"])
+
+
+_PRICE = 0.00036
+
+
+@query(f"""
+select run_id, spent, spent > 0.5::double as over_cap
+from (select run_id, (sum(coalesce(candidates, 0)) over (partition by status order by started_at, run_id))::bigint * {_PRICE * 1.3!r}::double as spent from runs where status is not null)""")
+def running_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ranked images have cost up to each run, and whether that is more than half a dollar."""
+    runs = table(spark, sf_dir, "runs").select("run_id", "status", "started_at", "candidates")
+    return tables.running_spend(runs, "status", ["started_at", "run_id"], F.col("candidates"), price=_PRICE, cap=0.5).select("run_id", "spent", "over_cap")
