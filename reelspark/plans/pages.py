@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import text as tx
 from reelspark.operators import html_pages, models, paths, render, tables
-from reelspark.plans.registry import query, table
+from reelspark.operators.ordered import numbered
+from reelspark.plans.registry import SQL, query, table
 
 
 @query(r"select page_id, regexp_replace(html, '<[^>]+>', '', 'g') as bare from blog_pages")
@@ -29,23 +30,37 @@ def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with every text node replaced by a stand-in's translation."""
     pages = table(spark, sf_dir, "blog_pages").select("page_id", "html")
-    done = models.translate_nodes(html_pages.text_nodes(pages, "page_id"), "page_id", "xx", lambda texts, target: [t.upper() for t in texts])
+    done = models.translate_nodes(html_pages.text_nodes(pages, "page_id"), "page_id", "xx", lambda texts, target: [t.upper() for t in texts], sleep=lambda _: None)
     return pages.join(done, "page_id", "left").select("page_id", html_pages.write_back("html", "translations").alias("html"))
 
 
-@query(r"""
-with m as (select page_id, unnest(regexp_extract_all(html, '<figure[^>]*data-timestamp="(\d+:\d\d:\d\d)"[^>]*><a[^>]*><img src="([^"]*)"', 1)) as ts, generate_subscripts(regexp_extract_all(html, '<figure[^>]*data-timestamp="(\d+:\d\d:\d\d)"[^>]*><a[^>]*><img src="([^"]*)"', 1), 1) as i from blog_pages)
-select page_id, count(*) as figures, (sum(split_part(ts, ':', 1)::int * 3600 + split_part(ts, ':', 2)::int * 60 + split_part(ts, ':', 3)::int))::bigint as seconds from m group by 1""")
+_FIGURE = r'<figure[^>]*data-timestamp="(\d+:\d\d:\d\d)"[^>]*><a[^>]*><img src="([^"]*)"'
+_FIGURES = f"""
+fr as (
+  select page_id, nullif(regexp_extract(html, '[?&]v=([A-Za-z0-9_-]{{11}})', 1), '') as video_id, unnest(regexp_extract_all(html, '{_FIGURE}', 1)) as ts, unnest(regexp_extract_all(html, '{_FIGURE}', 2)) as src from blog_pages),
+fg as (select page_id, video_id, (split_part(ts, ':', 1)::int * 3600 + split_part(ts, ':', 2)::int * 60 + split_part(ts, ':', 3)::int)::int as timestamp_s, url_decode(replace(src, '&amp;', '&')) as path from fr)
+"""
+
+
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_pages.page_figures(table(spark, sf_dir, "blog_pages"), "page_id")
+
+
+@query(f"with {_FIGURES} select page_id, count(*) as figures, sum(timestamp_s)::bigint as seconds from fg group by 1")
 def page_figure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    figures = html_pages.page_figures(table(spark, sf_dir, "blog_pages"), "page_id")
-    return figures.groupBy("page_id").agg(F.count("*").alias("figures"), F.sum("timestamp_s").alias("seconds"))
+    return _figures(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("figures"), F.sum("timestamp_s").alias("seconds"))
 
 
-@query()
+@query(f"""
+with {_FIGURES}
+select path, page_id, timestamp_s, dense_rank() over (order by first_page, path) as image_no, n as occurrences
+from fg join (select path, min(page_id) as first_page, count(*) as n from fg group by 1) using (path)""")
 def image_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every image with all its occurrences, first seen first."""
-    figures = html_pages.page_figures(table(spark, sf_dir, "blog_pages"), "page_id")
-    return figures.groupBy("path").agg(F.min("page_id").alias("first_page"), F.array_sort(F.collect_list(F.struct("page_id", "timestamp_s"))).alias("occurrences"))
+    """Every occurrence of every image, with how often it occurs; images are numbered as they are first seen."""
+    seen = _figures(spark, sf_dir).select("path", "page_id", "timestamp_s")
+    images = seen.groupBy("path").agg(F.min("page_id").alias("first_page"), F.count("*").alias("occurrences")).withColumn("_k", F.lit(0))
+    numbers = numbered(images, "_k", ["first_page", "path"], "image_no").select(F.col("path").alias("_p"), "image_no", "occurrences")
+    return seen.join(numbers, F.col("path") == F.col("_p")).drop("_p")
 
 
 _TREE = r"""
@@ -96,9 +111,58 @@ def pending_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pending(pages, done, "page_id").select("page_id")
 
 
-@query()
+_DIGIT = r"regexp_extract(path, '(\d)\.[A-Za-z]+$', 1)"
+
+
+@query(f"""
+with {_FIGURES},
+w as (select *, case when {_DIGIT} in ('0', '1') then null when {_DIGIT} in ('2', '3', '4') then 1280 else 1920 end as width from fg),
+g as (select video_id, list_reduce([0::bigint] || list(timestamp_s::bigint), lambda x, y: gcd(x, y)) as g from fg where video_id is not null group by 1),
+u as (select w.*, case when g > 0 then g else 5 end as interval_s from w join g using (video_id) where width is null or width < 1920)
+select u.path, u.video_id, timestamp_s, interval_s, timestamp_s // interval_s as grid_index, case when timestamp_s <= coalesce(case when isnan(duration_s) then null else duration_s end, -1) then 'upgrade' else 'failed' end as state
+from u left join videos using (video_id)""")
 def figure_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which figures to take again if all images are 1,280 wide, and from which place of the grid."""
-    figures = html_pages.page_figures(table(spark, sf_dir, "blog_pages"), "page_id")
-    widths = figures.select("path").distinct().withColumn("width", F.lit(1280))
+    """Which figures to take again, by widths that go with their names, and from which place of the grid."""
+    figures = _figures(spark, sf_dir)
+    digit = F.regexp_extract("path", r"(\d)\.[A-Za-z]+$", 1)
+    widths = figures.select("path").distinct().withColumn("width", F.when(digit.isin("0", "1"), F.lit(None)).when(digit.isin("2", "3", "4"), F.lit(1280)).otherwise(F.lit(1920)))
     return tables.upgrade_plan(figures, widths, table(spark, sf_dir, "videos").where("not isnan(duration_s)"))
+
+
+@query("select state, count(*) as n from (" + SQL["figure_upgrades"] + ") group by 1")
+def upgrade_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.status_counts(figure_upgrades(spark, sf_dir), "state")
+
+
+_SHOWN = r"not regexp_matches(path, '(^|/)\.[^/]*/') and not regexp_matches(path, '(^|/)(__pycache__|_run_summary\.json|index\.html)/')"
+_HIDDEN = r"regexp_matches(path, '(^|/)(\.[^/]*|__pycache__|_run_summary\.json|index\.html)$')"
+
+
+@query(f"""
+select count_if(not {_HIDDEN} and path ilike '%.html' and html is not null) as md, count_if(not {_HIDDEN} and not path ilike '%.html') as copied, count_if({_HIDDEN}) as skipped,
+  count_if(not {_HIDDEN} and path ilike '%.html' and html is null) as failed
+from (select path, html from blog_pages where path is not null and {_SHOWN}
+  union all select regexp_replace(path, '\\.html$', '.jpg'), null from blog_pages where path is not null and {_SHOWN} and page_id % 3 = 0
+  union all select regexp_replace(path, '[^/]*$', 'index.html'), html from blog_pages where path is not null and {_SHOWN} and page_id % 5 = 0
+  union all select path, null from blog_pages where path is not null and {_SHOWN} and page_id % 7 = 0)""")
+def mirror_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files of a mirror are pages, copies, hidden or broken; beside the pages stand images, listings and empty pages."""
+    pages = table(spark, sf_dir, "blog_pages").select("page_id", "path", "html")
+    none = F.lit(None).cast("string").alias("html")
+    files = (
+        pages.select("path", "html")
+        .unionByName(pages.where("page_id % 3 = 0").select(F.regexp_replace("path", r"\.html$", ".jpg").alias("path"), none))
+        .unionByName(pages.where("page_id % 5 = 0").select(F.regexp_replace("path", "[^/]+$", "index.html").alias("path"), "html"))
+        .unionByName(pages.where("page_id % 7 = 0").select("path", none))
+    )
+    return html_pages.mirror_totals(html_pages.mirror(files))
+
+
+@query(_TREE + """
+, s as (select path, regexp_replace(path, '/?[^/]*$', '') as parent, regexp_extract(path, '[^/]*$') as name, type from n)
+select path, type, row_number() over (partition by parent order by case when type = 'dir' then 0 else 1 end, lower(name), name) as position from s""")
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every folder and file in its place among its siblings: folders first, then by name."""
+    nodes = paths.tree_nodes(table(spark, sf_dir, "blog_pages"))
+    keyed = nodes.withColumns({f"_o{i}": c for i, c in enumerate(paths.tree_order())})
+    return numbered(keyed, "parent", ["_o0", "_o1", "_o2"], "position").select("path", "type", "position")

@@ -113,7 +113,7 @@ def pick_captions(files: DataFrame, video: str = "video_id", name: str = "name",
 def playlist_entries(lines: DataFrame, value: str = "value", order: str = "line_no") -> DataFrame:
     """idx (from 1), video_id, title of tab-separated listing lines; lines without a tab don't count."""
     parts = F.split(value, "\t", 2)
-    rows = lines.where(F.col(value).contains("\t")).select(F.col(order).alias("_o"), parts[0].alias("video_id"), parts[1].alias("title"))
+    rows = lines.where(F.col(value).contains("\t")).select(F.col(order).alias("_o"), parts[0].alias("video_id"), F.get(parts, F.lit(1)).alias("title"))
     from reelspark.operators.ordered import numbered
 
     one = rows.withColumn("_k", F.lit(0))
