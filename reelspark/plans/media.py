@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import text as tx
-from reelspark.operators import dedup, joins, models, render, segments, tables
-from reelspark.plans.registry import distinct_rows, query, squeezed, table
+from reelspark.operators import dedup, html_pages, joins, models, render, segments, tables
+from reelspark.plans.registry import RE2_SPACE, SQL, distinct_rows, query, squeezed, table
 from reelspark.sources import captions
 
 
@@ -292,7 +292,7 @@ fig as (
   select video_id, p_idx, timestamp_s, frame_id, '<figure data-timestamp="' || lpad((sec // 3600)::varchar, 2, '0') || ':' || {_CLOCK} || '"><a class="image-wrap" href="' || {_LINK} || '" target="_blank" rel="noopener"><img src="'
     || {_esc("replace(replace(url_encode(coalesce(path, '')), '%2F', '/'), '%7E', '~')")} || '" alt="' || {_esc("coalesce(alt_text, '')")} || '" loading="lazy"></a><figcaption><span class="caption-text">' || {_esc("coalesce(caption, '')")}
     || '</span><a class="ts-chip" href="' || {_LINK} || '" target="_blank" rel="noopener">'
-    || case when sec >= 3600 then (sec // 3600)::varchar || ':' || {_CLOCK} else (sec // 60)::varchar || ':' || lpad((sec % 60)::varchar, 2, '0') end || '</a></figcaption></figure>' as figure
+    || case when sec >= 3600 then (sec // 3600)::varchar || ':' || {_CLOCK} else (sec // 60)::varchar || ':' || lpad((sec % 60)::varchar, 2, '0') end || '</a></figcaption></figure>' as figure, alt_text, caption, path, sec
   from (select f.*, j.p_idx, floor(timestamp_s)::bigint as sec from f join j using (video_id, frame_id) where include_flag and timestamp_s is not null)),
 figs as (
   select video_id, p_idx, case when count(*) > 1 then '<div class="figure-row" data-count="' || least(count(*), 3) || '">' || string_agg(figure, '' order by timestamp_s, frame_id) || '</div>' else string_agg(figure, '') end as figures
@@ -427,3 +427,62 @@ def running_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the ranked images have cost up to each run, and whether that is more than half a dollar."""
     runs = table(spark, sf_dir, "runs").select("run_id", "status", "started_at", "candidates")
     return tables.running_spend(runs, "status", ["started_at", "run_id"], F.col("candidates"), price=_PRICE, cap=0.5).select("run_id", "spent", "over_cap")
+
+
+_STRIPPED = f"regexp_replace(raw, '^{RE2_SPACE}+|{RE2_SPACE}+$', '', 'g')"
+_NUMERIC = f"regexp_matches(said, '^(?:{RE2_SPACE}|[\\p{{Nd}}:./\\-,▶•])+$')"
+_POSTS = "with recursive " + _ALIGN + ", " + _BODY.replace("TEXTS", "select p.video_id, p.p_idx, p.text, al.start_s as at from p left join al on al.video_id = p.video_id and al.p_idx = p.p_idx")
+
+
+@query(
+    _POSTS
+    + f""",
+told as (select video_id, coalesce(title, 'Untitled') as title, {_LABEL} as label from body join videos using (video_id)),
+said as (
+  select video_id, 0 as part, false as tail, 0 as p_idx, 0 as sub, null::double as moment, 0::bigint as frame_id, 0 as nth, 'title' as kind, title as raw from told
+  union all select video_id, 1, false, 0, 0, null, 0, 0, 'h1', title from told
+  union all select video_id, 2, false, 0, 0, null, 0, 0, 'a', case when length(label) > 48 then left(label, 45) || '…' else label end from told
+  union all select video_id, 3, false, p_idx, 0, null, 0, 0, 'p', coalesce(text, '') from p where video_id in (select video_id from told)
+  union all select video_id, 3, true, -1, 0, null, 0, 0, 'h2', 'Additional frames' from parts where tail and video_id in (select video_id from told)
+  union all select video_id, 3, p_idx = -1, p_idx, 1, timestamp_s, frame_id, 0, 'alt', coalesce(alt_text, '') from fig where video_id in (select video_id from told)
+  union all select video_id, 3, p_idx = -1, p_idx, 1, timestamp_s, frame_id, 1, 'span', coalesce(caption, '') from fig where video_id in (select video_id from told)),
+kept as (select * from (select *, {_STRIPPED} as said from said) where said <> '' and (kind = 'alt' or not {_NUMERIC}))
+select video_id, (row_number() over (partition by video_id order by part, tail, p_idx, sub, moment, frame_id, nth) - 1)::int as id, kind, said as text from kept"""
+)
+def post_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The translatable nodes of rendered posts."""
+    return html_pages.text_nodes(blog_posts(spark, sf_dir), "video_id")
+
+
+_FIGURE_MD = (
+    "'![' || replace(replace(" + squeezed("coalesce(alt_text, '')") + ", '[', '('), ']', ')') || '](' || replace(replace(url_encode(coalesce(path, '')), '%2F', '/'), '%7E', '~') || ')' || chr(10) || '*' || case when "
+    + squeezed("coalesce(caption, '')") + " <> '' then " + squeezed("coalesce(caption, '')") + " || ' — ' else '' end || '[▶ ' || case when sec >= 3600 then (sec // 3600)::varchar || ':' || " + _CLOCK
+    + " else (sec // 60)::varchar || ':' || lpad((sec % 60)::varchar, 2, '0') end || '](https://www.youtube.com/watch?v=' || video_id || '&t=' || sec || ')*'"
+)
+
+
+@query(
+    _POSTS
+    + f""",
+told as (select video_id, {squeezed("coalesce(title, 'Untitled')")} as title, url from body join videos using (video_id)),
+blocks as (
+  select video_id, false as tail, p_idx, 0 as sub, null::double as moment, 0::bigint as frame_id, {squeezed("coalesce(text, '')")} as block from p
+  union all select video_id, true, -1, 0, null, 0, '## Additional frames' from parts where tail
+  union all select video_id, p_idx = -1, p_idx, 1, timestamp_s, frame_id, {_FIGURE_MD} from fig),
+md as (select video_id, string_agg(block, chr(10) || chr(10) order by tail, p_idx, sub, moment, frame_id) as md from blocks where block <> '' group by 1)
+select video_id, '---' || chr(10) || 'title: "' || replace(title, '"', chr(39)) || '"' || chr(10) || 'source: ' || url || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || coalesce(chr(10) || chr(10) || md, '') || chr(10) as markdown
+from told left join md using (video_id)"""
+)
+def post_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered posts as Markdown."""
+    return blog_posts(spark, sf_dir).select("video_id", html_pages.html_to_markdown("html").alias("markdown"))
+
+
+@query("select video_id, upper(text) as text, kind from (" + SQL["post_nodes"] + ") where kind <> 'alt'")
+def post_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered posts with every node translated by a stand-in that raises the case, written back and read again."""
+    pages = blog_posts(spark, sf_dir)
+    nodes = html_pages.text_nodes(pages, "video_id").where("kind != 'alt'")
+    done = models.translate_nodes(nodes, "video_id", "xx", lambda texts, target: [t.upper() for t in texts], sleep=lambda _: None)
+    back = pages.join(done, "video_id", "left").select("video_id", html_pages.write_back("html", "translations").alias("html"))
+    return html_pages.text_nodes(back, "video_id").where("kind != 'alt'").select("video_id", "text", "kind")
