@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,46 +57,57 @@ LEAST_OVERLAP = 0.4
 
 
 class _Aligner:
-    """One key's merge: a paragraph takes cues from where the last one stopped, as long as their words are its own."""
+    """One key's merge: its paragraphs wait in order, its cues stream by.
+
+    A paragraph takes cues from where the last one stopped, as long as their words are its own; it always takes one.
+    """
 
     def __init__(self) -> None:
-        self.cues: list[tuple[float, float, frozenset]] = []
-        self.i = 0
-
-    def take(self, words: frozenset) -> tuple[float, float] | None:
-        first = last = None
-        while self.i < len(self.cues):
-            start, end, cue = self.cues[self.i]
-            if not cue:
-                self.i += 1
-                continue
-            near = len(cue & words) / len(cue) >= LEAST_OVERLAP
-            if not near and first is not None:
-                break
-            first = first if first is not None else start
-            last = end
-            self.i += 1
-            if not near:
-                break
-        return None if first is None else (first, last)
+        self.waiting: deque[tuple[int, frozenset]] = deque()
+        self.first = self.last = None
+
+    def stop(self) -> tuple[int, float, float]:
+        """The range of the paragraph that has taken cues; the next one is on."""
+        p, _ = self.waiting.popleft()
+        got = (p, self.first, self.last)
+        self.first = self.last = None
+        return got
+
+    def pass_cue(self, start: float, end: float, cue: frozenset) -> Iterator[tuple[int, float, float]]:
+        while self.waiting:
+            near = len(cue & self.waiting[0][1]) / len(cue) >= LEAST_OVERLAP
+            if near or self.first is None:
+                self.first = start if self.first is None else self.first
+                self.last = end
+                if not near:
+                    yield self.stop()
+                return
+            yield self.stop()
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, state, out = None, _Aligner(), []
+
+    def leave() -> None:
+        if state.first is not None:
+            out.append((key, *state.stop()))
+
     for batch in batches:
         for r in batch.to_pylist():
             if r["key"] != key:
+                leave()
                 key, state = r["key"], _Aligner()
             words = frozenset(r["words"] or ())
+            if not words:
+                continue
             if r["is_cue"]:
-                state.cues.append((r["start_s"], r["end_s"], words))
-            elif words:
-                got = state.take(words)
-                if got:
-                    out.append((key, r["seq"], *got))
+                out += [(key, *got) for got in state.pass_cue(r["start_s"], r["end_s"], words)]
+            else:
+                state.waiting.append((r["seq"], words))
         if len(out) > 5000:
             yield _ranges(out)
             out = []
+    leave()
     if out:
         yield _ranges(out)
 
@@ -109,13 +121,14 @@ def align_paragraphs(cues: DataFrame, paragraphs: DataFrame, *, key: str = "vide
     """key, p_idx, start_s, end_s: the stretch of cues each paragraph was said in, in order; unmatched ones are absent.
 
     A cue is consumed while at least 0.4 of its words are the paragraph's, or as the first one. The merge is sequential
-    by nature: a key's rows pass one task, sorted and streamed, holding the words of its cues. Rows with null keys or
+    by nature: a key's rows pass one task, sorted and streamed, holding the words of its waiting paragraphs; its cues, the
+    many, only stream by. Rows with null keys or
     order are left out, and so are cues without times.
     """
     c = cues.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull()).select(F.col(key).alias("key"), F.lit(True).alias("is_cue"), F.col(seq).cast("long").alias("seq"), "start_s", "end_s", tokens("text").alias("words"))
     none = F.lit(None).cast("double")
     p = paragraphs.select(F.col(key).alias("key"), F.lit(False).alias("is_cue"), F.col(p_idx).cast("long").alias("seq"), none.alias("start_s"), none.alias("end_s"), tokens("text").alias("words"))
-    rows = c.unionByName(p).where("key is not null and seq is not null").repartition("key").sortWithinPartitions("key", F.col("is_cue").desc(), "seq", "start_s")
+    rows = c.unionByName(p).where("key is not null and seq is not null").repartition("key").sortWithinPartitions("key", "is_cue", "seq", "start_s")
     return rows.mapInArrow(_align, ALIGN).withColumnRenamed("key", key)
 
 
