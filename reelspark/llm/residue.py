@@ -13,6 +13,7 @@ Code and quotations are blanked first. Texts are scored many at a time, as one a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,9 @@ CODE = regex.compile(r"`+[^`\n]+`+")
 QUOTE = regex.compile(r"\"[^\"\n]+\"|“[^”\n]+[”“]|„[^“”\n]+[“”]|«[^»\n]+»|»[^«\n]+«|‘[^’\n]+’|「[^」\n]+」|『[^』\n]+』")
 PAYLOAD = regex.compile(r"(?m)^\s*\{\s*\"(?:error|errors|status|message|code)\".*\}\s*$", regex.IGNORECASE)
 MAY_BLANK = regex.compile(r"[`\"“„«»‘「『]|~~~")
-SENTENCE_BREAK = r"(?U)\n+|(?<=[.!?…])\s+|(?<=[。！？])"  # for the JVM, as `Chunk` has it
+SENTENCE_BREAK = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[。！？])")  # as `Chunk` has it
+ZEROS = bytes.maketrans(b"123456789", b"0" * 9)
+HELD_SENTENCES = 500_000  # whose hashes a task remembers at a time
 LATIN_ENDS = tuple(ord(c) for c in ".!?…")
 DENSE_ENDS = tuple(ord(c) for c in "。！？")
 
@@ -83,8 +86,11 @@ class Views:
     as it is, runs of more than two alike cut to two.
     """
 
-    def __init__(self) -> None:
-        self.low, self.form, self.space = _tables()
+    def __init__(self, tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
+        self.low, self.form, self.space = tables or _tables()
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.low, self.form, self.space
 
     @staticmethod
     def _map(points: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -129,10 +135,12 @@ def hashed(points: np.ndarray, orders: tuple[int, ...] = ORDERS) -> list[np.ndar
 
 
 def count(texts: list[str], view, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+    """Per bucket how often the n-grams of the texts fall into it."""
     out = np.zeros(BUCKETS, np.int64)
-    for t in texts:
-        for h in hashed(view(codes(t))[0], orders):
-            out += np.bincount(h, minlength=BUCKETS)
+    points = view(codes(" \0 ".join(texts)))[0]
+    parts = np.concatenate([[0], np.cumsum(points == 0)])
+    for k, h in zip(orders, hashed(points, orders), strict=True):
+        out += np.bincount(h[parts[k:] == parts[:-k]], minlength=BUCKETS)
     return out
 
 
@@ -255,8 +263,8 @@ def in_chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[s
 class Models:
     """The likelihood-ratio tables, from counts of prose and of what was learned from the corpus so far."""
 
-    def __init__(self, prose: np.ndarray, prose_shapes: np.ndarray, learned: tuple[np.ndarray, ...] = ()) -> None:
-        self.views = Views()
+    def __init__(self, prose: np.ndarray, prose_shapes: np.ndarray, learned: tuple[np.ndarray, ...] = (), views: Views | None = None) -> None:
+        self.views = views or Views()
         learned = learned or tuple(np.zeros(BUCKETS, np.int64) for _ in KINDS)
         mention = count(seeds.lines(seeds.MENTION), self.views.plain)
         prose = np.maximum(prose - 1 - sum(learned), 0)  # no sentence speaks for itself
@@ -271,6 +279,17 @@ class Models:
         shared = sum((count([x], self.views.plain) > 0).astype(np.int64) for x in seeds.lines(seeds.WORDED))
         self.worded = log_ratio(np.where(shared >= SHARED, shared, 0), prose)
 
+    def state(self) -> tuple:
+        """All arrays, as they are sent to the executors: a few megabytes, whatever the input."""
+        return self.views.tables(), self.tables, self.worded, self.shape
+
+    @classmethod
+    def of(cls, state: tuple) -> Models:
+        made = cls.__new__(cls)
+        tables, made.tables, made.worded, made.shape = state
+        made.views = Views(tables)
+        return made
+
     @staticmethod
     def _odd(shape: np.ndarray) -> np.ndarray:
         """Counts of the n-grams that hold a sign or a double underscore."""
@@ -393,21 +412,24 @@ def holding(points: np.ndarray, hashes: list[np.ndarray], orders: tuple[int, ...
     return total
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket the sentences of a partition that hold it, in both views, as the buckets that are not empty."""
-    totals = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
-    views = Views()
-    for texts in _text_chunks(batches):
-        points = codes(" \0 ".join(texts))
-        for total, view, orders in zip(totals, (views.plain, views.shape), (ORDERS, SHAPE_ORDERS), strict=True):
-            seen = view(points)[0]
-            total += holding(seen, hashed(seen, orders), orders)
-    yield from _as_rows(totals)
+def _count_batches(given):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per bucket the sentences of a partition that hold it, in both views, as the buckets that are not empty."""
+        totals = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)]
+        views = Views(given.value)
+        for texts in _text_chunks(batches):
+            points = codes(" \0 ".join(texts))
+            for total, view, orders in zip(totals, (views.plain, views.shape), (ORDERS, SHAPE_ORDERS), strict=True):
+                seen = view(points)[0]
+                total += holding(seen, hashed(seen, orders), orders)
+        yield from _as_rows(totals)
+
+    return run
 
 
 def _learn_batches(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(*given.value)
+        models = Models.of(given.value)
         totals = [np.zeros(BUCKETS, np.int64) for _ in KINDS]
         for texts in _text_chunks(batches):
             chunk = Chunk(models.views, texts)
@@ -418,14 +440,32 @@ def _learn_batches(given):
     return run
 
 
+def _sentence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sentences of a partition, most repeats left out already."""
+    held: set[int] = set()
+    for batch in batches:
+        out: list[str] = []
+        for text in batch.column("text").to_pylist():
+            if not text:
+                continue
+            for sentence in SENTENCE_BREAK.split(text.encode("utf-8", "replace").translate(ZEROS).decode()):
+                said = " ".join(sentence.split())
+                key = hash(said)
+                if said and key not in held:
+                    held.add(key)
+                    out.append(said)
+        if len(held) > HELD_SENTENCES:
+            held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
+
+
 def distinct_sentences(documents: DataFrame) -> DataFrame:
-    """Column text: every sentence of the documents once, with digits as 0 and runs of white space as one space.
+    """Column text: every sentence of the documents once, with ASCII digits as 0 and runs of white space as one space.
 
     Neither changes the n-grams of the views. Sentences meet by their own text, after each partition has dropped its
     repeats, so a sentence that stands in every row is no hot key.
     """
-    sentences = documents.select(F.explode(F.split("text", SENTENCE_BREAK)).alias("text"))
-    return sentences.select(F.trim(F.regexp_replace(F.regexp_replace("text", r"\p{Nd}", "0"), r"(?U)\s+", " ")).alias("text")).where("text != ''").distinct()
+    return documents.select("text").mapInArrow(_sentence_batches, "text string").distinct()
 
 
 def _summed(counted: DataFrame, tables: int) -> list[np.ndarray]:
@@ -444,10 +484,11 @@ def fit(documents: DataFrame, rounds: int = ROUNDS):
     # Read once per round, so written once; texts repeat, so it is smaller than the documents.
     sentences = materialize(distinct_sentences(documents), "sentences")
     schema = "view int, bucket int, n long"
-    prose, shapes = _summed(sentences.mapInArrow(_count_batches, schema), 2)
+    views = Views()
+    prose, shapes = _summed(sentences.mapInArrow(_count_batches(sc.broadcast(views.tables())), schema), 2)
     learned: tuple[np.ndarray, ...] = ()
     for _ in range(rounds):
-        given = sc.broadcast((prose, shapes, learned))
+        given = sc.broadcast(Models(prose, shapes, learned, views).state())
         learned = tuple(_summed(sentences.mapInArrow(_learn_batches(given), schema), len(KINDS)))
     return prose, shapes, learned
 
@@ -458,7 +499,7 @@ ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), (
 
 def _detect(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(*given.value)
+        models = Models.of(given.value)
         for batch in batches:
             found = models.spans([t or "" for t in batch.column("text").to_pylist()])
             rows = [[dict(zip(("start", "stop", "kind", "coverage"), s, strict=True)) for s in f] for f in found]
@@ -475,7 +516,7 @@ def residue_spans(documents: DataFrame, *, item: str = "doc_id", text: str = "te
     code. Equal texts get equal spans. Texts are read whole; other columns aren't read.
     """
     rows = spread(documents.select(F.col(item).alias("id"), F.col(text).alias("text")))
-    given = documents.sparkSession.sparkContext.broadcast(fit(rows))
+    given = documents.sparkSession.sparkContext.broadcast(Models(*fit(rows)).state())
     found = rows.select("id", F.char_length("text").alias("n_chars"), "text").mapInArrow(_detect(given), f"id {rows.schema['id'].dataType.simpleString()}, n_chars int, spans {SPANS}")
     held = F.aggregate("spans", F.lit(0.0), lambda sum_, s: sum_ + (s["stop"] - s["start"]) * s["coverage"])
     return found.select(F.col("id").alias(item), "spans", F.round(F.coalesce(held / F.nullif("n_chars", F.lit(0)), F.lit(0.0)), 6).alias("coverage"))

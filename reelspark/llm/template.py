@@ -56,8 +56,9 @@ def page_tokens(page: list[tuple[str, str, str]], worded: dict[str, set[str]] |
         if kind == "text":
             if worded is not None and path not in worded:
                 continue
+            lead = f"w{path} "
             for word in text.split():
-                yield word_token(path, word)
+                yield lead + word if len(word) <= LONG_WORD else word_token(path, word)
         else:
             yield ("o" if kind == "open" else "c") + path
 
@@ -81,12 +82,10 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             pages = held.setdefault((host, PAGES), [0, 0, 0, 0.0])
             pages[2] += 1
-            counts: Counter[str] = Counter()
-            first: dict[str, int] = {}
-            for i, token in enumerate(page_tokens(events(html))):
-                counts[token] += 1
-                first.setdefault(token, i)
-            size = max(1, sum(counts.values()))
+            tokens = list(page_tokens(events(html)))
+            counts = Counter(tokens)
+            size = max(1, len(tokens))
+            first = dict(zip(reversed(tokens), range(size - 1, -1, -1), strict=False))
             # Tokens that occur as often on this page share its contribution to their vectors.
             hashes = {n: xxhash.xxh3_64_intdigest(f"{key}:{n}") for n in set(counts.values())}
             for token, n in counts.items():
