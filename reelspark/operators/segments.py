@@ -46,7 +46,7 @@ def transcript_cues(chunks: DataFrame, key: str, idx: str, text: str, chunk_ms:
 
     Inside a chunk the next cue is near; over its end only the numbers of chunks are ordered, never their texts.
     """
-    said = chunks.where(F.col(key).isNotNull() & F.col(idx).isNotNull() & (collapse_ws(text) != "")).select(key, idx, F.col(text).alias("text"))
+    said = chunks.where(F.col(key).isNotNull() & F.col(idx).isNotNull() & F.col(text).rlike(f"[^{UNICODE_SPACE}]")).select(key, idx, F.col(text).alias("text"))
     at = F.col(idx).cast("long") * chunk_ms
     led = ordered(said.select(key, idx, at.alias("_at")), key, [idx], lag={"_next_chunk": "_at"}, descending=True).select(F.col(key).alias("_k"), F.col(idx).alias("_i"), "_next_chunk")
     both = said.join(led, (F.col(key) == F.col("_k")) & (F.col(idx) == F.col("_i"))).drop("_k", "_i")
