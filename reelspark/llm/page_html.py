@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from html import unescape
 
-import regex
 
 # HTML elements without content, those whose content is no text here, those that end a paragraph.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
@@ -21,13 +21,13 @@ SCOPES = frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "bod
 ROW_SCOPES = SCOPES - {"tr"}
 
 #: Comments and declarations; an end tag; a start tag with its attributes and whether it closes itself.
-TOKEN = regex.compile(
+TOKEN = re.compile(
     r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|/(?P<end>[A-Za-z][^\s/>]*)[^>]*>|/[^A-Za-z>][^>]*>|/>"
     r"|(?P<start>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>)",
-    regex.DOTALL,
+    re.DOTALL,
 )
-ATTRIBUTE = regex.compile(r"([^\s\"'/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-RAW_END = {tag: regex.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", regex.IGNORECASE) for tag in RAW}
+ATTRIBUTE = re.compile(r"([^\s\"'/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE) for tag in RAW}
 
 
 def _classes(attrs: str) -> tuple[str, ...]:
@@ -64,44 +64,50 @@ def events(html: str) -> list[tuple[str, str, str]]:
                 return
 
     at, size = 0, len(html)
-    while at < size:
-        m = TOKEN.search(html, at)
-        begin = size if m is None else m.start()
+    found = TOKEN.finditer(html)
+    while (m := next(found, None)) is not None:
+        begin = m.start()
         if begin > at:
             text = html[at:begin]
             pending.append(unescape(text) if "&" in text else text)
-        if m is None:
-            break
         at = m.end()
-        tag = m["start"]
-        if tag is None:
-            tag = m["end"]
-            if tag is not None:
-                tag = tag.lower()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i] == tag:
-                        pop_to(i)
-                        break
+        kind = m.lastgroup
+        if kind is None:
             continue
-        tag, attrs = tag.lower(), m["attrs"]
+        if kind == "end":
+            tag = m["end"].lower()
+            if tag in stack:
+                i = len(stack) - 1
+                while stack[i] != tag:
+                    i -= 1
+                pop_to(i)
+            continue
+        tag, attrs = m.group("start", "attrs")
+        tag = tag.lower()
         if tag in ENDS_P:
             close_in(("p",), SCOPES)
         if tag in CLOSES:
             close_in(CLOSES[tag], ROW_SCOPES if tag != "tr" else SCOPES)
-        flush()
+        if pending:
+            flush()
         key = (paths[-1], tag, attrs)
         path = known.get(key)
         if path is None:
             path = known[key] = f"{paths[-1]}/{'.'.join((tag, *_classes(attrs)))}"
-        stack.append(tag)
-        paths.append(path)
         out.append(("open", path, tag))
         if tag in VOID or (tag in EMPTY_SHAPES and attrs.rstrip().endswith("/")):
-            pop_to(len(stack) - 1)
-        elif tag in RAW and not attrs.rstrip().endswith("/"):
+            out.append(("close", path, tag))
+            continue
+        stack.append(tag)
+        paths.append(path)
+        if tag in RAW and not attrs.rstrip().endswith("/"):
             end = RAW_END[tag].search(html, at)
             if end.start() > at:
                 pending.append(html[at : end.start()])
             at = end.start() if end.end() > end.start() else size
+            found = TOKEN.finditer(html, at)
+    if at < size:
+        text = html[at:]
+        pending.append(unescape(text) if "&" in text else text)
     pop_to(0)
     return out
