@@ -33,6 +33,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.paragraph_pieces(_t(spark, sf_dir, "paragraphs"), _t(spark, sf_dir, "size_limits"))
 
 
+def p3_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph put together again from the bodies of its pieces, each at its place."""
+    body = F.expr("substring(text, overlap + 1)")
+    pieces = p3_pieces(spark, sf_dir).where("text is not null").groupBy("para_id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", body.alias("body")))).alias("p"), F.count("*").alias("n_pieces"))
+    put = F.aggregate("p", F.lit(""), lambda text, p: F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(0), p["start"] - F.char_length(text))), p["body"]))
+    return pieces.select("para_id", put.alias("text"), (F.col("n_pieces") > 1).alias("was_cut"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.best_frames(_t(spark, sf_dir, "frames")).select("run_id", "frame_id")
 
@@ -63,6 +71,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.split_documents(p7_packed(spark, sf_dir))
 
 
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens and pieces of each document are placed."""
+    return p7_packed(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"))
+
+
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = packing.container_limit(_t(spark, sf_dir, "size_limits"))
     return packing.packing_report(p7_packed(spark, sf_dir), capacity)
@@ -114,7 +127,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.exclude_residue(residue.residue_spans(_t(spark, sf_dir, "documents"))).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p3_found, p3_pieces, p4_found, p4_ranked, p5_found, p5_runs, p5_segments, p6_found, p6_segments, p7_found, p7_packed, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_spans, p9_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_ranked, p5_found, p5_runs, p5_segments, p6_found, p6_segments, p7_found, p7_packed, p7_placed, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_spans, p9_kept)}
 
 _MOMENTS = """
 with f as (select distinct frame_id, video_id, cast(round(timestamp_s * 1000) as bigint) * 2 as t from frames),
@@ -183,11 +196,17 @@ with t as (select para_id, trim(regexp_replace(text, '{_SPACE}', ' ', 'g')) as t
 s as (select para_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?]) ', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1))) as s from t where length(text) > 700),
 w as (select para_id, length(trim(s)) as n, list_max(list_transform(string_split(trim(s), ' '), lambda x: length(x))) as longest from s)
 select para_id, case when max(n) <= 700 then 'sentence' when max(case when n > 700 then longest else 0 end) > 700 then 'char' else 'word' end as cut from w group by para_id""",
+    "p3_rebuilt": rf"""
+with t as (select para_id, trim(regexp_replace(text, '{_SPACE}', ' ', 'g')) as text from paragraphs where text is not null)
+select para_id, text, length(text) > (select max_size from size_limits where limit_name = 'paragraph_piece') as was_cut from t""",
     "p4_found": _RANKED + "select run_id, frame_id from r where rank <= 5",
     "p4_ranked": _RANKED + "select run_id, frame_id, rank from r where rank <= 5",
     "p5_found": _RUNS + "select first_cue_id, last_cue_id, n_cues from r",
     "p5_runs": _RUNS + "select * from r",
     "p7_found": "select doc_id from documents where octet_length(encode(text)) > (select max_size from size_limits where limit_name = 'container')",
+    "p7_placed": """
+with n as (select doc_id, octet_length(encode(text))::bigint as tokens from documents where octet_length(encode(text)) > 0)
+select doc_id, tokens, (tokens + m - 1) // m as pieces from n, (select max_size as m from size_limits where limit_name = 'container')""",
     "p8_mix": _MIX + "select source_name, doc_id, repeats, n_tokens from mix where repeats > 0",
     "p8_report": _MIX
     + """
