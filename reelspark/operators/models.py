@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.text import already_target
 from reelspark.operators import html_pages
-from reelspark.operators.segments import pack_blocks
+from reelspark.operators.segments import interpolated_cues, pack_blocks
 
 # Models that take an effort.
 REASONING = re.compile(r"^(gpt-5|o[1-4])", re.IGNORECASE)
@@ -223,6 +223,11 @@ def transcribe(chunks: DataFrame, model: Transcriber) -> DataFrame:
     return chunks.select("video_id", F.col("chunk").cast("int").alias("chunk"), "audio").mapInPandas(run, "video_id string, chunk int, text string")
 
 
+def transcribed_cues(chunks: DataFrame, model: Transcriber, chunk_ms: int = 60_000) -> DataFrame:
+    """video_id, chunk, cue_idx, start_ms, end_ms, text: what was said in audio chunks of equal length, sentence by sentence."""
+    return interpolated_cues(transcribe(chunks, model), ["video_id", "chunk"], "text", F.col("chunk").cast("long") * chunk_ms, F.lit(chunk_ms))
+
+
 def ask_batch(model: Ranker, prompt: str, frames: list[dict], halve: bool = True, timeout: float | None = TIMEOUT_S, sleep: Callable[[float], None] = time.sleep) -> tuple[list[dict] | None, str | None]:
     """The answers of a batch, or None and why; what fails to the end is asked once more in halves."""
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import text as tx
 from reelspark.operators import dedup, html_pages, joins, models, render, segments, tables
 from reelspark.plans.registry import RE2_SPACE, SQL, distinct_rows, query, squeezed, table
+from reelspark.session import shared_dir
 from reelspark.sources import captions
+from reelspark.streaming import incremental
 
 
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,3 +490,14 @@ def post_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = models.translate_nodes(nodes, "video_id", "xx", lambda texts, target: [t.upper() for t in texts], sleep=lambda _: None)
     back = pages.join(done, "video_id", "left").select("video_id", html_pages.write_back("html", "translations").alias("html"))
     return html_pages.text_nodes(back, "video_id").where("kind != 'alt'").select("video_id", "text", "kind")
+
+
+@query("select video_id, arg_max(run_id, attempt::bigint * 1000000000 + run_id) as run_id, arg_max(status, attempt::bigint * 1000000000 + run_id) as status from runs where video_id is not null group by 1")
+def streamed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of every video, by a stream over the files of runs that ends when all are read."""
+    place = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/runs.parquet").schema
+    incremental.upsert_new(spark, f"{sf_dir}/runs.parque[t]", schema, "video_id", ["attempt", "run_id"], f"{place}/table", f"{place}/checkpoint").awaitTermination()
+    newest = incremental.newest_version(spark, f"{place}/table")
+    rows = spark.read.schema(schema).parquet(newest) if newest else spark.createDataFrame([], schema)
+    return rows.where("video_id is not null").select("video_id", "run_id", "status")

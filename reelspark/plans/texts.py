@@ -28,6 +28,13 @@ def transcript_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.transcript_cues(table(spark, sf_dir, "paragraphs"), "video_id", "p_idx", "text", 60_000)
 
 
+@query(_SENTENCES + "select video_id, p_idx as chunk, cue_idx::int as cue_idx, start_ms::bigint as start_ms, end_ms::bigint as end_ms, text from d")
+def audio_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of audio chunks, as a stand-in hears them: it reads the bytes as text."""
+    chunks = table(spark, sf_dir, "paragraphs").where("text is not null and video_id is not null").select("video_id", F.col("p_idx").alias("chunk"), F.encode("text", "UTF-8").alias("audio"))
+    return models.transcribed_cues(chunks, lambda audio: audio.decode())
+
+
 @query(rf"""
 select doc_id, (generate_subscripts(parts, 1) - 1)::int as i, unnest(parts) as sentence
 from (select doc_id, string_split(regexp_replace(text, '([.!?。！？]){RE2_SPACE}+', '\1' || chr(1), 'g'), chr(1)) as parts from documents where text is not null)""")

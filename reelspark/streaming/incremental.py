@@ -17,26 +17,30 @@ def process_new(spark: SparkSession, source: str, schema, transform: Callable[[D
     return transform(rows).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_new(spark: SparkSession, source: str, schema, key: str, order: str, target: str, checkpoint: str) -> StreamingQuery:
+def newest_version(spark: SparkSession, target: str, before: int | None = None) -> str | None:
+    """The newest complete version of a table below ``target`` (of those before ``before``), or None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getParent().getName() for f in store.globStatus(path(f"{target}/v=*/_SUCCESS")) or []]
+    versions = sorted(n for n in (int(name.removeprefix("v=")) for name in found) if before is None or n < before)
+    return f"{target}/v={versions[-1]}" if versions else None
+
+
+def upsert_new(spark: SparkSession, source: str, schema, key: str, order: str | list[str], target: str, checkpoint: str) -> StreamingQuery:
     """Upsert new rows by key into versions of a table below ``target``: v=<batch>. A batch that runs again writes the same version.
 
-    Within a batch the latest row of a key counts, by ``order``. The newest earlier version is read; if there is none, the
-    table is empty so far. A version is the whole table: for small keyed states such as run summaries.
+    Within a batch the latest row of a key counts, by ``order``; a batch replaces what earlier ones said of its keys. The
+    newest earlier version is read; if there is none, the table is empty so far. A version is the whole table: for keyed
+    states such as run summaries.
     """
-    jvm = spark._jvm
-
-    def newest_before(number: int) -> int | None:
-        folder = jvm.org.apache.hadoop.fs.Path(target)
-        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [n for n in range(number - 1, -1, -1) if store.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/v={n}/_SUCCESS"))]
-        return done[0] if done else None
 
     def merge(batch: DataFrame, number: int) -> None:
         value = F.struct(*[c for c in batch.columns if c != key])
-        latest = batch.groupBy(key).agg(F.max_by(value, order).alias("_v")).select(key, "_v.*")
-        before = newest_before(number)
-        if before is not None:
-            latest = upsert(batch.sparkSession.read.schema(schema).parquet(f"{target}/v={before}"), latest, key)
+        by = F.struct(*order) if isinstance(order, list) else F.col(order)
+        latest = batch.groupBy(key).agg(F.max_by(value, by).alias("_v")).select(key, "_v.*")
+        earlier = newest_version(spark, target, number)
+        if earlier is not None:
+            latest = upsert(batch.sparkSession.read.schema(schema).parquet(earlier), latest, key)
         latest.write.mode("overwrite").parquet(f"{target}/v={number}")
 
     rows = spark.readStream.schema(schema).parquet(source)
