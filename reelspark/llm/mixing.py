@@ -83,7 +83,8 @@ def _mix(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
     # At most KEY_RANGES + 1 rows per source; one of them is where its budget ends.
     upto = F.sum("in_range").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
     over = sums.withColumn("upto", upto).where("upto > rest").groupBy(F.col("source").alias("e_source"))
-    ends = over.agg(F.min("range").alias("end_range"), F.min_by(F.col("upto") - F.col("in_range"), "range").alias("before"))
+    # One row per target; written, so that its size is known before it is joined.
+    ends = materialize(over.agg(F.min("range").alias("end_range"), F.min_by(F.col("upto") - F.col("in_range"), "range").alias("before")), "ends")
     # Without a rest nothing more is drawn; a rest that no range passes takes all.
     placed = ranged.join(ends, F.col("source") == F.col("e_source"), "left").withColumn("end_range", F.coalesce("end_range", F.when(F.col("rest") > 0, F.lit(KEY_RANGES + 1)).otherwise(F.lit(-1))))
     # Only in that range do documents need an order.

@@ -23,6 +23,7 @@ from reelspark.session import materialize
 
 TIERS = (512, 1024, 2048, 4096)
 LEAST_FILL = 0.98  # of a short tier's window, or it is opened again
+BROADCAST_ROWS = 200_000  # of the plan
 ROWS_PER_BUCKET = 100_000  # of equal lengths, ranked in one task
 
 
@@ -185,7 +186,8 @@ def pack(documents: DataFrame, capacity: int, *, step_size: int = 8, tiers: tupl
     # At most `capacity` rows, whatever the input.
     counts = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}
     rows = placements(plan_packing(counts, capacity, tiers), capacity, step_size)
-    # Its rows depend on the capacity alone: each length splits few runs.
+    # Its rows depend on the capacity alone: each length splits few runs. Beyond the bound Spark joins as it sees fit.
+    hint = F.broadcast if len(rows) <= BROADCAST_ROWS else lambda df: df
     plan = spark.createDataFrame(
         rows or [(0,) * 11],
         "size int, from_rank long, items long, each long, first_window long, window_size int, window_fill int, per int, size_window long, size_container long, size_containers long",
@@ -194,7 +196,7 @@ def pack(documents: DataFrame, capacity: int, *, step_size: int = 8, tiers: tupl
     split = pieces.join(F.broadcast(many), F.col("n_tokens") == F.col("many"), "left").withColumn("buckets", F.coalesce("buckets", F.lit(1))).drop("many")
     ranked = ranked_in(split, "n_tokens", ["doc_id", "piece"], F.col("buckets"))
     in_range = (F.col("n_tokens") == F.col("size")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("items"))
-    placed = ranked.join(F.broadcast(plan), in_range).withColumn("window", F.col("first_window") + F.expr("(rank - from_rank) div each"))
+    placed = ranked.join(hint(plan), in_range).withColumn("window", F.col("first_window") + F.expr("(rank - from_rank) div each"))
     placed = placed.withColumn("nth", F.expr("(window - size_window) div per")).withColumn("groups", F.greatest(F.lit(1), F.expr(f"(size_containers + {step_size - 1}) div {step_size}")))
     tier = F.coalesce(*[F.when(F.col("n_tokens") <= t, F.lit(t)) for t in tier_edges(capacity, tiers)])
     turn = F.col("nth") % F.col("groups")
