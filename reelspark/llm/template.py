@@ -63,43 +63,40 @@ def page_tokens(page: list[tuple[str, str, str]], worded: dict[str, set[str]] |
             yield ("o" if kind == "open" else "c") + path
 
 
+#: What a token has summed up is one whole number of four fields: two hashes, the pages, the first places.
+FIELD, MASK = 64, (1 << 64) - 1
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], list] = {}
+    held: dict[str | None, dict[str, int]] = {}
 
     def rows() -> pa.RecordBatch:
-        keys = list(held)
-        cols = list(zip(*held.values(), strict=True)) or [()] * 4
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string()), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]],
-            schema=STATS_ARROW,
-        )
+        sums = [(host, token, v & MASK, v >> FIELD & MASK, v >> 2 * FIELD & MASK, float(v >> 3 * FIELD)) for host, tokens in held.items() for token, v in tokens.items()]
         held.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sums, strict=True), STATS_ARROW, strict=True)], schema=STATS_ARROW)
 
+    size = 0
     for batch in batches:
         for key, host, html in zip(batch.column("id").to_pylist(), batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if not html:
                 continue
-            pages = held.setdefault((host, PAGES), [0, 0, 0, 0.0])
-            pages[2] += 1
+            own = held.setdefault(host, {})
+            size -= len(own)
             tokens = list(page_tokens(events(html)))
             counts = Counter(tokens)
-            size = max(1, len(tokens))
-            first = dict(zip(reversed(tokens), range(size - 1, -1, -1), strict=False))
+            first = dict(zip(reversed(tokens), range(len(tokens) - 1, -1, -1), strict=True))
             # Tokens that occur as often on this page share its contribution to their vectors.
-            hashes = {n: xxhash.xxh3_64_intdigest(f"{key}:{n}") for n in set(counts.values())}
+            shares = {}
+            for n in set(counts.values()):
+                h = xxhash.xxh3_64_intdigest(f"{key}:{n}")
+                shares[n] = (h & 0x7FFFFFFF) + ((h >> 33) << FIELD) + (1 << 2 * FIELD)
+            own[PAGES] = own.get(PAGES, 0) + (1 << 2 * FIELD)
             for token, n in counts.items():
-                h = hashes[n]
-                got = held.get((host, token))
-                if got is None:
-                    held[host, token] = [h & 0x7FFFFFFF, h >> 33, 1, first[token] / size]
-                else:
-                    got[0] += h & 0x7FFFFFFF
-                    got[1] += h >> 33
-                    got[2] += 1
-                    got[3] += first[token] / size
-            if len(held) > HELD_TOKENS:
+                own[token] = own.get(token, 0) + shares[n] + (first[token] << 3 * FIELD)
+            size += len(own)
+            if size > HELD_TOKENS:
                 yield rows()
+                size = 0
     if held:
         yield rows()
 
@@ -183,6 +180,8 @@ class _Page:
         self.lead, self.quotes, self.rows, self.row = "", 0, 0, 0
 
     def flush(self) -> None:
+        if not self.parts:
+            return
         text, code, asides = _united(self.parts)
         if text.strip():
             place, tag, slot = self.where
