@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -47,7 +48,8 @@ STUTTER = re.compile(r"(?<!\S)(?=\S{5})(\S{1,4}?)\1{4,}\S*")
 #: The tokens that may hold what NO_TEXT looks for.
 MAY_BE_NO_TEXT = re.compile(r"(?<!\S)\S*?[@/\\_]\S*|(?<!\S)(?=\S{12})\S*?\d\S*|\bwww\.\S+")
 SENTENCE = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』）\"”»)]*| (?:[/|–—]|-{1,2}) ")
-ENDED = regex.compile(r"[.!?…。！？][\"'”’»」』)\]]*\s*$")
+END_MARKS = frozenset(".!?…。！？")
+CLOSERS = "\"'”’»」』)]"
 LATIN = regex.compile(r"\p{Latin}")
 DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 
@@ -86,6 +88,11 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + MAX_ORDER] for i in range(len(padded) - 1)]
 
 
+def _is_closed(sentence: str) -> bool:
+    """Whether it ends with an end mark, closing quotes and brackets aside."""
+    return sentence.rstrip().rstrip(CLOSERS)[-1:] in END_MARKS
+
+
 class Scorer:
     """Scores of words as vectors over the languages, relative to their best language (0 for it, negative for others)."""
 
@@ -113,7 +120,11 @@ class Scorer:
         return got
 
     def scores(self, words: list[str]) -> np.ndarray:
-        rows = np.fromiter(map(self.row, words), np.int64, len(words))
+        rows = list(map(self.rows.get, words))
+        if None in rows:
+            for w in {w for w, r in zip(words, rows, strict=True) if r is None}:
+                self.row(w)
+            rows = list(map(self.rows.get, words))
         return self.matrix[rows]
 
     def _unseen(self, word: str) -> np.ndarray:
@@ -219,23 +230,29 @@ def stretches_of(scorer: Scorer, texts: list[str]) -> list[list[tuple[int, int,
     bounds: list[int] = []  # where each sentence with words begins among the words
     whole: list[bool] = []  # which of them stand between sentence ends, not between dashes or strokes
     firsts: list[int] = []  # where each text begins among the sentences
-    dense: dict[int, int] = {}  # signs of scripts without spaces, of the words that have some
+    dense: list[int] = []  # how many signs of scripts without spaces each word has
     for text in texts:
         firsts.append(len(bounds))
         blank = blank_no_text(text)
-        closed, has_dense = True, DENSE.search(blank) is not None
+        low = blank.lower()
+        # Few letters change their length with their case; only then every word is lowered on its own.
+        found = list(WORD.finditer(low if len(low) == len(blank) else blank))
+        if not found:
+            continue
+        first = len(words)
+        places = [m.start() for m in found]
+        starts += places
+        ends += [m.end() for m in found]
+        words += [m.group() for m in found] if len(low) == len(blank) else [m.group().lower() for m in found]
+        dense += [len(DENSE.findall(w)) for w in words[first:]] if DENSE.search(blank) else [0] * len(found)
+        closed, at, n = True, 0, len(places)
         for a, b in sentences(blank):
-            before, closed = closed, ENDED.search(blank, a, b) is not None
-            at = len(words)
-            for m in WORD.finditer(blank, a, b):
-                starts.append(m.start())
-                ends.append(m.end())
-                words.append(m.group().lower())
-            if len(words) > at:
-                bounds.append(at)
+            before, closed = closed, _is_closed(blank[a:b])
+            upto = n if b >= len(blank) else bisect_left(places, b, at)
+            if upto > at:
+                bounds.append(first + at)
                 whole.append(before and closed)
-                if has_dense:
-                    dense.update((i, len(DENSE.findall(words[i]))) for i in range(at, len(words)))
+                at = upto
     firsts.append(len(bounds))
     if not words:
         return [[] for _ in texts]
@@ -256,7 +273,7 @@ def stretches_of(scorer: Scorer, texts: list[str]) -> list[list[tuple[int, int,
             continue
         if lead[i:j].count(lead[i]) == j - i and all(plain[i:j]):  # every sentence is in one language, and all in the same
             first, last = bounds[i], bounds[j - 1] + n_words[j - 1]
-            size = last - first + (sum(dense.get(k, 0) // 3 for k in range(first, last)) if dense else 0)
+            size = last - first + _thirds(dense[first:last])
             out.append([(starts[first], ends[last - 1], lead[i], _confidence(sum(margin[i:j]), size))])
             continue
         parts: list[list] = []  # start, end, lang, margin, words, whether it may stand in another language than the text
@@ -267,7 +284,7 @@ def stretches_of(scorer: Scorer, texts: list[str]) -> list[list[tuple[int, int,
                 best = some[lang]
                 some[lang] = -math.inf
                 ahead = float(best - some.max()) if scorer.k > 1 else 9.0
-                size = y - x + sum(dense.get(k, 0) // 3 for k in range(x, y))
+                size = y - x + _thirds(dense[x:y])
                 if size >= 3:
                     alone = ahead >= 5.0
                 elif whole[s] and not any(LATIN.search(w) for w in words[x:y]):
@@ -279,7 +296,12 @@ def stretches_of(scorer: Scorer, texts: list[str]) -> list[list[tuple[int, int,
     return out
 
 
-def _parts(scores: np.ndarray, gain: np.ndarray, first: int, n: int, lead: int, dense: dict[int, int]) -> list[tuple[int, int, int]]:
+def _thirds(dense: list[int]) -> int:
+    """Three signs of a script without spaces count as a further word."""
+    return sum(n // 3 for n in dense) if any(dense) else 0
+
+
+def _parts(scores: np.ndarray, gain: np.ndarray, first: int, n: int, lead: int, dense: list[int]) -> list[tuple[int, int, int]]:
     """The stretches of a sentence that may be mixed, as (first word, behind the last word, language)."""
     sums = np.vstack([np.zeros(scores.shape[1]), gain[first : first + n].cumsum(axis=0)])
     if (sums - np.minimum.accumulate(sums, axis=0)).max() <= STRETCH_GAIN:
@@ -287,7 +309,7 @@ def _parts(scores: np.ndarray, gain: np.ndarray, first: int, n: int, lead: int,
     path = _viterbi(scores[first : first + n], SWITCH)
     cuts = [0, *[i for i in range(1, n) if path[i] != path[i - 1]], n]
     found = [(first + i, first + j, path[i]) for i, j in zip(cuts, cuts[1:], strict=False)]
-    long = [p for p in found if p[1] - p[0] >= STRETCH_WORDS or sum(dense.get(k, 0) for k in range(p[0], p[1])) >= STRETCH_CHARS]
+    long = [p for p in found if p[1] - p[0] >= STRETCH_WORDS or sum(dense[p[0] : p[1]]) >= STRETCH_CHARS]
     return long or [(first, first + n, lead)]
 
 
