@@ -299,3 +299,71 @@ def test_running_spend(spark):
     rows = spark.createDataFrame([("k", i, 100) for i in range(4)], "k string, i int, n int")
     got = [(round(r.spent, 4), r.over_cap) for r in tables.running_spend(rows, "k", ["i"], F.col("n"), price=0.001, cap=0.3).orderBy("i").collect()]
     assert got == [(0.13, False), (0.26, False), (0.39, True), (0.52, True)]
+
+
+def test_near_pairs_at_every_number_of_bands():
+    """Hashes within the threshold share bands, however many are asked for; those beyond it needn't."""
+    random.seed(6)
+    for shared in (1, 2, 3):
+        bands = 5 + shared
+        cuts = [64 * i // bands for i in range(bands + 1)]
+        for _ in range(200):
+            a = random.getrandbits(64)
+            b = a
+            for bit in random.sample(range(64), 5):
+                b ^= 1 << bit
+            same = sum((a ^ b) >> lo & ((1 << (hi - lo)) - 1) == 0 for lo, hi in zip(cuts, cuts[1:], strict=False))
+            assert same >= shared
+
+
+def test_dedup_of_one_large_key(spark, monkeypatch):
+    """The result doesn't depend on how many bands are shared, and equals the loop."""
+    random.seed(12)
+    base = [random.getrandbits(63) for _ in range(40)]
+    rows = []
+    for i in range(600):
+        h = random.choice(base)
+        for bit in random.sample(range(63), random.choice([0, 1, 3, 5, 6, 20])):
+            h ^= 1 << bit
+        rows.append(("hot" if i % 10 else "cold", i, h))
+    kept = {}
+    for k, i, h in rows:
+        if all((h ^ x).bit_count() > 5 for _, x in kept.get(k, [])):
+            kept.setdefault(k, []).append((i, h))
+    expected = {(k, i) for k, found in kept.items() for i, _ in found}
+    df = spark.createDataFrame(rows, "k string, i int, h long")
+    for levels in (((None, 1),), ((None, 2),), ((50, 1), (None, 3))):
+        monkeypatch.setattr(dedup, "SHARED_BANDS", levels)
+        got = dedup.greedy_dedup(df, key="k", order=["i"], item="i", hash_="h").collect()
+        assert {(r.k, r.i) for r in got} == expected
+
+
+def test_a_hot_key_is_spread(spark):
+    """A key with nine tenths of the rows is numbered in several tasks of about the same size."""
+    df = spark.range(20_000).selectExpr("case when id % 10 = 0 then cast(id % 7 as string) else 'hot' end as k", "id as i")
+    rows = numbered(df, "k", ["i"])
+    assert rows.where("k = 'hot'").agg(F.max("n"), F.countDistinct("n")).first() == (18_000, 18_000)
+    spread = df.repartitionByRange("k", "i").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    sizes = sorted(r.n for r in spread)
+    assert len(sizes) >= 4 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+def test_released_tables(spark):
+    from reelspark import session
+
+    session.release(spark)
+    kept = session.materialize(spark.range(3), "t")
+    assert kept.count() == 3 and session.release(spark) == 1 and session.release(spark) == 0
+
+
+def test_versions_of_a_streamed_table(spark, tmp_path):
+    from reelspark.streaming import incremental
+
+    schema = "k string, at int, v int"
+    for number, rows in enumerate([[("a", 1, 1), ("a", 2, 2), ("b", 1, 3)], [("b", 5, 4), ("c", 1, 5)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        df_schema = spark.read.parquet(f"{tmp_path}/in").schema
+        incremental.upsert_new(spark, f"{tmp_path}/in", df_schema, "k", "at", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+        assert incremental.newest_version(spark, f"{tmp_path}/out") == f"{tmp_path}/out/v={number}"
+    assert incremental.newest_version(spark, f"{tmp_path}/out", 1) == f"{tmp_path}/out/v=0" and incremental.newest_version(spark, f"{tmp_path}/none") is None
+    assert {(r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/out/v=1").collect()} == {("a", 2), ("b", 4), ("c", 5)}
