@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.markup import languages, to_plain
-from reelspark.llm.template import ASIDE, extract_slots
+from reelspark.llm.template import ASIDE, Finish, extract_slots
+
+
+def _pairs(*names: str) -> tuple[str, pa.DataType]:
+    return f"array<struct<{','.join(f'{n}:string' for n in names)}>>", pa.list_(pa.struct([(n, pa.string()) for n in names]))
+
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, places, kinds = [], [], []
-        for key, slots in zip(batch.column("id").to_pylist(), batch.column("slots").to_pylist(), strict=True):
-            seen = {(s["place"], m) for s in slots if s["place"] and not s["code"] for m in languages(s["text"].replace(ASIDE, " "))}
-            for place, markup in sorted(seen):
-                ids.append(key)
-                places.append(place)
-                kinds.append(markup)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(places, pa.string()), pa.array(kinds, pa.string())], names=["id", "place", "markup"])
+def found_markup(slots: list[dict]) -> list[dict]:
+    """The markup languages readable in each place."""
+    seen = {(s["place"], m) for s in slots if s["place"] and not s["code"] for m in languages(s["text"].replace(ASIDE, " "))}
+    return [{"place": place, "markup": markup} for place, markup in sorted(seen)]
 
 
 def clean_blocks(slots: list[dict], place: str) -> str:
@@ -51,15 +48,8 @@ def clean_blocks(slots: list[dict], place: str) -> str:
     return "\n\n".join(out)
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, places, texts = [], [], []
-        for key, slots in zip(batch.column("id").to_pylist(), batch.column("slots").to_pylist(), strict=True):
-            for place in sorted({s["place"] for s in slots if s["place"]}):
-                ids.append(key)
-                places.append(place)
-                texts.append(clean_blocks(slots, place))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(places, pa.string()), pa.array(texts, pa.string())], names=["id", "place", "text"])
+def clean_places(slots: list[dict]) -> list[dict]:
+    return [{"place": place, "text": clean_blocks(slots, place)} for place in sorted({s["place"] for s in slots if s["place"]})]
 
 
 def page_markup(pages: DataFrame) -> DataFrame:
@@ -68,15 +58,11 @@ def page_markup(pages: DataFrame) -> DataFrame:
     Pages without a post-body, with null or empty HTML, or without residue give no rows. A page that comes in several
     rows gives its rows for each.
     """
-    slots = extract_slots(pages)
-    kind = slots.schema["page_id"].dataType.simpleString()
-    found = slots.withColumnRenamed("page_id", "id").mapInArrow(_found, f"id {kind}, place string, markup string")
-    return found.withColumnRenamed("id", "page_id")
+    found = extract_slots(pages, finish=Finish(found_markup, *_pairs("place", "markup")))
+    return found.select("page_id", F.inline("slots"))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Columns page_id, place, text: body and captions as clean text, with headings, lists, code and formulas kept."""
-    slots = extract_slots(pages)
-    kind = slots.schema["page_id"].dataType.simpleString()
-    texts = slots.withColumnRenamed("page_id", "id").mapInArrow(_clean, f"id {kind}, place string, text string")
-    return texts.withColumnRenamed("id", "page_id").where(F.col("text") != "")
+    texts = extract_slots(pages, finish=Finish(clean_places, *_pairs("place", "text")))
+    return texts.select("page_id", F.inline("slots")).where(F.col("text") != "")

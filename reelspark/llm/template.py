@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -315,7 +316,19 @@ def parse_template(text: str | None) -> tuple[dict[str, tuple[int, int]], list[i
     return {t: (c, k) for c, tokens in enumerate(groups) for k, t in enumerate(tokens)}, [len(g) for g in groups]
 
 
-def _extract(templates, inside: str, part: str):
+@dataclass(frozen=True)
+class Finish:
+    """What is made of a page's slots where they are read, so that they need not travel: a function, its type for Spark and for Arrow."""
+
+    of: Callable[[list[dict]], list]
+    ddl: str
+    arrow: pa.DataType
+
+
+WHOLE = Finish(lambda slots: slots, SLOTS, SLOTS_ARROW)
+
+
+def _extract(templates, inside: str, part: str, finish: Finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict = {}
         for batch in batches:
@@ -326,8 +339,8 @@ def _extract(templates, inside: str, part: str):
                     if len(parsed) > 200:
                         parsed.clear()
                     parsed[text] = parse_template(text)
-                rows.append(fill_slots(html, *parsed[text], inside, part) if html else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, SLOTS_ARROW)], names=["id", "slots"])
+                rows.append(finish.of(fill_slots(html, *parsed[text], inside, part)) if html else [])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, finish.arrow)], names=["id", "slots"])
 
     return run
 
@@ -340,8 +353,8 @@ def site(html: str = "html", path: str = "path") -> Column:
     return F.coalesce(*[F.lower(x) for x in said], F.split(path, "/")[0])
 
 
-def extract_slots(pages: DataFrame, *, item: str = "page_id", html: str = "html", host: Column | None = None, inside: str = "post-body", part: str = "caption-text") -> DataFrame:
-    """Columns item, slots: per page the texts in the slots of its host's template, in page order.
+def extract_slots(pages: DataFrame, *, item: str = "page_id", html: str = "html", host: Column | None = None, inside: str = "post-body", part: str = "caption-text", finish: Finish = WHOLE) -> DataFrame:
+    """Columns item, slots: per page the texts in the slots of its host's template, in page order, or what ``finish`` makes of them.
 
     ``host`` defaults to ``site``. Pages with null or empty HTML have no slots. A host with fewer
     than ``MIN_PAGES`` pages has no template: all its text is in slots. Templates are broadcast while they have at most
@@ -350,11 +363,11 @@ def extract_slots(pages: DataFrame, *, item: str = "page_id", html: str = "html"
     rows = spread(pages.select(F.col(item).alias("id"), (site(html) if host is None else host).alias("host"), F.col(html).alias("html")))
     templates = deduce_templates(rows)
     templates = materialize(templates, "templates")
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, slots {SLOTS}"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, slots {finish.ddl}"
     if (templates.agg(F.sum("n_tokens")).first()[0] or 0) <= BROADCAST_TOKENS:
         small = rows.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in templates.select("host", "template").collect()})
-        found = rows.mapInArrow(_extract(small, inside, part), schema)
+        found = rows.mapInArrow(_extract(small, inside, part, finish), schema)
     else:
         own = templates.select(F.col("host").alias("t_host"), "template")
-        found = rows.join(own, F.col("host").eqNullSafe(F.col("t_host")), "left").mapInArrow(_extract(None, inside, part), schema)
+        found = rows.join(own, F.col("host").eqNullSafe(F.col("t_host")), "left").mapInArrow(_extract(None, inside, part, finish), schema)
     return found.withColumnRenamed("id", item)
