@@ -115,16 +115,14 @@ def already_target(text: Column | str, code: str) -> Column:
     return F.coalesce(script_ratio(text, code) > 0.5, F.lit(False))
 
 
-@arrow_udf("string")
-def _quote(path: str | None) -> str | None:
-    from urllib.parse import quote, unquote
-
-    return None if path is None else quote(unquote(path), safe="/")
-
-
 def url_quote(c: Column | str) -> Column:
-    """Percent-encoding that leaves slashes and is idempotent."""
-    return _quote(_c(c))
+    """Percent-encoding that leaves slashes and is idempotent; a percent sign that encodes nothing is encoded itself."""
+    # Plus signs stand for themselves in paths, so they and stray percent signs are encoded before the decoding.
+    whole = F.replace(F.regexp_replace(_c(c), "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    c = F.url_encode(F.url_decode(whole))
+    for raw, ref in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        c = F.replace(c, F.lit(raw), F.lit(ref))
+    return c
 
 
 def html_escape(c: Column | str) -> Column:

@@ -30,11 +30,11 @@ def figure_rows(figures: Column) -> Column:
     return F.when(F.size(figures) > 1, row).otherwise(F.array_join(figures, ""))
 
 
-def post_bodies(paragraphs: DataFrame, frames: DataFrame, *, key: str = "video_id") -> DataFrame:
-    """key, body: paragraphs in order, each followed by its frames in time; frames of no paragraph stand at the end.
+def post_parts(paragraphs: DataFrame, frames: DataFrame, *, key: str = "video_id") -> DataFrame:
+    """key, last, p_idx, html: the parts of posts, to be written in the order of last and p_idx.
 
-    ``paragraphs`` has p_idx, text, start_s (may be null); ``frames`` has p_idx (-1: none), timestamp_s, path,
-    alt_text, caption and frame_id. One post is one output value, so its parts meet in one row.
+    Each paragraph is followed by its frames in time; the part of frames without a paragraph comes last. ``paragraphs``
+    has p_idx, text, start_s (may be null); ``frames`` has p_idx (-1: none), timestamp_s, path, alt_text, caption, frame_id.
     """
     figure = figure_html(F.col("path"), F.col("timestamp_s"), F.col("alt_text"), F.col("caption"), F.col(key))
     shown = frames.where(F.col("timestamp_s").isNotNull()).select(key, "p_idx", "timestamp_s", "frame_id", figure.alias("figure"))
@@ -43,7 +43,12 @@ def post_bodies(paragraphs: DataFrame, frames: DataFrame, *, key: str = "video_i
     parts = texts.join(rows, [key, "p_idx"], "full")
     tail = F.col("p").isNull()
     html = F.when(tail, F.concat(F.lit('<section class="tail-section"><h2>Additional frames</h2>'), F.col("figures"), F.lit("</section>"))).otherwise(F.concat_ws("\n    ", "p", "figures"))
-    placed = parts.select(key, F.struct(tail.cast("int").alias("last"), "p_idx", html.alias("html")).alias("part"))
+    return parts.select(key, tail.cast("int").alias("last"), "p_idx", html.alias("html"))
+
+
+def post_bodies(paragraphs: DataFrame, frames: DataFrame, *, key: str = "video_id") -> DataFrame:
+    """key, body: the parts of each post in order. One post is one output value here, so its parts meet in one row."""
+    placed = post_parts(paragraphs, frames, key=key).select(key, F.struct("last", "p_idx", "html").alias("part"))
     return placed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["html"]), "\n    ").alias("body"))
 
 

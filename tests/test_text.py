@@ -99,3 +99,11 @@ def test_paragraph_limits():
     assert group_paragraphs("x" * 700 + ". y") == ["x" * 700 + ".", "y"]
     assert max(map(len, wrap_words("word " * 400))) <= 700
     assert wrap_words("y" * 900) == ["y" * 900]
+
+
+def test_url_quote_as_the_standard_library_does(spark):
+    from urllib.parse import quote, unquote
+
+    paths = ["a b/c.jpg", "a%20b", "100%", "%zz/%4", "x+y", "~*-_.()!'", "한국/日本語 😀", "a%2Fb", "", "%25", "%2525", "q?a=b&c#d", "%C3%A9"]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in [*paths, None]], "p string").select(tx.url_quote("p")).collect()]
+    assert got == [*[quote(unquote(p), safe="/") for p in paths], None]
