@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,57 +145,66 @@ def _relative(counts: np.ndarray, totals: np.ndarray, alpha: float, clip: float)
     return np.maximum(p - p.max(axis=1, keepdims=True), -clip)
 
 
-def score_tables(words: dict[str, list[int]], k: int) -> tuple[tuple[dict[str, int], np.ndarray], tuple[dict[str, int], np.ndarray]]:
-    """Index and scores of the known words, and of the character n-grams of all words."""
-    counts: dict[str, np.ndarray] = {}
-    for w, c in words.items():
-        c = np.array(c, float)
-        for g in grams(w):
-            for order in range(1, len(g) + 1):
-                got = counts.get(g[:order])
-                counts[g[:order]] = c if got is None else got + c
-    # A run of a script without spaces is no word: it is always read by its n-grams.
-    known = [w for w, c in words.items() if sum(c) > 1 and not DENSE.search(w)]
-    table = np.array([words[w] for w in known], float).reshape(-1, k)
-    n = np.maximum(1.0, np.sum(list(words.values()), axis=0)) if words else np.ones(k)
-    common = [g for g, c in counts.items() if c.sum() > 1]
-    by_gram = np.array([counts[g] for g in common], float).reshape(-1, k)
-    length = np.array([len(g) for g in common], int)
-    totals = np.ones((MAX_ORDER + 1, k))
-    np.add.at(totals, length, by_gram)
-    return (
-        ({w: i for i, w in enumerate(known)}, _relative(table, n, 0.05, WORD_CLIP) if known else table),
-        ({g: i for i, g in enumerate(common)}, _relative(by_gram, totals[length], 0.5, 3.0) if common else by_gram),
-    )
+class Vocabulary:
+    """The words of the sample and all their n-grams, indexed once; only the counts change from round to round."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        self.gram: dict[str, int] = {}
+        owners, members = [], []
+        for i, w in enumerate(words):
+            for g in grams(w):
+                for order in range(1, len(g) + 1):
+                    owners.append(i)
+                    members.append(self.gram.setdefault(g[:order], len(self.gram)))
+        self.owners, self.members = np.array(owners, np.int64), np.array(members, np.int64)
+        self.length = np.array([len(g) for g in self.gram], np.int64)
+        # A run of a script without spaces is no word: it is always read by its n-grams.
+        self.spaced = np.array([DENSE.search(w) is None for w in words], bool)
+
+    def tables(self, counts: np.ndarray) -> tuple[tuple[dict[str, int], np.ndarray], tuple[dict[str, int], np.ndarray]]:
+        """Index and scores of the known words, and of the character n-grams of all words, from counts by word and language."""
+        k = counts.shape[1]
+        by_gram = np.stack([np.bincount(self.members, counts[self.owners, lang], len(self.gram)) for lang in range(k)], axis=1)
+        known, common = np.flatnonzero((counts.sum(axis=1) > 1) & self.spaced), np.flatnonzero(by_gram.sum(axis=1) > 1)
+        n = np.maximum(1.0, counts.sum(axis=0))
+        totals = np.ones((MAX_ORDER + 1, k))
+        np.add.at(totals, self.length[common], by_gram[common])
+        names = list(self.gram)
+        return (
+            ({self.words[i]: row for row, i in enumerate(known.tolist())}, _relative(counts[known], n, 0.05, WORD_CLIP) if len(known) else np.zeros((0, k))),
+            ({names[i]: row for row, i in enumerate(common.tolist())}, _relative(by_gram[common], totals[self.length[common]], 0.5, 3.0) if len(common) else np.zeros((0, k))),
+        )
 
 
 def fit(samples: list[tuple[str, str]], langs: list[str], rounds: int = 3):
     """The score tables from (text, language) pairs, some of which are wrong."""
     k = len(langs)
     at = {lang: i for i, lang in enumerate(langs)}
-    units: list[tuple[list[str], int]] = []
+    index: dict[str, int] = {}
+    tokens: list[int] = []
+    bounds: list[int] = []
+    given: list[int] = []
     for text, lang in samples:
         clean = blank_no_text(text)
         for a, b in sentences(clean):
             found = [w.lower() for w in WORD.findall(clean[a:b])]
             if found:
-                units.append((found, at[lang]))
-    tables = None
-    for turn in range(rounds):
+                bounds.append(len(tokens))
+                given.append(at[lang])
+                tokens += [index.setdefault(w, len(index)) for w in found]
+    vocabulary = Vocabulary(list(index))
+    words, labels = np.array(tokens, np.int64), np.array(given, np.int64)
+    lengths = np.diff([*bounds, len(tokens)])
+    tables = vocabulary.tables(np.zeros((len(index), k))) if not tokens else None
+    for turn in range(rounds if tokens else 0):
         if turn:
-            scorer = Scorer(langs, *tables)
-            again = []
-            for found, lang in units:
-                total = scorer.scores(found).sum(axis=0)
-                best = int(total.argmax())
-                # Doubtful sentences keep their label.
-                again.append((found, best if total[best] - total[lang] > 3 else lang))
-            units = again
-        words: dict[str, list[int]] = defaultdict(lambda: [0] * k)
-        for found, lang in units:
-            for w in found:
-                words[w][lang] += 1
-        tables = score_tables(words, k)
+            totals = np.add.reduceat(Scorer(langs, *tables).scores(vocabulary.words)[words], bounds, axis=0)
+            best, rows = totals.argmax(axis=1), np.arange(len(totals))
+            # Doubtful sentences keep their label.
+            labels = np.where(totals[rows, best] - totals[rows, labels] > 3, best, labels)
+        counts = np.bincount(words * k + np.repeat(labels, lengths), minlength=len(index) * k).reshape(-1, k).astype(float)
+        tables = vocabulary.tables(counts)
     return tables
 
 
